@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, dense_index, shuffle_width
+from .shared import WORD, cut, dense_index, fresh, shuffle_width
 
 CAP = 2.0
 
@@ -142,13 +142,14 @@ def apply_mix(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5) -> DataFr
     Rows of equal (id, source, size) share their copies evenly; a remainder goes to them by their place in the input.
     """
     copies, sources = rates(docs, weights, budget)
-    cols = docs.columns
-    per = copies.groupBy("doc_id", "source_no", "size").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    per = per.join(sources.select(F.col("source").alias("_source"), "source_no"), "source_no")
-    per = per.select(F.col("doc_id").alias("_doc"), "_source", F.col("size").alias("_size"), "_all", "_rows")
-    sized = docs.withColumn("_own", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = sized["doc_id"].eqNullSafe(per["_doc"]) & sized["source"].eqNullSafe(per["_source"]) & (sized["_own"] == per["_size"])
+    doc, source, size, total, rows, own, n, copy = fresh(docs, "doc", "source_", "size", "total", "rows", "own", "n", "copy")
+    per = copies.groupBy("doc_id", "source_no", "size").agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
+    per = per.join(sources.select(F.col("source").alias(source), "source_no"), "source_no")
+    per = per.select(F.col("doc_id").alias(doc), source, F.col("size").alias(size), total, rows)
+    sized = docs.withColumn(own, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(size))
     met = sized.join(per, same)
-    turn = F.when(F.col("_rows") == 1, F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_rows")))
-    n = F.floor(F.col("_all") / F.col("_rows")) + (turn < F.col("_all") % F.col("_rows")).cast("long")
-    return met.withColumn("_n", n.cast("int")).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*cols)
+    turn = F.when(F.col(rows) == 1, F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col(rows)))
+    times = F.floor(F.col(total) / F.col(rows)) + (turn < F.col(total) % F.col(rows)).cast("long")
+    met = met.withColumn(n, times.cast("int")).where(F.col(n) > 0)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -21,13 +21,19 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import WordCodes, batches, char_grams, cut, flat_words, hash_rows
+from .shared import WordCodes, arrow_parts, batches, char_grams, collected, cut, flat_words, hash_rows
 
 LONGEST = 4
 MARKS = ("\x02", "\x03")
 
 
+def _marks(n: int) -> tuple[str, str]:
+    """Single characters go without the marks, which every word has."""
+    return MARKS if n > 1 else ("", "")
+
+
 def letters(word: bytes) -> str:
     w = word.decode("utf-8", "surrogatepass")
     return w.lower() if w.isalpha() else "".join(c for c in w.lower() if c.isalpha())
@@ -67,14 +73,14 @@ def fit(docs: DataFrame, learned, sample_docs: int = 4000, min_count: int = 3) -
             words, n = pdf["word"].tolist(), pdf["n"].to_numpy()
             lang = pdf["lang"].to_numpy()
             for k in range(1, LONGEST + 1):
-                g, owner = char_grams(words, k, *MARKS)
+                g, owner = char_grams(words, k, *_marks(k))
                 part = pd.DataFrame({"lang": lang[owner], "h": hash_rows(g, k).view(np.int64), "n": n[owner]})
                 yield part.groupby(["lang", "h"], as_index=False)["n"].sum().assign(k=k)[["lang", "k", "h", "n"]]
 
     words = cut(sample(docs, learned, sample_docs).mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     total = Window.partitionBy("word")
-    known = words.withColumn("all", F.sum("n").over(total)).where(F.col("all") >= min_count).select("lang", "word", "n").toPandas()
-    by_gram = words.mapInPandas(grams, "lang string, k int, h long, n long").groupBy("lang", "k", "h").agg(F.sum("n").alias("n")).toPandas()
+    known = collected(words.withColumn("all", F.sum("n").over(total)).where(F.col("all") >= min_count).select("lang", "word", "n"))
+    by_gram = collected(words.mapInPandas(grams, "lang string, k int, h long, n long").groupBy("lang", "k", "h").agg(F.sum("n").alias("n")))
     langs = sorted({*known["lang"], *by_gram["lang"]}, key=lambda x: x.encode("utf-8", "surrogatepass"))
     place = {x: i for i, x in enumerate(langs)}
 
@@ -113,7 +119,7 @@ def word_scores(model: dict, words: list[bytes]) -> np.ndarray:
     for k in range(LONGEST, 0, -1):
         if not len(rest):
             break
-        g, owner = char_grams([plain[i] for i in rest], k, *MARKS)
+        g, owner = char_grams([plain[i] for i in rest], k, *_marks(k))
         keys, logs = model[k]
         at, hit = _find(keys, hash_rows(g, k))
         owner, at = owner[hit], at[hit]
@@ -127,17 +133,16 @@ def word_scores(model: dict, words: list[bytes]) -> np.ndarray:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score added (columns of these names are replaced)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*kept)
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
 
-    def run(frames):
+    def run(record_batches):
         model = shared.value
         n = len(model["langs"])
         codes, scores = WordCodes(), np.zeros((0, max(n, 1)), np.float32)
-        for pdf in batches(frames):
-            texts = pdf["text"].tolist()
+        for batch, texts in arrow_parts(record_batches):
             label, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if n:
                 words, counts = flat_words(texts)
@@ -150,22 +155,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 has = np.array([t is not None and any(c.isalpha() for c in t) for t in texts], bool)
                 label[has] = np.array(model["langs"], object)[best[has]]
                 score[has] = share[has]
-            yield pdf.assign(lang_pred=label, score=score)
-
-    return mapped(docs, run, "lang_pred string, score double")
-
-
-def mapped(docs: DataFrame, run, more: str) -> DataFrame:
-    """mapInPandas that returns all columns of docs and `more`; integers that may be null stay integers."""
-
-    def exact(frames):
-        whole = [f.name for f in docs_schema if f.dataType.typeName() in ("byte", "short", "integer", "long")]
-
-        def typed():
-            for pdf in frames:
-                yield pdf.astype({c: "Int64" for c in whole})
-
-        yield from run(typed())
+            columns = [*batch.columns, pa.array(label.tolist(), pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
-    docs_schema = docs.schema
-    return docs.mapInPandas(exact, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs_schema] + [more]))
+    added = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, added)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordCodes, batches, byte_words, char_grams, cut, flat_words, hash_rows
+from .shared import WordCodes, arrow_parts, batches, char_grams, collected, cut, flat_words, fresh, hash_rows
 
 ORDER = 4
 LEFT, RIGHT = "\x02" * (ORDER - 1), "\x03"
@@ -34,6 +34,18 @@ _BLANK = " \t\n\r\x0b\x0c"
 _CODE = 1 << 21
 
 
+#: Words whose n-grams are in memory at once; caches of words hold three times as many.
+CHUNK = 50_000
+
+
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their counts, and the place where each is found first."""
+    at, distinct = pd.factorize(keys)
+    first = np.zeros(len(distinct), np.int64)
+    first[at[::-1]] = np.arange(len(keys))[::-1]
+    return distinct, np.bincount(at, counts, len(distinct)).astype(np.int64), first
+
+
 def _fold(grams: np.ndarray) -> np.ndarray:
     n = grams.shape[1]
     return (hash_rows(grams, n) >> np.uint64(64 - BITS[n])).astype(np.int64)
@@ -56,12 +68,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         def flush():
             for name, own in codes.items():
-                g, owner = char_grams(_lower(own.words), ORDER, LEFT, RIGHT)
-                u, at = np.unique(g, axis=0, return_inverse=True) if len(g) else (g, owner)
-                n = np.bincount(at.ravel(), sums[name][: len(own.words)][owner], len(u)).astype(np.int64)
-                points = np.ascontiguousarray(u, "<u4").tobytes()
-                grams = [points[i : i + 4 * ORDER].decode("utf-32-le", "surrogatepass") for i in range(0, len(points), 4 * ORDER)]
-                yield pd.DataFrame({"lang": [name] * len(u), "gram": [x.encode("utf-8", "surrogatepass") for x in grams], "n": n})
+                keys, counts, points = [], [], []
+                for at in range(0, len(own.words), CHUNK):
+                    part = slice(at, at + CHUNK)
+                    g, owner = char_grams(_lower(own.words[part]), ORDER, LEFT, RIGHT)
+                    k, n, first = _sums(hash_rows(g, ORDER), sums[name][part][owner])
+                    keys.append(k), counts.append(n), points.append(g[first])
+                if keys:
+                    keys, n, first = _sums(np.concatenate(keys), np.concatenate(counts))
+                    raw = np.ascontiguousarray(np.concatenate(points)[first], "<u4").tobytes()
+                    grams = [raw[i : i + 4 * ORDER].decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for i in range(0, len(raw), 4 * ORDER)]
+                    yield pd.DataFrame({"lang": np.full(len(n), name, object), "gram": grams, "n": n})
             codes.clear()
             sums.clear()
 
@@ -73,7 +90,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 old = sums.get(name, np.zeros(0, np.int64))
                 new[: len(old)] += old
                 sums[name] = new
-            if sum(len(c.words) for c in codes.values()) > 500_000:
+            if sum(len(c.words) for c in codes.values()) > 3 * CHUNK:
                 yield from flush()
         yield from flush()
 
@@ -134,10 +151,10 @@ def model_rows(grams: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> dict:
     """{lang: {(kind, order): (sorted keys, values)}}."""
-    rows = model_rows(count_grams(docs)).toPandas()
+    rows = collected(model_rows(count_grams(docs)))
     model: dict = {}
-    for name, part in rows.groupby("lang"):
-        for (kind, k), own in part.sort_values("key").groupby(["kind", "k"]):
+    for name, part in rows.groupby("lang", observed=True):
+        for (kind, k), own in part.sort_values("key").groupby(["kind", "k"], observed=True):
             model.setdefault(name, {})[kind, int(k)] = own["key"].to_numpy(np.uint32), own["value"].to_numpy(np.float32)
     return model
 
@@ -150,21 +167,25 @@ def _look(arrays, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_logs(model: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Log probability and number of characters (with the end mark) of each word."""
-    plain = _lower(words)
-    g, owner = char_grams(plain, ORDER, LEFT, RIGHT)
-    total = np.zeros(len(g), np.float32)
-    open_ = np.arange(len(g))
-    for k in range(ORDER, 0, -1):
-        own = g[open_]
-        hit, value = _look(model["p", k], _fold(own[:, ORDER - k :]))
-        total[open_[hit]] += value[hit]
-        open_, own = open_[~hit], own[~hit]
-        if k > 1:
-            hit, value = _look(model["b", k], _fold(own[:, ORDER - k : ORDER - 1]))
+    logs, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), CHUNK):
+        part = _lower(words[at : at + CHUNK])
+        g, owner = char_grams(part, ORDER, LEFT, RIGHT)
+        total = np.zeros(len(g), np.float32)
+        open_ = np.arange(len(g))
+        for k in range(ORDER, 0, -1):
+            own = g[open_]
+            hit, value = _look(model["p", k], _fold(own[:, ORDER - k :]))
             total[open_[hit]] += value[hit]
-        else:
-            total[open_] += model["b", 1][1][0]
-    return np.bincount(owner, total, len(words)), np.bincount(owner, minlength=len(words))
+            open_, own = open_[~hit], own[~hit]
+            if k > 1:
+                hit, value = _look(model["b", k], _fold(own[:, ORDER - k : ORDER - 1]))
+                total[open_[hit]] += value[hit]
+            else:
+                total[open_] += model["b", 1][1][0]
+        logs.append(np.bincount(owner, total, len(part)))
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(logs), np.concatenate(sizes)
 
 
 def repeated_words(codes: np.ndarray) -> int:
@@ -199,7 +220,7 @@ class Meter:
 
     def of(self, pdf: pd.DataFrame) -> pd.DataFrame:
         """Features of the rows of pdf, whose column lang holds language keys, under the index of pdf."""
-        if sum(len(c.words) for c, _, _ in self.caches.values()) > 500_000:
+        if sum(len(c.words) for c, _, _ in self.caches.values()) > 3 * CHUNK:
             self.caches.clear()
         parts = []
         for name, part in pdf.groupby("lang", sort=False):
@@ -277,14 +298,16 @@ def judge(found: DataFrame, limits: dict) -> DataFrame:
 
 def keep(docs: DataFrame, model: dict, limits: dict) -> DataFrame:
     """The rows of docs that the rules keep, with their columns. They are measured anew, which no shuffle of texts is needed for."""
+    import pyarrow as pa
+
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    whole = [f.name for f in docs.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")]
+    (key,) = fresh(docs, "lang_key")
 
-    def run(frames):
+    def run(record_batches):
         meter = Meter(shared.value)
-        for pdf in batches(frames):
-            pdf = pdf.reset_index(drop=True)
-            measured = meter.of(pd.DataFrame({"lang": pdf["_lang_key"], "text": pdf["text"]}))
-            yield pdf[verdicts(measured, pdf["_lang_key"], limits)].drop(columns="_lang_key").astype({c: "Int64" for c in whole})
+        for batch, texts in arrow_parts(record_batches):
+            rows = pd.DataFrame({"lang": batch[key].to_pylist(), "text": texts})
+            kept = verdicts(meter.of(rows), rows["lang"], limits)
+            yield batch.select([c for c in batch.schema.names if c != key]).filter(pa.array(kept))
 
-    return docs.withColumn("_lang_key", _lang_key()).mapInPandas(run, docs.schema)
+    return docs.withColumn(key, _lang_key()).mapInArrow(run, docs.schema)

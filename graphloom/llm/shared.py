@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,11 @@ def dense_index(values: DataFrame, col: str, to: str) -> DataFrame:
     return ranged.select(col, (base[F.col("_part")] + F.row_number().over(order) - 1).cast("long").alias(to))
 
 
+def collected(rows: DataFrame) -> pd.DataFrame:
+    """Rows of bounded number on the driver, as Arrow batches; texts become categories."""
+    return rows.toArrow().to_pandas(strings_to_categorical=True, self_destruct=True)
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """bytes.split() cuts at the six ASCII white-space characters and no others."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -87,7 +93,7 @@ class WordCodes(dict):
     The table is a cache with a fixed number of entries; emptying it never changes a result.
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit, self.words = limit, []
 
@@ -137,12 +143,36 @@ def hash_rows(grams: np.ndarray, seed: int) -> np.ndarray:
     return h
 
 
-def batches(frames, max_chars: int = 8_000_000, text: str = "text"):
+def batches(frames, max_chars: int = 2_000_000, text: str = "text"):
     """Cuts Arrow batches into parts of bounded total text, so that very long documents don't pile up."""
     for pdf in frames:
-        size = pdf[text].str.len().fillna(0).to_numpy().cumsum() // max_chars
+        size = np.fromiter((len(t) if t else 0 for t in pdf[text]), np.int64, len(pdf)).cumsum() // max_chars
         if len(size) == 0 or size[-1] == size[0]:
             yield pdf
         else:
             for _, part in pdf.groupby(size, sort=False):
                 yield part
+
+
+def arrow_parts(record_batches, max_chars: int = 2_000_000, text: str = "text"):
+    """Arrow batches cut into parts of bounded total text, with texts of a part as a list; all columns stay exact."""
+    import pyarrow.compute as pc
+
+    for batch in record_batches:
+        sizes = np.asarray(pc.fill_null(pc.utf8_length(batch[text]), 0).to_numpy(zero_copy_only=False), np.int64)
+        part = sizes.cumsum() // max_chars
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                own = batch.slice(a, b - a)
+                yield own, own[text].to_pylist()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have."""
+    out = []
+    for name in names:
+        while name in df.columns or name in out:
+            name = "_" + name
+        out.append(name)
+    return out

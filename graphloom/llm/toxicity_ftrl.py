@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordCodes, batches, flat_words, mix64
+from .shared import WordCodes, batches, collected, flat_words, mix64
 
 BITS = 20
 
@@ -107,7 +107,7 @@ def fit(
         at = np.flatnonzero(w)
         yield pd.DataFrame({"feat": np.append(at, -1), "w": np.append(w[at], b)})
 
-    found = rows.mapInPandas(hashed, "doc_id long, toxic int, feats array<int>").coalesce(1).mapInPandas(once, "feat long, w double").toPandas()
+    found = collected(rows.mapInPandas(hashed, "doc_id long, toxic int, feats array<int>").coalesce(1).mapInPandas(once, "feat long, w double"))
     own = found[found["feat"] >= 0].sort_values("feat")
     bias = found[found["feat"] < 0]["w"]
     return {"bits": bits, "feats": own["feat"].to_numpy(), "weights": own["w"].to_numpy(), "bias": float(bias.iloc[0]) if len(bias) else -20.0}

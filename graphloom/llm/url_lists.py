@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 RESULTS = ("host", "pattern", "listed_on", "verdict", "blocked")
 
 
@@ -55,6 +57,7 @@ def intervals(events: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, events: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """captures with host, pattern, listed_on, verdict and blocked added."""
     captures = captures.drop(*RESULTS)
+    own_url, own_at = fresh(captures, "own_url", "own_at")
     seen = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).distinct().where("_url is not null and _at is not null")
     keyed = seen.withColumn("host", host_of(F.col("_url"))).select("_url", "_at", F.explode(lookup_keys(F.col("host"), path_of(F.col("_url")))).alias("pattern"))
     entries = F.sort_array(F.collect_list(F.struct("valid_from", "valid_to", "verdict")))
@@ -64,8 +67,9 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", at: str = "f
     met = met.withColumn("_e", F.get(active, F.lit(0))).where(F.col("_e").isNotNull() & (F.col("_e.verdict") != "drop"))
     # of the patterns that one capture meets, a path prefix is longer than its host and a host longer than its suffixes
     longest = F.max(F.struct(F.length("pattern").alias("_l"), "pattern", F.col("_e.valid_from").alias("listed_on"), F.col("_e.verdict").alias("verdict")))
-    found = met.groupBy("_url", "_at").agg(longest.alias("_m")).select("_url", "_at", "_m.pattern", "_m.listed_on", "_m.verdict")
-    out = captures.join(found, (F.col(url) == F.col("_url")) & (F.col(at) == F.col("_at")), "left").drop("_url", "_at")
+    found = met.groupBy("_url", "_at").agg(longest.alias("_m"))
+    found = found.select(F.col("_url").alias(own_url), F.col("_at").alias(own_at), "_m.pattern", "_m.listed_on", "_m.verdict")
+    out = captures.join(found, (F.col(url) == F.col(own_url)) & (F.col(at) == F.col(own_at)), "left")
     return out.select(
         *captures.columns, host_of(F.col(url)).alias("host"), "pattern", "listed_on",
         F.coalesce("verdict", F.lit("none")).alias("verdict"), F.coalesce(F.col("verdict") == "block", F.lit(False)).alias("blocked"),
