@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import service as services
 from .functions import ids
 from .operators import lookups, search, walks, whole
+from .sources.scan import read_file
 
 
 def _rows(df: DataFrame, limit: int | None = None) -> list[dict]:
@@ -125,11 +126,11 @@ class App:
             raise KeyError(f"unknown id {node!r}")
         r = rows[0]
         start, end = max(r["start_line"] - context, 1), r["end_line"] + context
-        path = f"{self.registry.get(service)['rootAbs']}/{r['rel_path']}"
-        content = self.spark.read.text(path, wholetext=True)
+        content = read_file(self.registry.get(service)["rootAbs"], r["rel_path"])
+        row = self.spark.createDataFrame([(content.decode("utf-8", "replace"),)], "value string")
         lines = whole.code_lines(F.col("value"), F.lit(start), F.lit(end))
         mark = "o" if r["kind"] == "object" else "m"
-        return {"id": f"{mark}{r['short_id']}", "file": r["rel_path"], "start": start, "end": end, "src": content.select(lines.alias("src")).first()["src"]}
+        return {"id": f"{mark}{r['short_id']}", "file": r["rel_path"], "start": start, "end": end, "src": row.select(lines.alias("src")).first()["src"]}
 
     def _file_row(self, index, path_or_id: str) -> dict:
         rows = _rows(lookups.get_file(index, path_or_id), 1)

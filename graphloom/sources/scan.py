@@ -1,7 +1,15 @@
-"""Source trees as DataFrames."""
+"""Source trees as DataFrames.
+
+Spark's own file sources leave out names that begin with an underscore or a dot, `__init__.py` among them, so the tree
+is listed and read through Arrow's file systems (local, HDFS, S3, GCS): the top level by the driver, what lies below
+by tasks. Names are filtered by expressions before any content is read.
+"""
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +24,61 @@ def has_extension(path: Column, extensions: list[str]) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin([e.lower() for e in extensions])
 
 
+def _open(root: str):
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path) of every file under root; an error of any directory fails the scan."""
+    from pyarrow.fs import FileSelector, FileType
+
+    fs, base = _open(root)
+    base = base.rstrip("/")
+    top = [(i.path[len(base) + 1 :], i.type == FileType.Directory) for i in fs.get_file_info(FileSelector(base))]
+
+    def walk(frames):
+        fs, base = _open(root)
+        base = base.rstrip("/")
+        for pdf in frames:
+            out = []
+            for name, is_dir in zip(pdf["name"], pdf["is_dir"]):
+                if is_dir:
+                    found = fs.get_file_info(FileSelector(f"{base}/{name}", recursive=True))
+                    out += [i.path[len(base) + 1 :] for i in found if i.type == FileType.File]
+                else:
+                    out.append(name)
+            yield pd.DataFrame({"rel_path": out})
+
+    rows = spark.createDataFrame(top, "name string, is_dir boolean")
+    return rows.repartition(max(1, min(len(top), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(walk, "rel_path string")
+
+
+def read_file(root: str, rel_path: str) -> bytes:
+    fs, base = _open(root)
+    with fs.open_input_stream(f"{base.rstrip('/')}/{rel_path}") as f:
+        return f.read()
+
+
 def scan(spark: SparkSession, root: str, prefix: str = "", extensions: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
-    """(key, rel_path, lang, content) of the files under root.
-
-    Names are filtered before contents are read into the plan, so what is left out never reaches the parser.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/") if ":" in root else root.strip("/")
-    bare = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "")
-    rel = F.expr(f"substring(_bare, {len(base) + 2})")
-    decoded = F.url_decode(F.regexp_replace(bare, r"\+", "%2B"))
-    files = files.withColumn("_bare", decoded).withColumn("rel_path", rel)
-    files = files.where(has_extension(F.col("rel_path"), extensions or []) & ~ignored(F.col("rel_path"), patterns or []))
-    return files.select(F.concat(F.lit(prefix), F.col("rel_path")).alias("key"), "rel_path", ids.lang_from_path(F.col("rel_path")).alias("lang"), "content")
+    """(key, rel_path, lang, content) of the files under root."""
+    path = F.col("rel_path")
+    wanted = list_tree(spark, root).where(has_extension(path, extensions or []) & ~ignored(path, patterns or []))
+
+    def read(frames):
+        fs, base = _open(root)
+        base = base.rstrip("/")
+        for pdf in frames:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                content = []
+                for name in part["rel_path"]:
+                    with fs.open_input_stream(f"{base}/{name}") as f:
+                        content.append(f.read())
+                yield part.assign(content=content)
+
+    named = wanted.select(F.concat(F.lit(prefix), path).alias("key"), "rel_path", ids.lang_from_path(path).alias("lang"))
+    # directories differ in size, so files are dealt anew by name
+    dealt = named.repartition("rel_path")
+    return dealt.mapInPandas(read, "key string, rel_path string, lang string, content binary")

@@ -24,7 +24,10 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def stream_parsed(spark: SparkSession, root: str, extensions: list[str], on_batch, checkpoint: str, prefix: str = ""):
-    """Parses files as they appear under root and hands each batch's parsed rows to on_batch(df, batch number)."""
+    """Parses files as they appear under root and hands each batch's parsed rows to on_batch(df, batch number).
+
+    Spark's streams don't see names that begin with an underscore; a full sync does.
+    """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split(":", 1)[-1].strip("/")
     bare = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "")
