@@ -4,7 +4,7 @@ A word is lowered and stripped of all but its letters. Words of the model add th
 that is not in the model is scored by its character n-grams between boundary marks: the longest length of which the
 model knows any n-gram counts, the mean of their per-language log frequencies.
 
-The model is fitted on a bounded sample: per language the `sample_docs` labelled documents of smallest id hash. Words
+The model is fitted on a bounded sample: per language about `sample_docs` labelled documents, chosen by id hash. Words
 enter the model from `min_count` occurrences on. What is broadcast is bounded by that sample.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if nothing was learned; a null id is not
@@ -45,10 +45,14 @@ def _word_hash(words: list[str]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, learned, sample_docs: int) -> DataFrame:
-    """(lang, text): at most `sample_docs` documents of each language."""
+    """(lang, text): about `sample_docs` documents of each language, all if it has fewer.
+
+    Those whose id hashes below the language's share, so no language is brought together in one task.
+    """
     ids = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ids.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs).select("doc_id", "lang")
+    share = ids.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("_share"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / F.lit(float(1 << 31))
+    picked = ids.join(share, "lang").where(place < F.col("_share")).select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi")
     return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
