@@ -163,9 +163,18 @@ class PythonFile:
             self._assigned(node.target, node.value, scope)
         elif isinstance(node, ast.Assign):
             self._assigned(node.targets[-1], node.value, scope)
-        for child in ast.iter_child_nodes(node):
+        for child in self._children(node):
             self._walk(child, caller, seen)
 
+    @staticmethod
+    def _children(node: ast.AST) -> list[ast.AST]:
+        """Children in the order of the source."""
+        if isinstance(node, ast.IfExp):
+            return [node.body, node.test, node.orelse]
+        if isinstance(node, ast.Dict):
+            return [x for pair in zip(node.keys, node.values) for x in pair if x is not None]
+        return list(ast.iter_child_nodes(node))
+
     def _call(self, node: ast.Call, caller: str, seen: set) -> None:
         if isinstance(node.func, ast.Attribute):
             name, owner = node.func.attr, self.raw(node.func.value)
