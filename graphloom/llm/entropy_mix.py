@@ -102,7 +102,7 @@ def _round(frames):
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "size": size, "source_no": pdf["source_no"], "nth": pdf["nth"], "copies": copies})
 
 
-def rates(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, bucket_docs: int = 20_000):
+def rates(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, bucket_docs: int = 1000):
     """Copies of every row and the sources: (doc_id, size, source_no, nth, copies), (source, source_no, source_size, target)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     slim = cut(docs.select(F.col("doc_id").cast("long"), "source", size.alias("size")))
