@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, dense_index
@@ -25,41 +25,39 @@ BINS = 256
 _SPAN = 1 << 31
 
 
-def _pick(by_node: dict, node: Column, default) -> Column:
-    """A value by node, from at most as many entries as there are shards."""
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in by_node.items() for x in pair])[node], F.lit(default))
+def _nodes(rows: DataFrame, names: str, values: list[tuple]) -> DataFrame:
+    """A small table of open nodes, at most one row for each shard; passes differ in it alone, so their code is reused."""
+    text = ", ".join("(" + ", ".join(f"{x!r}D" if isinstance(x, float) else str(x) for x in v) + ")" for v in values)
+    return F.broadcast(rows.sparkSession.sql(f"SELECT * FROM VALUES {text} AS t({names})"))
 
 
 def kd_leaves(rows: DataFrame, dims: list[str], weight: str, tie: str, leaves: int, tolerance: float = 0.001) -> DataFrame:
     """Adds leaf (0 to leaves - 1). dims: columns of doubles; tie: a column of longs that tells equal rows apart."""
-    whole = rows.agg(F.sum(weight).alias("w"), *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]).first()
+    ranges = [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
+    whole = rows.agg(F.sum(weight).alias("w"), *ranges).first()
+    rows = rows.withColumn("leaf", F.lit(0).cast("long"))
     if whole["w"] is None:
-        return rows.withColumn("leaf", F.lit(0))
+        return rows
     scale = {d: max(whole[f"max_{d}"] - whole[f"min_{d}"], 1e-300) for d in dims}
-    target = whole["w"] / leaves
-    rows, open_nodes = rows.withColumn("leaf", F.lit(0)), {0: leaves} if leaves > 1 else {}
+    target, open_nodes, columns = whole["w"] / leaves, ({0: leaves} if leaves > 1 else {}), rows.columns
+    value = F.coalesce(*[F.when(F.col("_dim") == i, F.col(d)) for i, d in enumerate(dims)])
+    unit = F.when(F.col("_hi") > F.col("_lo"), (value - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    place = F.least(F.floor(unit * _SPAN), F.lit(_SPAN - 1)) * F.lit(_SPAN) + F.shiftrightunsigned(F.col(tie), 33)
     while open_nodes:
-        active = rows.where(F.col("leaf").isin(list(open_nodes)))
-        stats = active.groupBy("leaf").agg(F.sum(weight).alias("w"), *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]).collect()
-        wide, low, high, goal = {}, {}, {}, {}
-        for s in stats:
-            d = max(range(len(dims)), key=lambda i: (s[f"max_{dims[i]}"] - s[f"min_{dims[i]}"]) / scale[dims[i]])
-            n, k = s["leaf"], open_nodes[s["leaf"]]
-            wide[n], low[n], high[n] = d, float(s[f"min_{dims[d]}"]), float(s[f"max_{dims[d]}"])
-            goal[n] = s["w"] * (k // 2) / k
+        stats = rows.join(_nodes(rows, "leaf", [(f"{n}L",) for n in open_nodes]), "leaf").groupBy("leaf").agg(F.sum(weight).alias("w"), *ranges).collect()
         if not stats:
             break
-        value = F.coalesce(*[F.when(_pick(wide, F.col("leaf"), -1) == i, F.col(d)) for i, d in enumerate(dims)])
-        lo, hi = _pick(low, F.col("leaf"), 0.0), _pick(high, F.col("leaf"), 0.0)
-        unit = F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(0.0)
-        place = F.least(F.floor(unit * _SPAN), F.lit(_SPAN - 1)) * F.lit(_SPAN) + F.shiftrightunsigned(F.col(tie), 33)
-        keyed = cut(rows.withColumn("_place", F.when(F.col("leaf").isin(list(wide)), place)))
-        start, width, before, split = {n: 0 for n in wide}, {n: -(-_SPAN * _SPAN // BINS) for n in wide}, dict.fromkeys(wide, 0), {}
-        while len(split) < len(wide):
-            todo = [n for n in wide if n not in split]
-            own = keyed.where(F.col("leaf").isin(todo))
-            at = F.floor((F.col("_place") - _pick({n: start[n] for n in todo}, F.col("leaf"), 0)) / _pick({n: width[n] for n in todo}, F.col("leaf"), 1))
-            own = own.withColumn("_bin", at).where((at >= 0) & (at < BINS))
+        wide, goal = [], {}
+        for s in stats:
+            d = max(range(len(dims)), key=lambda i: (s[f"max_{dims[i]}"] - s[f"min_{dims[i]}"]) / scale[dims[i]])
+            wide.append((f"{s['leaf']}L", d, float(s[f"min_{dims[d]}"]), float(s[f"max_{dims[d]}"])))
+            goal[s["leaf"]] = s["w"] * (open_nodes[s["leaf"]] // 2) / open_nodes[s["leaf"]]
+        keyed = cut(rows.join(_nodes(rows, "leaf, _dim, _lo, _hi", wide), "leaf", "left").select(*columns, place.alias("_place")))
+        start, width, before, split = dict.fromkeys(goal, 0), dict.fromkeys(goal, -(-_SPAN * _SPAN // BINS)), dict.fromkeys(goal, 0), {}
+        while len(split) < len(goal):
+            todo = [n for n in goal if n not in split]
+            own = keyed.join(_nodes(rows, "leaf, _start, _width", [(f"{n}L", f"{start[n]}L", f"{width[n]}L") for n in todo]), "leaf")
+            own = own.withColumn("_bin", F.floor((F.col("_place") - F.col("_start")) / F.col("_width"))).where((F.col("_bin") >= 0) & (F.col("_bin") < BINS))
             found = own.groupBy("leaf", "_bin").agg(F.sum(weight).alias("w"), F.min("_place").alias("first"), F.max("_place").alias("last")).collect()
             for n in todo:
                 for b in sorted((x for x in found if x["leaf"] == n), key=lambda x: x["_bin"]):
@@ -72,11 +70,11 @@ def kd_leaves(rows: DataFrame, dims: list[str], weight: str, tie: str, leaves: i
                 else:
                     start[n], width[n] = b["first"], (b["last"] - b["first"]) // BINS + 1
         right = {n: n + open_nodes[n] // 2 for n in split}
-        over = F.col("_place") >= _pick(split, F.col("leaf"), 0)
-        rows = keyed.withColumn("leaf", F.when(F.col("leaf").isin(list(split)) & over, _pick(right, F.col("leaf"), 0)).otherwise(F.col("leaf"))).drop("_place")
+        cuts = _nodes(rows, "leaf, _split, _right", [(f"{n}L", f"{split[n]}L", f"{right[n]}L") for n in split])
+        moved = F.when(F.col("_place") >= F.col("_split"), F.col("_right")).otherwise(F.col("leaf"))
+        rows = cut(keyed.join(cuts, "leaf", "left").select(*[moved.alias(c) if c == "leaf" else F.col(c) for c in columns]))
         parts = {n: open_nodes[n] // 2 for n in split} | {right[n]: open_nodes[n] - open_nodes[n] // 2 for n in split}
         open_nodes = {n: k for n, k in parts.items() if k > 1}
-        rows = cut(rows)
     return rows
 
 
