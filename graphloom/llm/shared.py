@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words of every contract here: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -143,19 +144,8 @@ def hash_rows(grams: np.ndarray, seed: int) -> np.ndarray:
     return h
 
 
-def batches(frames, max_chars: int = 2_000_000, text: str = "text"):
-    """Cuts Arrow batches into parts of bounded total text, so that very long documents don't pile up."""
-    for pdf in frames:
-        size = np.fromiter((len(t) if t else 0 for t in pdf[text]), np.int64, len(pdf)).cumsum() // max_chars
-        if len(size) == 0 or size[-1] == size[0]:
-            yield pdf
-        else:
-            for _, part in pdf.groupby(size, sort=False):
-                yield part
-
-
-def arrow_parts(record_batches, max_chars: int = 2_000_000, text: str = "text"):
-    """Arrow batches cut into parts of bounded total text, with texts of a part as a list; all columns stay exact."""
+def arrow_slices(record_batches, max_chars: int = 2_000_000, text: str = "text"):
+    """Arrow batches cut into slices of bounded total text, so that long documents don't pile up as Python objects."""
     import pyarrow.compute as pc
 
     for batch in record_batches:
@@ -164,8 +154,29 @@ def arrow_parts(record_batches, max_chars: int = 2_000_000, text: str = "text"):
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
-                own = batch.slice(a, b - a)
-                yield own, own[text].to_pylist()
+                yield batch.slice(a, b - a)
+
+
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInPandas over slices of bounded text; longs stay exact where some are null."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark_schema = T.StructType.fromDDL(schema)
+
+    def arrow(record_batches):
+        types = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+        made = to_arrow_schema(spark_schema)
+        for out in run(x.to_pandas(types_mapper=types.get) for x in arrow_slices(record_batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=made, preserve_index=False)
+
+    return df.mapInArrow(arrow, spark_schema)
+
+
+def arrow_parts(record_batches, text: str = "text"):
+    """Slices of bounded text with their texts as a list; all columns stay as they are."""
+    for own in arrow_slices(record_batches, text=text):
+        yield own, own[text].to_pylist()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -4,7 +4,7 @@ Words are lowered and stripped of all but letters and digits; features are the w
 pairs with one word between, hashed to `bits` bits, each counted once a document. FTRL keeps a rate for every
 coordinate, and its L1 term leaves most weights at exactly 0, so the weights that are broadcast are at most 2^bits.
 
-The classifier is fitted on a bounded sample: the `max_rows` labelled rows of smallest id hash. Their features are
+The classifier is fitted on a bounded sample: about `max_rows` labelled rows, chosen by id hash. Their features are
 hashed where the rows are; one task then trains on the features, in hash order.
 
 Defined results: null and empty texts have no feature and score as the bias does; of several labels of one document
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordCodes, batches, collected, flat_words, mix64
+from .shared import WordCodes, collected, flat_words, map_texts, mix64
 
 BITS = 20
 
@@ -82,18 +82,19 @@ def train(rows: list, bits: int, alpha: float, beta: float, l1: float, l2: float
 
 def fit(
     docs: DataFrame, labels: DataFrame, learned, bits: int = BITS, max_rows: int = 16_000,
-    alpha: float = 1.0, beta: float = 1.0, l1: float = 16.0, l2: float = 0.0, epochs: int = 20, min_rows: int = 3,
+    alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0, epochs: int = 6, min_rows: int = 3,
 ) -> dict:
     """Non-zero weights as sorted feature and value arrays, and the bias."""
-    picked = (
-        labels.where(learned & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / F.lit(float(1 << 31))
+    known = labels.where(learned & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    share = max_rows / max(1, known.count())
+    picked = known.where(place < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # the same share of documents can meet them at all
+    rows = docs.select("doc_id", "text").where(place < share).join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def hashed(frames):
         maker = Features(bits)
-        for pdf in batches(frames):
+        for pdf in frames:
             doc, feat = maker.of(pdf["text"].tolist())
             pairs = np.unique(doc << bits | feat)
             cuts = np.searchsorted(pairs >> bits, np.arange(1, len(pdf)))
@@ -107,7 +108,7 @@ def fit(
         at = np.flatnonzero(w)
         yield pd.DataFrame({"feat": np.append(at, -1), "w": np.append(w[at], b)})
 
-    found = collected(rows.mapInPandas(hashed, "doc_id long, toxic int, feats array<int>").coalesce(1).mapInPandas(once, "feat long, w double"))
+    found = collected(map_texts(rows, hashed, "doc_id long, toxic int, feats array<int>").repartition(1).mapInPandas(once, "feat long, w double"))
     own = found[found["feat"] >= 0].sort_values("feat")
     bias = found[found["feat"] < 0]["w"]
     return {"bits": bits, "feats": own["feat"].to_numpy(), "weights": own["w"].to_numpy(), "bias": float(bias.iloc[0]) if len(bias) else -20.0}
@@ -122,11 +123,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         dense = np.zeros(1 << model["bits"], np.float32)
         dense[model["feats"]] = model["weights"]
         maker = Features(model["bits"])
-        for pdf in batches(frames):
+        for pdf in frames:
             doc, feat = maker.of(pdf["text"].tolist())
             has = dense[feat] != 0
             pairs = np.unique(doc[has] << model["bits"] | feat[has])
             total = np.bincount(pairs >> model["bits"], dense[pairs & ((1 << model["bits"]) - 1)], len(pdf)) + model["bias"]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
