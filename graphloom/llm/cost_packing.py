@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches
+from .shared import map_texts
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -135,7 +135,7 @@ def pack(
             return out
 
         held, size = [], 0
-        for pdf in batches(frames, 2_000_000):
+        for pdf in frames:
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = np.append(tokens.ids(text or ""), np.uint32(end_id))
                 held.append((None if pd.isna(doc) else int(doc), ids))
@@ -146,4 +146,4 @@ def pack(
         if held:
             yield flush(held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches, cut
+from .shared import cut, map_texts
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -54,11 +54,11 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
 
     def run(frames):
-        for pdf in batches(frames):
+        for pdf in frames:
             fp = np.array([fingerprint(t, shingle_words) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 def covering_masks(radius: int = 2, bits: int = 64) -> list[int]:
@@ -111,5 +111,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     linked = labels.join(first, labels["node"] == first["fp"]).select("fp", "label", "first_id")
     ids = linked.groupBy("label").agg(F.min("first_id").alias("component_first"))
     wide = linked.join(ids, "label").select("fp", "component_first")
-    of = first.join(wide, "fp", "left").select("fp", F.coalesce("component_first", "first_id").alias("component_id"))
+    # written out, so that the last join has two plain sides and a hot fingerprint's side of it can be split
+    of = cut(first.join(wide, "fp", "left").select("fp", F.coalesce("component_first", "first_id").alias("component_id")))
     return fps.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordCodes, arrow_parts, batches, char_grams, collected, cut, flat_words, hash_rows
+from .shared import WordCodes, arrow_parts, char_grams, collected, cut, flat_words, hash_rows, map_texts
 
 LONGEST = 4
 MARKS = ("\x02", "\x03")
@@ -49,19 +49,21 @@ def sample(docs: DataFrame, learned, sample_docs: int) -> DataFrame:
 
     Those whose id hashes below the language's share, so no language is brought together in one task.
     """
-    ids = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    share = ids.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("_share"))
+    known = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # a count for each language, of which the model holds whole arrays
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return known.select("lang", "text")
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, sample_docs / n)])[F.col("lang")]
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / F.lit(float(1 << 31))
-    picked = ids.join(share, "lang").where(place < F.col("_share")).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi")
-    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+    return known.where(place < share).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit(docs: DataFrame, learned, sample_docs: int = 4000, min_count: int = 3) -> dict:
     """Sorted hash arrays of the words and of the n-grams, each with a row of log frequencies."""
 
     def count(frames):
-        for pdf in batches(frames):
+        for pdf in frames:
             found = defaultdict(Counter)
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 found[lang].update(flat_words([text])[0])
@@ -81,7 +83,7 @@ def fit(docs: DataFrame, learned, sample_docs: int = 4000, min_count: int = 3) -
                 part = pd.DataFrame({"lang": lang[owner], "h": hash_rows(g, k).view(np.int64), "n": n[owner]})
                 yield part.groupby(["lang", "h"], as_index=False)["n"].sum().assign(k=k)[["lang", "k", "h", "n"]]
 
-    words = cut(sample(docs, learned, sample_docs).mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = cut(map_texts(sample(docs, learned, sample_docs), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     total = Window.partitionBy("word")
     known = collected(words.withColumn("all", F.sum("n").over(total)).where(F.col("all") >= min_count).select("lang", "word", "n"))
     by_gram = collected(words.mapInPandas(grams, "lang string, k int, h long, n long").groupBy("lang", "k", "h").agg(F.sum("n").alias("n")))

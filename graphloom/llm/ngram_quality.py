@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordCodes, arrow_parts, batches, char_grams, collected, cut, flat_words, fresh, hash_rows
+from .shared import WordCodes, arrow_parts, char_grams, collected, cut, flat_words, fresh, hash_rows, map_texts
 
 ORDER = 4
 LEFT, RIGHT = "\x02" * (ORDER - 1), "\x03"
@@ -82,7 +82,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             codes.clear()
             sums.clear()
 
-        for pdf in batches(frames):
+        for pdf in frames:
             for name, part in pdf.groupby("lang", sort=False):
                 own = codes.setdefault(name, WordCodes(1 << 60))
                 at, _ = own.encode(flat_words(part["text"].tolist())[0])
@@ -94,7 +94,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return docs.select(_lang_key(), "text").mapInPandas(run, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_texts(docs.select(_lang_key(), "text"), run, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _ids(frames):
@@ -257,11 +257,11 @@ def features(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(frames):
         meter = Meter(shared.value)
-        for pdf in batches(frames):
+        for pdf in frames:
             pdf = pdf.reset_index(drop=True)
-            yield pd.concat([pdf["doc_id"].astype("Int64"), pdf["lang"], meter.of(pdf)], axis=1)
+            yield pd.concat([pdf["doc_id"], pdf["lang"], meter.of(pdf)], axis=1)
 
-    return docs.select(F.col("doc_id").cast("long"), _lang_key(), "text").mapInPandas(run, f"doc_id long, lang string, {MEASURES}")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), _lang_key(), "text"), run, f"doc_id long, lang string, {MEASURES}")
 
 
 def bands(found: DataFrame, band: float = 6.0, min_docs: int = 30) -> dict:
@@ -289,11 +289,9 @@ def verdicts(measured: pd.DataFrame, lang: pd.Series, limits: dict) -> np.ndarra
 def judge(found: DataFrame, limits: dict) -> DataFrame:
     """Adds kept to the rows of features."""
 
-    def run(frames):
-        for pdf in frames:
-            yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), kept=verdicts(pdf, pdf["lang"], limits))
-
-    return found.mapInPandas(run, f"doc_id long, lang string, {MEASURES}, kept boolean")
+    low, high = (F.coalesce(F.create_map(*[F.lit(x) for k, v in limits.items() if k is not None for x in (k, v[i])])[F.col("lang")] if len(limits) > 1 else F.lit(None).cast("double"), F.lit(limits[None][i])) for i in (0, 1))
+    inside = ~F.isnan("log_perplexity") & F.col("log_perplexity").between(low, high)
+    return found.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
 
 
 def keep(docs: DataFrame, model: dict, limits: dict) -> DataFrame:
