@@ -21,7 +21,8 @@ def duck():
 def text(df, cols):
     out = []
     for row in df[cols].astype(object).where(df[cols].notna(), None).values.tolist():
-        out.append(str([round(float(v), 6) if isinstance(v, float) else v for v in row]))
+        # columns with nulls come as floats from one side
+        out.append(str([round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in row]))
     return sorted(out)
 
 
