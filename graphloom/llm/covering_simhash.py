@@ -31,16 +31,23 @@ from .shared import cut, map_texts
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, shingle_words: int = 3) -> int:
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of every shingle of the text, repeats included."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(shingle_words, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())], "<u8")
+
+
+def fingerprint(text: str | None, shingle_words: int = 3) -> int:
+    h = shingle_hashes(text, shingle_words)
+    if not len(h):
+        return 0
     lanes = h.view(np.uint8).reshape(-1, 8)
     total = np.zeros(64, np.int64)
     for at in range(0, len(h), 32_768):
