@@ -264,10 +264,11 @@ def features(docs: DataFrame, model: dict) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long"), _lang_key(), "text"), run, f"doc_id long, lang string, {MEASURES}")
 
 
-def bands(found: DataFrame, band: float = 6.0, min_docs: int = 30) -> dict:
+def bands(found: DataFrame, band: float = 2.0, min_docs: int = 30) -> dict:
     """{language key: (lowest, highest log perplexity)}, and the band over all documents under None.
 
-    The driver gets a row for each language, of which the model holds far larger arrays.
+    The default band is the narrowest of steps of 0.25 that keeps 95 % of the good in one half of the labelled rows of
+    sf0.1. The driver gets a row for each language, of which the model holds far larger arrays.
     """
     good = found.where(~F.col("base_failed") & ~F.isnan("log_perplexity"))
     quartiles = F.count(F.lit(1)).alias("n"), F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q")

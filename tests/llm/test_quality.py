@@ -97,3 +97,12 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     found = cut(Q.features(docs, Q.fit(docs)))
     assert Q.judge(found, Q.bands(found)).count() == 0 and Q.keep(docs, Q.fit(docs), Q.bands(found)).count() == 0
+
+
+def test_bands_part_labelled_good_from_bad(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    found = cut(Q.features(docs, Q.fit(docs)))
+    rows = Q.judge(found, Q.bands(found)).where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    share = [sum(r["kept"] for r in rows if r["quality"] == q) / sum(r["quality"] == q for r in rows) for q in (0, 1)]
+    assert share[1] > 0.9 and share[0] < 0.65, share
