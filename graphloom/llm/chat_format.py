@@ -4,7 +4,8 @@ A conversation's turns go, in order, into windows of at most `budget` tokens. Pr
 spans that end between turns. Leading system turns are repeated at the head of every window; behind them up to
 `history_turns` turns of the window before are repeated while they leave the next turn its room. Repeated turns are
 masked: only an assistant turn's first appearance lies under the loss mask. A turn that is larger than the budget
-has a window of its own, whole.
+has a window of its own, whole. System turns are repeated whole whatever their size: where they leave a turn no room, the
+window has that one new turn and is larger than the budget (n_tokens tells).
 
 Template: `<turn role>\n` + text + `</turn>\n`, where in roles and texts a backslash goes before every backslash,
 before `<turn`, `</turn` and (in roles) before `>` and newlines; reading takes the backslashes off again.
@@ -47,16 +48,17 @@ def _tokens(turn: tuple[str, str]) -> int:
 
 def _windows(turns, budget: int, history_turns: int):
     """(text, first turn, system turns, repeated turns, loss spans, tokens) of the windows of one conversation."""
-    system, system_size, before, held, size, first = [], 0, [], [], 0, 0
+    # the leading system turns before turn `first` head the window, and head_size is their size
+    system, head_size, before, held, size, first = [], 0, [], [], 0, 0
 
     def build():
-        keep, room = [], budget - system_size - size
+        keep, room = [], budget - head_size - size
         for turn in reversed(before[-history_turns:] if history_turns else []):
             if turn[2] > room:
                 break
             room -= turn[2]
             keep.insert(0, turn)
-        heads = system if first else []
+        heads = system[:first]
         text, loss = [], []
         at = 0
         for k, (role, said, _) in enumerate([*heads, *keep, *held]):
@@ -71,16 +73,16 @@ def _windows(turns, budget: int, history_turns: int):
     leading = True
     for role, said in turns:
         turn = (role, said, _tokens((role, said)))
-        leading = leading and role == "system" and system_size + turn[2] <= budget // 2
-        if held and size + turn[2] + (system_size if first else 0) > budget:
+        leading = leading and role == "system"
+        if held and size + turn[2] + head_size > budget:
             yield build()
             first += len(held)
+            head_size = sum(x[2] for x in system[:first])
             before, held, size = held, [], 0
         held.append(turn)
         size += turn[2]
         if leading:
             system.append(turn)
-            system_size += turn[2]
     if held:
         yield build()
 

@@ -40,6 +40,21 @@ def test_a_turn_above_the_budget_stays_whole():
     assert [t for w in out for t in read_back(w[0])[w[2] + w[3] :]] == turns
 
 
+@pytest.mark.parametrize("sizes", [[300], [200, 200], [600], [600, 5]])
+def test_long_system_turns_head_every_window(sizes):
+    system = [("system", "s " * n) for n in sizes]
+    turns = system + [(("user", "assistant")[i % 2], f"w{i} " * 100) for i in range(12)]
+    out = list(_windows(iter(turns), 512, 2))
+    new = []
+    for text, first, n_system, n_repeated, _, size in out:
+        back, heads = read_back(text), system[:first]
+        assert back[: len(heads)] == heads and n_system == len(heads)
+        new += back[n_system + n_repeated :]
+        # above the budget only with a single new turn
+        assert size <= 512 or len(back) == n_system + n_repeated + 1
+    assert new == turns and len(out) > 3
+
+
 def test_digests_equal_brute_force(spark):
     random.seed(9)
     roles = ["user", "assistant", "system", None, "as>si\nstant", "assistant"]
