@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,3 +187,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name = "_" + name
         out.append(name)
     return out
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; equal rows have equal ones."""
+    cols = [F.col(c) for c in docs.columns]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
