@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, dense_index, fresh, shuffle_width
+from .shared import WORD, cut, dense_index, fresh, row_hash, shuffle_width
 
 CAP = 2.0
 
@@ -139,17 +139,19 @@ def mix(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5) -> DataFrame:
 def apply_mix(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5) -> DataFrame:
     """docs with every row repeated as often as the mix takes it.
 
-    Rows of equal (id, source, size) share their copies evenly; a remainder goes to them by their place in the input.
+    Rows of equal (id, source, size) share their copies evenly; a remainder goes to them in the order of a hash over their columns.
     """
     copies, sources = rates(docs, weights, budget)
-    doc, source, size, total, rows, own, n, copy = fresh(docs, "doc", "source_", "size", "total", "rows", "own", "n", "copy")
+    doc, source, size, total, rows, own, n, copy, turn = fresh(docs, "doc", "source_", "size", "total", "rows", "own", "n", "copy", "turn")
     per = copies.groupBy("doc_id", "source_no", "size").agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
     per = per.join(sources.select(F.col("source").alias(source), "source_no"), "source_no")
     per = per.select(F.col("doc_id").alias(doc), source, F.col("size").alias(size), total, rows)
     sized = docs.withColumn(own, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(size))
     met = sized.join(per, same)
-    turn = F.when(F.col(rows) == 1, F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col(rows)))
-    times = F.floor(F.col(total) / F.col(rows)) + (turn < F.col(total) % F.col(rows)).cast("long")
+    order = Window.partitionBy(doc, source, size).orderBy(row_hash(docs))
+    alone = met.where(F.col(rows) == 1).withColumn(turn, F.lit(0))
+    met = alone.unionByName(met.where(F.col(rows) > 1).withColumn(turn, F.row_number().over(order) - 1))
+    times = F.floor(F.col(total) / F.col(rows)) + (F.col(turn) < F.col(total) % F.col(rows)).cast("long")
     met = met.withColumn(n, times.cast("int")).where(F.col(n) > 0)
     return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -82,6 +82,21 @@ def test_apply_repeats_rows(spark):
         assert words[s] == pytest.approx(want[s], rel=0.06)
 
 
+def test_rows_of_one_id_share_what_the_mix_takes(spark):
+    rows = [(i, f"{k}{i} " * (20 + i % 30), "ab"[i % 2]) for i in range(150) for k in "xyz"[: 1 + i % 3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["doc_id"]: r["t"] for r in mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("t")).collect() if r["t"]}
+    seen = []
+    for dealt in (docs, docs.repartition(7)):
+        out = apply_mix(dealt).collect()
+        got = {}
+        for r in out:
+            got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
+        assert got == want
+        seen.append(sorted(map(str, out)))
+    assert seen[0] == seen[1]
+
+
 def test_empty_and_wordless_tables(spark):
     schema = "doc_id long, text string, source string"
     assert mix(spark.createDataFrame([], schema)).count() == 0
