@@ -9,8 +9,9 @@ a shorter piece, so a window pads less than one sequence in all.
 Windows are taken from the input's own partitions, so nothing is shuffled and no key can gather rows in one task.
 A window holds at most `window_docs` documents and a bounded number of characters.
 
-Defined results: a null text counts as empty; an empty document is the end token alone; repeated rows are packed
-one by one; a null id is kept as null; extra columns are ignored; an empty table gives no rows. The result depends
+Defined results: a null text counts as empty; an empty document is the end token alone; a text of any length is
+tokenized whole, blank or not, and cut into full sequences and a rest; repeated rows are packed one by one; equal costs
+go to the sequence opened first, equal sizes in the order of the rows; a null id is kept as null; extra columns are ignored; an empty table gives no rows. The result depends
 on the order of rows in a partition, so a retried task repeats it where the input is a file scan or a checkpoint.
 """
 
@@ -43,7 +44,8 @@ class TextTokenizer:
     """Token ids of whole texts from a byte-level BPE file of the tokenizers library.
 
     The file's vocabulary is handed to a second engine that merges bytes in order of rank. It gives the same ids in a
-    third of the time (the tests compare them); texts with rare white space or a special token take the library itself.
+    third of the time (the tests compare them); texts with rare white space or a special token take the library itself,
+    and so do those that the engine refuses, as its pattern has a bounded stack for long runs of white space.
     """
 
     def __init__(self, path: str):
@@ -63,9 +65,12 @@ class TextTokenizer:
         self.engine = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if _RARE.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.engine.encode_to_numpy(text, disallowed_special=())
+        if not _RARE.search(text):
+            try:
+                return self.engine.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def plan(rests: list[tuple[int, int]], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:

@@ -20,6 +20,56 @@ def test_ids_equal_the_library():
         assert own.ids(t or "").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "\n" * 1_000_000, " \n" * 600_000, "word " * 250_000, "x" * 1_200_000, "日本" * 600_000], ids=range(6))
+def test_long_texts(spark, text):
+    want = np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids + [0], "<u4")
+    assert (TextTokenizer(PATH).ids(text) == want[:-1]).all()
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").coalesce(1)
+    out = pack(docs, PATH, keep_ids=True).where("doc_id = 1").orderBy("start").collect()
+    assert [i for r in out for i in r["ids"]] == want.astype(int).tolist() and all(r["length"] == 1024 for r in out[:-2])
+
+
+def plain_plan(rests, capacity):
+    """The rule in plain words: the largest rest next, to the cheapest sequence with room; else the roomiest takes what fits."""
+    n = -(-sum(size for _, size in rests) // capacity)
+    used, cost, out = [0] * n, [0.0] * n, []
+    left = [[size, i, key, 0] for i, (key, size) in enumerate(rests)]
+    while left:
+        top = max(left, key=lambda x: (x[0], -x[1]))
+        left.remove(top)
+        size, i, key, first = top
+        fits = [s for s in range(n) if capacity - used[s] >= size]
+        seq = min(fits, key=lambda s: (cost[s], s)) if fits else min(range(n), key=lambda s: (used[s], s))
+        take = min(size, capacity - used[seq])
+        out.append((key, first, take, seq, used[seq]))
+        used[seq] += take
+        cost[seq] += take + take * take / 1024
+        if take < size:
+            left.append([size - take, i, key, first + take])
+    return out, cost
+
+
+def test_plan_equals_the_plain_rule():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        rests = [(i, int(n)) for i, n in enumerate(rng.integers(1, [64, 1024, 400][seed % 3], 80))]
+        assert plan(rests, 1024, 1.0, 1 / 1024) == plain_plan(rests, 1024)[0]
+
+
+def test_costs_are_nearer_than_in_input_order():
+    rng = np.random.default_rng(5)
+    rests = [(i, int(n)) for i, n in enumerate(rng.integers(1, 600, 400))]
+    _, cost = plain_plan(rests, 1024)
+    fill, plain = 0, [0.0]
+    for _, size in rests:  # next fit
+        if fill + size > 1024:
+            fill = 0
+            plain.append(0.0)
+        fill += size
+        plain[-1] += size + size * size / 1024
+    assert np.std(cost) < 0.5 * np.std(plain)
+
+
 def test_plan_fills_and_balances():
     rng = np.random.default_rng(1)
     rests = [(i, int(n)) for i, n in enumerate(rng.integers(1, 1024, 500))]
