@@ -193,3 +193,38 @@ def row_hash(docs: DataFrame) -> Column:
     """A hash of all columns of a row; equal rows have equal ones."""
     cols = [F.col(c) for c in docs.columns]
     return F.xxhash64(*cols, *[c.isNull() for c in cols])
+
+
+#: Sides of a join with more rows than this are not broadcast; rows of one key that a task of a spread join gets.
+SMALL, SPREAD = 1_000_000, 256
+
+
+def small(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """rows, marked for broadcast where they are few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+class Spread:
+    """Joins `many` to sides with one row for each key, where a key of many rows is dealt to several tasks.
+
+    The keys with more than `most` rows are counted first; rows of theirs get a salt from a hash of the row, and the
+    side's row is copied to each salt. There are at most 1 / most as many such keys as rows.
+    """
+
+    def __init__(self, many: DataFrame, key: str, most: int = SPREAD):
+        self.key = key
+        self.parts, self.salt = fresh(many, "parts", "salt")
+        often = cut(many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(self.parts)).where(F.col(self.parts) > 1))
+        n = often.count()
+        self.often = (F.broadcast(often) if n <= SMALL else often) if n else None
+        if n:
+            salt = F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col(self.parts)), F.lit(0)).alias(self.salt)
+            many = many.join(self.often, key, "left").select(*many.columns, salt)
+        self.many = many
+
+    def join(self, side: DataFrame, how: str = "inner") -> DataFrame:
+        if self.often is None:
+            return self.many.join(side, self.key, how)
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(self.parts), F.lit(1)).cast("long") - 1)).alias(self.salt)
+        copied = side.join(self.often, self.key, "left").select(*side.columns, salts)
+        return self.many.join(copied, [self.key, self.salt], how).drop(self.salt)

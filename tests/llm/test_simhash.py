@@ -4,7 +4,10 @@ import random
 import numpy as np
 import xxhash
 
-from graphloom.llm.covering_simhash import components, covering_masks, fingerprint, near_duplicates
+import pytest
+
+from graphloom.llm.covering_simhash import components, covering_masks, fingerprint, fingerprint_links, near_duplicates
+from graphloom.llm.shared import Spread
 
 
 def brute_fingerprint(text):
@@ -68,6 +71,70 @@ def test_groups_equal_brute_force(spark):
     assert sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in out) == want
 
 
+def near_value_links(fps):
+    """The plainer path: two values within two bits of each other meet at a value one bit from both."""
+    meet = {}
+    for f in fps:
+        for value in [f, *(f ^ 1 << i for i in range(64))]:
+            meet.setdefault(value, []).append(f)
+    return [(f, min(own)) for own in meet.values() for f in own if f != min(own)]
+
+
+def labels_of(nodes, links):
+    label = {x: x for x in nodes}
+    while True:
+        new = dict(label)
+        for a, b in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("small_bucket", [1, 3, 256])
+def test_links_of_buckets_equal_the_plainer_path(spark, small_bucket):
+    random.seed(7)
+    fps = set()
+    for _ in range(60):
+        f = random.getrandbits(64)
+        for _ in range(random.choice([1, 2, 3, 12])):
+            fps.add(f)
+            f ^= 1 << random.randrange(64) | 1 << random.randrange(64) | (1 << random.randrange(64) if random.random() < 0.3 else 0)
+    hot = random.getrandbits(64)
+    fps |= {hot ^ 1 << i ^ 1 << j for i, j in itertools.combinations(range(24), 2)}
+    signed = {x: x - (1 << 64) if x >> 63 else x for x in fps}
+    distinct = spark.createDataFrame([(x,) for x in signed.values()], "fp long")
+    got = [(r["fp"], r["hub"]) for r in fingerprint_links(distinct, small_bucket=small_bucket).collect()]
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 24 for a, b in got)
+    want = labels_of(signed.values(), [(signed[a], signed[b]) for a, b in near_value_links(fps)])
+    assert labels_of(signed.values(), got) == want
+
+
+def test_wider_radius(spark):
+    random.seed(8)
+    fps = {random.getrandbits(63) for _ in range(30)}
+    fps |= {f ^ sum(1 << b for b in random.sample(range(63), n)) for f in list(fps) for n in (3, 4, 5)}
+    got = [(r["fp"], r["hub"]) for r in fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp long"), radius=4).collect()]
+    want = [(a, b) for a, b in itertools.combinations(fps, 2) if bin(a ^ b).count("1") <= 4]
+    assert labels_of(fps, got) == labels_of(fps, want)
+
+
+def test_spread_join(spark):
+    many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, 5)], "k long, x long")
+    side = spark.createDataFrame([(i, i * 10) for i in range(200)], "k long, y long")
+    for how in ("inner", "left"):
+        want = sorted(map(str, many.join(side, "k", how).collect()))
+        assert sorted(map(str, Spread(many, "k", 7).join(side, how).collect())) == want
+        assert sorted(map(str, Spread(many, "k").join(side, how).collect())) == want
+
+
+def test_long_texts(spark):
+    rows = [(1, " \n" * 700_000), (2, ""), (3, "Word " * 300_000), (4, "x" * 1_500_000), (5, None)]
+    out = {r["doc_id"]: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i]["fingerprint"] == f"{brute_fingerprint(t):016x}" for i, t in rows)
+    assert out[1]["component_id"] == out[2]["component_id"] == out[5]["component_id"] == 1
+
+
 def test_long_chain_is_one_component(spark):
     chain = spark.range(0, 300).selectExpr("id as a", "id + 1 as b")
     out = components(chain, "a", "b").toPandas()
