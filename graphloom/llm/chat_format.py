@@ -1,11 +1,12 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns go, in order, into windows of at most `budget` tokens. Prefix sums of the turns' tokens choose
-spans that end between turns. Leading system turns are repeated at the head of every window; behind them up to
-`history_turns` turns of the window before are repeated while they leave the next turn its room. Repeated turns are
-masked: only an assistant turn's first appearance lies under the loss mask. A turn that is larger than the budget
-has a window of its own, whole. System turns are repeated whole whatever their size: where they leave a turn no room, the
-window has that one new turn and is larger than the budget (n_tokens tells).
+A conversation's turns go, in order, into windows of at most `budget` tokens: ids of the given tokenizer over the turns as
+they are written, roles, marks and backslashes included. (Its pattern never joins a turn's last character with the mark
+of the next, so the tokens of a window are the sum of its turns'.) The prefix sums of the turns' tokens choose spans that
+end between turns. Leading system turns are repeated at the head of every window; behind them up to `history_turns` turns
+of the window before are repeated while they leave the next turn its room. Repeated turns are masked: only an assistant
+turn's first appearance lies under the loss mask. One case exceeds the budget, and n_tokens tells it: a turn that is larger
+than the budget less the system turns has a window of its own, whole, behind all system turns, which no size takes away.
 
 Template: `<turn role>\n` + text + `</turn>\n`, where in roles and texts a backslash goes before every backslash,
 before `<turn`, `</turn` and (in roles) before `>` and newlines; reading takes the backslashes off again.
@@ -13,7 +14,7 @@ before `<turn`, `</turn` and (in roles) before `>` and newlines; reading takes t
 Turns of a conversation are brought to one partition, sorted, and streamed: memory holds one window, however long a
 conversation is. Defined results: null roles and texts count as empty; null turn numbers come first; rows with equal
 conv_id and turn follow in the order of role and text; repeated rows are turns of their own; a null conv_id is one
-conversation; extra columns are ignored; an empty table gives no rows.
+conversation; texts of any length stay whole; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cost_packing import TextTokenizer
+
 WINDOW = (
     "conv_id long, window_no long, text string, first_turn long, n_system int, n_repeated int, "
     "loss array<struct<start: int, end: int>>, n_tokens long"
 )
 _TURN = re.compile(r"<turn ((?:[^\\>\n]|\\[\s\S])*)>\n((?:[^\\<]|\\[\s\S]|<(?!/?turn))*)</turn>\n")
-_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def escape(text: str, role: bool = False) -> str:
@@ -42,56 +44,60 @@ def unescape(text: str) -> str:
     return re.sub(r"\\([\s\S])", r"\1", text)
 
 
-def _tokens(turn: tuple[str, str]) -> int:
-    return 4 + sum(1 for _ in _TOKEN.finditer(turn[1]))
+def written(role: str, said: str) -> tuple[str, str, str]:
+    """Head, body and end of a turn in the template."""
+    return f"<turn {escape(role, True)}>\n", escape(said), "</turn>\n"
+
 
+def _windows(turns, budget: int, history_turns: int, count):
+    """(text, first turn, system turns, repeated turns, loss spans, tokens) of the windows of one conversation.
 
-def _windows(turns, budget: int, history_turns: int):
-    """(text, first turn, system turns, repeated turns, loss spans, tokens) of the windows of one conversation."""
-    # the leading system turns before turn `first` head the window, and head_size is their size
-    system, head_size, before, held, size, first = [], 0, [], [], 0, 0
+    count gives the tokens of a written turn. Turns are (role, parts, tokens).
+    """
+    # system turns before turn `first` head the window; prefix sums: tokens up to the span's first turn and up to now
+    system, before, held, first, start, total, head = [], [], [], 0, 0, 0, 0
+    tokens = lambda some: sum(x[2] for x in some)
 
     def build():
-        keep, room = [], budget - head_size - size
+        heads, keep = system[:first], []
+        room = budget - head - (total - start)
         for turn in reversed(before[-history_turns:] if history_turns else []):
             if turn[2] > room:
                 break
             room -= turn[2]
             keep.insert(0, turn)
-        heads = system[:first]
-        text, loss = [], []
-        at = 0
-        for k, (role, said, _) in enumerate([*heads, *keep, *held]):
-            head, body = f"<turn {escape(role, True)}>\n", escape(said)
-            text += [head, body, "</turn>\n"]
+        text, loss, at = [], [], 0
+        for k, (role, parts, _) in enumerate([*heads, *keep, *held]):
             if role == "assistant" and k >= len(heads) + len(keep):
-                loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
-            at += len(head) + len(body) + 8
-        total = size + sum(x[2] for x in [*heads, *keep])
-        return "".join(text), first, len(heads), len(keep), loss, total
+                loss.append({"start": at + len(parts[0]), "end": at + len(parts[0]) + len(parts[1])})
+            text += parts
+            at += sum(map(len, parts))
+        return "".join(text), first, len(heads), len(keep), loss, total - start + head + tokens(keep)
 
     leading = True
     for role, said in turns:
-        turn = (role, said, _tokens((role, said)))
+        parts = written(role, said)
+        turn = (role, parts, count("".join(parts)))
         leading = leading and role == "system"
-        if held and size + turn[2] + head_size > budget:
+        if held and head + total + turn[2] - start > budget:
             yield build()
-            first += len(held)
-            head_size = sum(x[2] for x in system[:first])
-            before, held, size = held, [], 0
+            first, start = first + len(held), total
+            head = tokens(system[:first])
+            before, held = held, []
         held.append(turn)
-        size += turn[2]
+        total += turn[2]
         if leading:
             system.append(turn)
     if held:
         yield build()
 
 
-def format_windows(turns: DataFrame, budget: int = 512, history_turns: int = 2) -> DataFrame:
+def format_windows(turns: DataFrame, tokenizer_path: str, budget: int = 512, history_turns: int = 2) -> DataFrame:
     """Windows of every conversation; the windows of one follow each other in one partition."""
 
     def run(frames):
-        rows, held, key = [], 0, [None, False]
+        tokenizer = TextTokenizer(tokenizer_path)
+        rows, held = [], 0
 
         def stream():
             for pdf in frames:
@@ -109,7 +115,7 @@ def format_windows(turns: DataFrame, budget: int = 512, history_turns: int = 2)
                     yield row[1] or "", row[2] or ""
                     row = next(source, None)
 
-            for n, (text, first, n_system, n_repeated, loss, size) in enumerate(_windows(own(), budget, history_turns)):
+            for n, (text, first, n_system, n_repeated, loss, size) in enumerate(_windows(own(), budget, history_turns, lambda text: len(tokenizer.ids(text)))):
                 rows.append((conv, n, text, first, n_system, n_repeated, loss, size))
                 held += len(text)
                 if held > 4_000_000:

@@ -37,7 +37,7 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
-    return chat_format.digests(chat_format.format_windows(turns.unionByName(added)))
+    return chat_format.digests(chat_format.format_windows(turns.unionByName(added), TOKENIZER))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
