@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordCodes, arrow_parts, char_grams, collected, cut, flat_words, hash_rows, map_texts
+from .shared import WordCodes, arrow_parts, char_grams, collected, cut, flat_words, hash_rows, map_arrow, map_texts
 
 LONGEST = 4
 MARKS = ("\x02", "\x03")
@@ -165,4 +165,4 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
     added = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, added)
+    return map_arrow(docs, run, added)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read again; `release` deletes what was written."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables of `written`; what was made from them must have been stored."""
+    while _written:
+        delete_folder(spark, _written.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -157,6 +180,18 @@ def arrow_slices(record_batches, max_chars: int = 2_000_000, text: str = "text")
                 yield batch.slice(a, b - a)
 
 
+#: Rows of an Arrow batch, where the session allows more: a batch of texts is held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over batches of few rows; the session's own setting is lowered for that, as texts may be long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInPandas over slices of bounded text; longs stay exact where some are null."""
     import pyarrow as pa
@@ -170,7 +205,7 @@ def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
         for out in run(x.to_pandas(types_mapper=types.get) for x in arrow_slices(record_batches)):
             yield pa.RecordBatch.from_pandas(out, schema=made, preserve_index=False)
 
-    return df.mapInArrow(arrow, spark_schema)
+    return map_arrow(df, arrow, spark_schema)
 
 
 def arrow_parts(record_batches, text: str = "text"):
