@@ -8,8 +8,8 @@ below the tolerance. Rows that agree in the dimension are told apart by a hash,
 
 The driver sees at most 256 bins for each open node. A shard's slots are numbered by prefix sums over hash buckets.
 
-Defined results: a null text has 0 bytes and crc32 0; null metadata lie below all values; repeated rows are placed one
-by one; extra columns are ignored; an empty table gives no rows. The result depends on the rows alone.
+Defined results: a null text has 0 bytes and crc32 0; null lang and source come behind all values, a null id counts as -1;
+texts of any length have their whole bytes counted; repeated rows are placed one by one (`nth` numbers them); extra columns are ignored; an empty table gives no rows. The result depends on the rows alone.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, dense_index
+from .shared import cut, dense_index, fresh, row_hash, small
 
 BINS = 256
 _SPAN = 1 << 31
@@ -79,7 +79,7 @@ def kd_leaves(rows: DataFrame, dims: list[str], weight: str, tie: str, leaves: i
 
 
 def shards(docs: DataFrame, n_shards: int = 40, slot_bucket: int = 4000) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row; the law is `bytes`."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, lang, source, nth) for every row; the law is `bytes`."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(
         F.col("doc_id").cast("long"), "lang", "source",
@@ -90,7 +90,7 @@ def shards(docs: DataFrame, n_shards: int = 40, slot_bucket: int = 4000) -> Data
         index = dense_index(counted, c, f"_{c}").withColumnRenamed(c, "_value")
         counted = counted.join(index, F.col(c).eqNullSafe(F.col("_value"))).drop("_value")
     nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_nth")
-    each = counted.select("doc_id", "size", "text_crc32", F.col("_lang").cast("double"), F.col("_source").cast("double"), nth)
+    each = counted.select("doc_id", "lang", "source", "size", "text_crc32", F.col("_lang").cast("double"), F.col("_source").cast("double"), nth)
     each = each.withColumn("_length", F.log2("size")).withColumn("_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)))
     rows = cut(each.withColumn("_tie", F.xxhash64("text_crc32", "doc_id", "_nth")))
     placed = kd_leaves(rows, ["_source", "_lang", "_length", "_id"], "size", "_tie", n_shards)
@@ -104,12 +104,26 @@ def shards(docs: DataFrame, n_shards: int = 40, slot_bucket: int = 4000) -> Data
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("leaf").cast("int").alias("shard"),
         (F.col("_base") + F.col("_row") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "lang", "source", F.col("_nth").alias("nth"),
     )
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes the documents under path/shard=N; several files a shard, so that no task writes a whole shard."""
-    of = placed.select(F.col("doc_id").alias("_doc"), F.col("text_crc32").alias("_crc"), "shard").distinct()
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (crc == F.col("_crc"))
-    docs.join(of, same).drop("_doc", "_crc").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Writes each row of docs once under path/shard=N; several files a shard, so that no task writes a whole shard.
+
+    Rows that agree in id, language, source and text are numbered within the input's partitions, shifted by the counts of the
+    partitions before, and the n-th takes the n-th place. docs is a file scan or a checkpoint; a column shard of its is replaced.
+    """
+    row, part, base, nth, key = fresh(docs, "row", "part", "base", "nth_row", "key_")
+    of_key = lambda crc: F.struct("doc_id", "lang", "source", crc)
+    named = docs.withColumn(key, of_key(F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))).withColumn(row, row_hash(docs))
+    often = small(cut(placed.where("nth > 1").select(of_key(F.col("text_crc32").alias("crc")).alias(key)).distinct()))
+    alone = named.join(often, key, "left_anti").withColumn(nth, F.lit(1).cast("long"))
+    again = named.join(often, key, "left_semi").withColumn(part, F.spark_partition_id())
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = again.groupBy(key, part).agg(F.count(F.lit(1)).alias("_n")).select(key, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(base))
+    number = F.row_number().over(Window.partitionBy(key, part).orderBy(row))
+    again = again.withColumn(nth, number).join(sums, [key, part]).withColumn(nth, F.col(nth) + F.col(base)).drop(part, base)
+    places = placed.select(of_key(F.col("text_crc32").alias("crc")).alias(key), F.col("nth").alias(nth), F.col("shard").alias("_to"))
+    met = alone.unionByName(again).join(places, [key, nth])
+    met.select(*docs.drop("shard").columns, F.col("_to").alias("shard")).write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -1,7 +1,8 @@
+import collections
 import random
 import zlib
 
-from graphloom.llm.kd_shard import shards, write_shards
+from graphloom.llm.kd_shard import kd_leaves, shards, write_shards
 
 
 def rows():
@@ -42,3 +43,64 @@ def test_written_files_hold_the_documents(spark, tmp_path):
     write_shards(docs, shards(docs, 4), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 4
+
+
+def test_written_files_hold_repeated_rows_once(spark, tmp_path):
+    rows = [(5, "twice", "en", "s", k % 3) for k in range(700)] + [(None, "t", None, None, k) for k in range(300)] + [(i, f"t{i % 7}", "en", f"s{i % 3}", 1) for i in range(400)] * 2 + [(9, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, nth int").repartition(6)
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    placed = shards(docs, 7)
+    write_shards(docs, placed, str(tmp_path / "out"))
+    back = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(map(str, (r[:5] for r in back))) == sorted(map(str, rows))
+    places = collections.Counter((str(r["doc_id"]), r["text_crc32"], r["shard"]) for r in placed.collect())
+    assert places == collections.Counter((str(r[0]), zlib.crc32((r[1] or "").encode()), r[5]) for r in back)
+
+
+def plain_tree(rows, dims, leaves):
+    """{tie: leaf} by sorting: rows are (tie, weight, values)."""
+    span = 1 << 31
+    scale = [max(max(r[2][d] for r in rows) - min(r[2][d] for r in rows), 1e-300) for d in range(dims)]
+    out = {}
+
+    def split(own, first, n):
+        if n == 1 or not own:
+            out.update((r[0], first) for r in own)
+            return
+        ends = [(min(r[2][d] for r in own), max(r[2][d] for r in own)) for d in range(dims)]
+        wide = max(range(dims), key=lambda d: (ends[d][1] - ends[d][0]) / scale[d])
+        lo, hi = ends[wide]
+
+        def place(r):
+            unit = (r[2][wide] - lo) / (hi - lo) if hi > lo else 0.0
+            return min(int(unit * span), span - 1) * span + ((r[0] & (2**64 - 1)) >> 33)
+
+        own = sorted(own, key=place)
+        goal, left, k = sum(r[1] for r in own) * (n // 2) / n, 0, 0
+        while k < len(own) and left + own[k][1] < goal:
+            left += own[k][1]
+            k += 1
+        if goal - left > left + own[k][1] - goal:
+            k += 1
+        split(own[:k], first, n // 2)
+        split(own[k:], first + n // 2, n - n // 2)
+
+    split(rows, 0, leaves)
+    return out
+
+
+def test_tree_equals_plain_recursion(spark):
+    random.seed(12)
+    rows = [(random.getrandbits(64) - 2**63, random.randint(1, 50), (float(random.randint(0, 3)), random.random(), float(i))) for i in range(500)]
+    df = spark.createDataFrame([(t, w, *v) for t, w, v in rows], "tie long, w long, a double, b double, c double")
+    for leaves in (2, 5, 12):
+        got = {r["tie"]: r["leaf"] for r in kd_leaves(df, ["a", "b", "c"], "w", "tie", leaves, tolerance=0.0).collect()}
+        assert got == plain_tree(rows, 3, leaves)
+
+
+def test_long_texts(spark):
+    rows = [(1, " \n" * 700_000, "en", "s"), (2, "x" * 1_500_000, "en", "s"), (3, "é", "en", "s"), (4, None, "en", "s")]
+    out = {r["doc_id"]: r for r in shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 2).collect()}
+    assert [out[i]["size"] for i in range(1, 5)] == [1_400_016, 1_500_016, 18, 16]
+    assert all(out[i]["text_crc32"] == zlib.crc32((t or "").encode()) for i, t, _, _ in rows)
