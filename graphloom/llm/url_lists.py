@@ -4,12 +4,14 @@ An event (pattern, verdict, dated) sets the verdict of a host suffix or of a hos
 (`block`, `allow`, or `drop`, which takes the entry off the list). An entry is valid from its date to the next date of
 the same pattern; of several events of a pattern on one date the last verdict in code-point order counts.
 
-A capture is looked up under every suffix of its host and every path prefix of its host that ends at a slash; among
-the entries active at the time the longest pattern decides (an exact tie cannot be). Captures are counted by
+A capture is looked up under the suffixes of its host and the path prefixes of its host that end at a slash, of the
+numbers of labels and of slashes that patterns of the list have (so a URL of any length makes few keys); among the entries
+active at the time the longest pattern decides (an exact tie cannot be). Captures are counted by
 (url, time) first; keys meet the list in an equi-join whose list side holds one row for each pattern, with its intervals in order, so a hot host
 is a skewed join side that can be split, never a group in one task.
 
-Defined results: null, empty and unparsable URLs and null times meet no entry (verdict `none`); captures before an
+Defined results: null, empty and unparsable URLs and null times meet no entry (verdict `none`); URLs of any length are
+read whole; captures before an
 entry's first date don't see it; repeated captures stay as they are; extra columns are kept, and columns named like the
 results are replaced; an empty list or table is fine.
 """
@@ -34,15 +36,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """Patterns that a capture can meet: host suffixes, and the host with each prefix of its path that ends at a slash."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.split(path, "/")
-    prefixes = F.transform(
-        F.filter(F.sequence(F.lit(1), F.size(steps)), lambda i: i < F.size(steps)),
-        lambda i: F.concat(host, F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/")),
+def shapes(events: DataFrame) -> tuple[list[int], list[int]]:
+    """The numbers of labels of the list's host patterns, and of slashes of its path patterns: as many as kinds of patterns."""
+    kinds = events.where("pattern is not null").select(
+        F.contains("pattern", F.lit("/")).alias("path"), F.when(F.contains("pattern", F.lit("/")), F.regexp_count("pattern", F.lit("/"))).otherwise(F.size(F.split("pattern", r"\."))).alias("n")
     )
+    found = kinds.distinct().collect()
+    return sorted(r["n"] for r in found if not r["path"]), sorted(r["n"] for r in found if r["path"])
+
+
+def lookup_keys(host: Column, path: Column, labels: list[int], slashes: list[int]) -> Column:
+    """Patterns that a capture can meet: host suffixes of so many labels, and the host with path prefixes of so many slashes."""
+    numbers = lambda own: F.array(*[F.lit(n) for n in own]).cast("array<int>")
+    parts, steps = F.split(host, r"\."), F.split(path, "/")
+    suffixes = F.transform(F.filter(numbers(labels), lambda n: n <= F.size(parts)), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
+    prefixes = F.transform(F.filter(numbers(slashes), lambda n: n < F.size(steps)), lambda n: F.concat(host, F.call_function("substring_index", path, F.lit("/"), n), F.lit("/")))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, prefixes)))
 
 
@@ -59,7 +67,7 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", at: str = "f
     captures = captures.drop(*RESULTS)
     own_url, own_at = fresh(captures, "own_url", "own_at")
     seen = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).distinct().where("_url is not null and _at is not null")
-    keyed = seen.withColumn("host", host_of(F.col("_url"))).select("_url", "_at", F.explode(lookup_keys(F.col("host"), path_of(F.col("_url")))).alias("pattern"))
+    keyed = seen.withColumn("host", host_of(F.col("_url"))).select("_url", "_at", F.explode(lookup_keys(F.col("host"), path_of(F.col("_url")), *shapes(events))).alias("pattern"))
     entries = F.sort_array(F.collect_list(F.struct("valid_from", "valid_to", "verdict")))
     packed = intervals(events).groupBy("pattern").agg(entries.alias("_entries"))
     met = keyed.join(packed, "pattern")

@@ -30,6 +30,14 @@ def test_entries_active_at_fetch_time_decide(spark):
         assert (r["verdict"], r["pattern"], r["blocked"]) == (verdict, pattern, verdict == "block"), r
 
 
+def test_long_urls(spark):
+    events = spark.createDataFrame([*EVENTS, ("bad.com/" + "q/" * 5, "allow", DAY(6)), ("c.d", "block", DAY(1))], "pattern string, verdict string, dated timestamp")
+    urls = ["http://bad.com/" + "q/" * 100_000, "http://" + "a." * 100_000 + "c.d/x", "http://c.d/" + "z" * 1_500_000, " " * 1_200_000, "http://bad.com/" + "q/" * 4 + "end"]
+    captures = spark.createDataFrame([(i, u, DAY(7)) for i, u in enumerate(urls)], "id int, url string, fetched_at timestamp")
+    got = {r["id"]: (r["verdict"], r["pattern"]) for r in judge(captures, events).select("id", "verdict", "pattern").collect()}
+    assert got == {0: ("allow", "bad.com/" + "q/" * 5), 1: ("block", "c.d"), 2: ("block", "c.d"), 3: ("none", None), 4: ("block", "bad.com")}
+
+
 def test_empty_list_and_table(spark):
     events = spark.createDataFrame([], "pattern string, verdict string, dated timestamp")
     captures = spark.createDataFrame([("http://a.b/c", DAY(1))], "url string, fetched_at timestamp")
