@@ -9,8 +9,8 @@ in a tree: per query and group of shards, then per query.
 Products are exact: in floating point while dimension * (largest component)^2 stays below 2^53, else with integers of
 any length (scores beyond a long are clamped to it). Vectors of different lengths are not compared.
 
-Defined results: vectors that are null or hold null, NaN or infinite components take no part, nor do rows without an
-id; a query is not compared with rows of its own id; each query row of an id that repeats has its lists merged, so a
+Defined results: vectors that are null or hold null, NaN or infinite components take no part, nor do those with a component
+that is beyond a double once scaled, nor rows without an id; a query is not compared with rows of its own id; each query row of an id that repeats has its lists merged, so a
 repeated id gets the k best (score, vec_id) pairs over its rows; repeated candidates each count; ties go to the
 smaller id; extra columns are ignored; an empty side gives no rows.
 """
@@ -57,7 +57,7 @@ def _tiles(vectors: DataFrame, shards: int, scale: float, tile_rows: int) -> Dat
         for dim in list(held):
             yield tile(dim)
 
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * scale) == float("inf")))
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
     return good.select(F.col("vec_id").cast("long"), "embedding").mapInPandas(run, TILE)
 

@@ -34,6 +34,13 @@ def test_large_components_are_exact(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(brute(rows, lambda i: i == 0, 5))
 
 
+def test_components_beyond_a_double_take_no_part(spark):
+    rows = [(0, [1e306, 1.0]), (1, [1.0, 1e305]), (2, [1.0, 2.0]), (100, [3.0, 1.0]), (3, [-1e306, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in top_k(df.where("vec_id % 100 = 0"), df, 5).collect()]
+    assert sorted(got) == [(100, 1, 2**63 - 1), (100, 2, 5 * 1024 * 1024)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     assert top_k(df.limit(0), df).count() == 0 and top_k(df, df.limit(0)).count() == 0 and top_k(df, df).count() == 0
