@@ -13,11 +13,13 @@ smallest, a document takes the number of copies next to its rate that keeps the
 
 Defined results: a null text has size 0; documents of size 0 are taken once if the source's rate is below the cap
 (0 words either way); a null source is a source of its own; repeated rows are documents of their own; extra columns
-are ignored by `mix` and kept by `apply_mix`; an empty table gives no rows. The result depends on the rows alone.
+are ignored by `mix` and kept by `apply_mix`; texts of any length are counted whole; an empty table gives no rows. The result depends on the rows alone.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -44,10 +46,11 @@ def targets(sources: DataFrame, weights=(5, 2, 1), budget: float = 1.5) -> DataF
     return own.withColumn("target", F.when(capped, F.col("_cap")).otherwise(F.col("_w") * level)).drop("_w", "_cap")
 
 
-def tilts(sizes: DataFrame, goals: DataFrame, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+def tilts(sizes: DataFrame, goals: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """(source_no, source_size, target, mean, tilt) from (source_no, size, n) and the goals.
 
-    A source at its cap has an infinite tilt, which stands for rate 2.
+    A source at its cap has an infinite tilt, which stands for rate 2. A source ends when its sum is within the tolerance of
+    its target or its bracket is as narrow as doubles are; every third step halves the bracket, so this always comes.
     """
     mean = sizes.groupBy("source_no").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     at_cap = F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12)
@@ -60,7 +63,7 @@ def tilts(sizes: DataFrame, goals: DataFrame, rounds: int = 60, tolerance: float
         .withColumn("hi", F.lit(1e6))
     )
     state, fixed = cut(start), goals.columns
-    for _ in range(rounds):
+    for turn in itertools.count(1):
         if state.where(~F.col("done")).limit(1).count() == 0:
             break
         z = F.col("tilt") * F.col("size") / F.col("mean")
@@ -77,8 +80,10 @@ def tilts(sizes: DataFrame, goals: DataFrame, rounds: int = 60, tolerance: float
         step = F.col("tilt") - gap / F.col("slope")
         middle = F.when(F.col("_hi") >= 1e6, F.greatest(F.col("tilt") * 2, F.lit(1.0))).when(F.col("_lo") <= -1e4, F.least(F.col("tilt") * 2, F.lit(-1.0))).otherwise((F.col("_lo") + F.col("_hi")) / 2)
         joined = state.join(sums, "source_no", "left").withColumn("_lo", lo).withColumn("_hi", hi)
-        done = F.col("done") | (F.abs(gap) <= tolerance * F.col("target"))
-        inside = (F.col("slope") > 0) & (step > F.col("_lo")) & (step < F.col("_hi"))
+        narrow = F.col("_hi") - F.col("_lo") <= 1e-14 * F.greatest(F.abs("_lo"), F.abs("_hi"))
+        done = F.col("done") | (F.abs(gap) <= tolerance * F.col("target")) | F.coalesce(narrow, F.lit(False))
+        bracketed = (F.col("_lo") > -1e4) & (F.col("_hi") < 1e6)
+        inside = (F.col("slope") > 0) & (step > F.col("_lo")) & (step < F.col("_hi")) & (F.lit(turn % 3 != 0) | ~bracketed)
         tilt = F.when(done, F.col("tilt")).when(inside, step).otherwise(middle)
         state = cut(joined.select(*fixed, "mean", done.alias("done"), tilt.alias("tilt"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
     return state.select(*fixed, "mean", "tilt")
