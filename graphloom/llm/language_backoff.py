@@ -9,7 +9,7 @@ enter the model from `min_count` occurrences on. What is broadcast is bounded by
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if nothing was learned; a null id is not
 held out and is not learned from; of several rows with one id and language the smallest text is learned; repeated rows
-are scored one by one; extra columns are ignored; ties go to the language that is smaller in code-point order.
+are scored one by one; texts of any length are read whole; extra columns are kept; ties go to the language that is smaller in code-point order.
 """
 
 from __future__ import annotations
@@ -137,12 +137,12 @@ def word_scores(model: dict, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score added (columns of these names are replaced)."""
+def predict(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the prediction and its score added under the two names (columns of these names are replaced)."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
 
     def run(record_batches):
         model = shared.value
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 label[has] = np.array(model["langs"], object)[best[has]]
                 score[has] = share[has]
             columns = [*batch.columns, pa.array(label.tolist(), pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
-    added = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    added = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return map_arrow(docs, run, added)
