@@ -188,7 +188,7 @@ def model_rows(grams: DataFrame) -> DataFrame:
         ctx = own.groupBy("lang", "chi", "clo").agg(F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("gamma"), F.count(F.lit(1)).alias("kinds"))
         weight = F.col("gamma") / (F.col("kinds") + 1) if k == 1 else F.col("gamma")
         ctx = cut(ctx.select("lang", "chi", "clo", "total", weight.alias("gamma")))
-        probs = own.join(small(ctx), ["lang", "chi", "clo"]).withColumn("own", (F.col("n") - F.col("taken")) / F.col("total"))
+        probs = own.join(ctx, ["lang", "chi", "clo"]).withColumn("own", (F.col("n") - F.col("taken")) / F.col("total"))
         if k == 1:
             probs = probs.select("lang", "hi", "lo", (F.col("own") + F.col("gamma")).alias("p"))
         else:
