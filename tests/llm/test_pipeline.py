@@ -1,5 +1,13 @@
+import collections
+import os
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from graphloom.llm import language_backoff, ngram_quality
 from graphloom.llm.covering_simhash import fingerprint
+from graphloom.llm.queries import TOKENIZER, id_crc
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +43,86 @@ def test_stages_take_odd_rows(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "doc_id + 0.5D as score", "concat('v', doc_id) as lang_pred", "-doc_id as m_lang", "doc_id as copy", "doc_id as size", "doc_id as `row`")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        for r in stage(spark, docs, SF).collect():
+            assert (r["score"], r["lang_pred"], r["m_lang"], r["copy"], r["size"], r["row"]) == (r["doc_id"] + 0.5, f"v{r['doc_id']}", -r["doc_id"], *[r["doc_id"]] * 3), name
+
+
+def test_language_and_quality_stages_equal_their_rules_row_by_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_backoff.fit(docs, id_crc() % 3 != 1)
+    want = []
+    for r in docs.collect():
+        letters = [w for w in (r["text"] or "").split() if language_backoff.letters(w.encode())]
+        if letters:
+            total = language_backoff.word_scores(model, [w.encode() for w in letters]).astype(float).sum(axis=0)
+            if 1 / np.exp(total - total.max()).sum() >= 0.5:
+                want.append(r["doc_id"])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, SF).collect()) == sorted(want)
+
+    arrays, found = ngram_quality.Meter(ngram_quality.fit(docs)).model, {}
+    from tests.llm.test_quality import brute
+
+    for r in docs.collect():
+        words = ngram_quality.read_text((r["text"] or "").encode().split())
+        logs, n = ngram_quality.text_logs(arrays[f"={r['lang']}"], [words]) if words else ([0.0], [1])
+        found[r["doc_id"]] = (r["lang"], brute(r["text"])[-1], -logs[0] / n[0])
+    kept = []
+    every = [p for _, failed, p in found.values() if not failed]
+    for i, (lang, failed, p) in found.items():
+        own = [q for x, bad, q in found.values() if x == lang and not bad]
+        own = sorted(own if len(own) >= 30 else every)
+        low, mid, high = (own[max(-(-len(own) * k // 4) - 1, 0)] for k in (1, 2, 3))
+        if not failed and abs(p - mid) <= 2 * max(high - low, 0.01):
+            kept.append(i)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()) == sorted(kept)
+
+
+def test_mix_stage_meets_the_targets_of_the_contract(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = lambda t: len((t or "").encode().split())
+    sizes, taken, copies = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in docs.collect():
+        sizes[r["source"]] += size(r["text"])
+    for r in corpus_pipeline.mix_stage(spark, docs, SF).collect():
+        taken[r["source"]] += size(r["text"])
+        copies[tuple(r)] += 1
+    names = sorted(sizes)
+    weight = dict(zip(names, [5, 2, 1] * len(names)))
+    target, open_, left = {}, set(names), 1.5 * sum(sizes.values())
+    while True:
+        share = {x: left * weight[x] / sum(weight[y] for y in open_) for x in open_}
+        full = {x for x in open_ if share[x] >= 2 * sizes[x]}
+        if not full:
+            target |= share
+            break
+        target |= {x: 2 * sizes[x] for x in full}
+        left -= sum(2 * sizes[x] for x in full)
+        open_ -= full
+    largest = max(size(r["text"]) for r in docs.collect())
+    assert max(copies.values()) <= 2 and all(abs(taken[x] - target[x]) <= largest for x in names)
+
+
+def test_pack_stage_holds_every_id_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    library = Tokenizer.from_file(TOKENIZER)
+    want = collections.Counter()
+    for r in docs.collect():
+        want[r["doc_id"]] += len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    got = collections.Counter()
+    out = corpus_pipeline.pack_stage(spark, docs, SF).collect()
+    for r in out:
+        got[r["doc_id"]] += r["length"]
+    assert got == want and len({r["sequence_id"] for r in out}) <= -(-sum(want.values()) // 1024) + docs.rdd.getNumPartitions()
+
+
+def test_run_leaves_only_its_last_result(spark):
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(top))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    new = {x for x in set(os.listdir(top)) - before if x.startswith(("pipeline-", "table-"))}
+    assert len(new) == 1 and os.listdir(f"{top}/{new.pop()}") == ["4"]
