@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
 from . import service as services
 from .functions import ids
 from .operators import lookups, search, walks, whole
@@ -24,8 +24,8 @@ def _slim(row: dict, always: tuple[str, ...] = ()) -> dict:
 
 
 class App:
-    def __init__(self, spark: SparkSession, root: str | Path | None = None):
-        self.spark, self.registry = spark, services.Registry(Path(root) if root else None)
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.registry = spark, services.Registry(root)
 
     def _index(self, service: str):
         return services.open_index(self.spark, self.registry, service)
@@ -40,7 +40,7 @@ class App:
         return _slim({"id": service, "root": e["rootAbs"], "description": e["description"], "mainEntities": e["mainEntities"]}, ("id", "root"))
 
     def add_service(self, root: str, service: str = "", description: str = "", main_entities: list[str] | None = None) -> dict:
-        name = services.sanitize(service or os.path.basename(os.path.abspath(root)))
+        name = services.sanitize(service or os.path.basename(files.full(root).rstrip("/")))
         self.registry.add(name, root, description, main_entities)
         self.sync(name)
         return self.info(name)

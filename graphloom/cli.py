@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("path_or_id")
     v = sub.add_parser("viz")
     v.add_argument("--port", type=int, default=8080)
+    v.add_argument("--service", default="")
     return p
 
 
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None, app: App | None = None) -> None:
     if command == "serve":
         return serve_stdio(app)
     if command == "viz":
-        return serve_http(app, port=args["port"]).serve_forever()
+        return serve_http(app, port=args["port"], service=args["service"]).serve_forever()
     name = {"list": "services", "add": "add_service"}.get(command, command)
     print(json.dumps(getattr(app, name)(**args), indent=2, ensure_ascii=False))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -29,11 +31,10 @@ def doc_stats(docs: DataFrame) -> DataFrame:
 
 def query_terms(spark, text: str, stop_words: list[str] | None = None) -> list[str]:
     """Normalized terms of a query; a term that ends in * matches by prefix, other marks separate."""
-    rows = spark.range(1).select(normalize(F.lit(text), stop_words).alias("t")).first()["t"]
+    terms = F.transform(normalize(F.lit(text), stop_words), lambda t: F.struct(t.alias("term"), index_terms(t).alias("words")))
     out = []
-    for term in rows:
-        words = spark.range(1).select(index_terms(F.lit(term)).alias("t")).first()["t"]
-        out += [w + ("*" if term.endswith("*") and w is words[-1] else "") for w in words]
+    for term, words in spark.range(1).select(terms.alias("t")).first()["t"]:
+        out += [w + ("*" if term.endswith("*") and i == len(words) - 1 else "") for i, w in enumerate(words)]
     return list(dict.fromkeys(out))
 
 
@@ -45,13 +46,12 @@ def bm25(docs: DataFrame, terms: list[str], posts: DataFrame | None = None, stat
     """(doc_id, doc_kind, score) of the documents that hold all terms; lower scores are better.
 
     A prefix counts as one term: its words' frequencies add up. Terms are few, so the counts per term are a row each.
+    With stored postings, which are sorted by term, the filter reads the row groups of the terms alone.
     """
     posts = postings(docs) if posts is None else posts
     stats = doc_stats(docs) if stats is None else stats
     which = F.array_compact(F.array(*[F.when(_matches(F.col("term"), t), F.lit(i)) for i, t in enumerate(terms)]))
-    any_of = F.lit(False)
-    for t in terms:
-        any_of = any_of | _matches(F.col("term"), t)
+    any_of = functools.reduce(operator.or_, [_matches(F.col("term"), t) for t in terms])
     freq = sum((F.col(f"tf_{c}") * w for c, w in WEIGHTS.items()), F.lit(0.0))
     hits = posts.where(any_of).select(F.explode(which).alias("t"), "doc_id", freq.alias("f")).groupBy("t", "doc_id").agg(F.sum("f").alias("f"))
     found = hits.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
@@ -95,7 +95,7 @@ def search(index, text: str, kind: str | None = None, limit: int = 10, stop_word
     """The search of the API: hits of a text, best first."""
     docs = index.search_docs
     terms = query_terms(docs.sparkSession, re.sub(r"[\"'()^<>+{}\[\],;!?|&~`]", " ", text), stop_words)
-    scored = bm25(docs, terms) if terms else doc_stats(docs).where(F.lit(False)).select("doc_id", "doc_kind", F.lit(0.0).alias("score"))
+    scored = bm25(docs, terms, index.postings, index.doc_stats) if terms else doc_stats(docs).where(F.lit(False)).select("doc_id", "doc_kind", F.lit(0.0).alias("score"))
     if kind in ("object", "method"):
         # the cut comes first; kinds of nodes are known after the join
         top = scored.orderBy("score", "doc_id").limit(4 * (limit if limit > 0 else 10))

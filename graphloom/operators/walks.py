@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import ids
 from ..schemas import IndexTables
 
@@ -123,12 +124,11 @@ def neighbors(index: IndexTables, start: DataFrame, depth: int, edges: DataFrame
     """
     from .whole import graph_edges
 
-    sc = start.sparkSession.sparkContext
-    edges = graph_edges(index).select("src", "dst").distinct() if edges is None else edges
+    edges = cut(graph_edges(index).select("src", "dst").distinct()) if edges is None else edges
     seen = frontier = start.select("node").distinct().withColumn("hops", F.lit(0))
     for hop in range(1, depth + 1):
         near = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
         new = near.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))
-        frontier = new.checkpoint() if sc.getCheckpointDir() else new
+        frontier = cut(new)
         seen = seen.unionByName(frontier)
     return seen

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import ids
 
 
@@ -33,7 +34,7 @@ def number_files(files: DataFrame) -> DataFrame:
     parts = F.split("rel_path", "/")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = files.withColumn("_parts", parts).repartitionByRange(n, "_parts", "key").withColumn("_part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if spark.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = cut(ranged)
     counts = dict(map(tuple, ranged.groupBy("_part").count().collect()))  # a row for each partition
     shift, total = [], 0
     for p in range(max(counts, default=-1) + 1):
@@ -58,7 +59,7 @@ def raw_tables(parsed: DataFrame) -> RawTables:
     within = Window.partitionBy("_block").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     p = block.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(base, "_block").withColumn("node_base", F.col("_base") + F.col("_in"))
     p = p.drop("_block", "_base", "_in", "_n")
-    p = p.checkpoint() if parsed.sparkSession.sparkContext.getCheckpointDir() else p.persist()
+    p = cut(p)
     head = ["file_id", "file_no", "key", "lang", "prefix"]
     canon = lambda c: ids.prefixed(F.col("prefix"), F.col(c))
 

@@ -129,9 +129,12 @@ def resolve_inherits(raw: RawTables) -> DataFrame:
     fqns = object_by_fqn(raw)
     by = lambda col, to: fqns.select(F.col("fqn").alias(col), F.col("object_id").alias(to))
     aliases = alias_map(raw).select("file_id", F.col("alias").alias("hint"), F.col("target").alias("_t"))
-    b = raw.bases.withColumn("_local", F.when(F.col("prefix") != "", F.concat("prefix", F.lit("."), "hint")))
-    b = b.join(by("hint", "_a"), "hint", "left").join(by("_local", "_b"), "_local", "left").join(aliases, ["file_id", "hint"], "left")
-    b = b.join(by("_t", "_c"), "_t", "left").join(unique_names(raw.objects, "_d").withColumnRenamed("name", "hint"), "hint", "left")
+    b = raw.bases.join(by("hint", "_a"), "hint", "left").join(aliases, ["file_id", "hint"], "left")
+    # bases without a prefix or without an alias have no key for these two, and would meet in one task under null
+    bare, under = b.where("prefix = ''").withColumn("_b", F.lit(None).cast("string")), b.where("prefix <> ''").withColumn("_local", F.concat("prefix", F.lit("."), "hint"))
+    b = under.join(by("_local", "_b"), "_local", "left").drop("_local").unionByName(bare)
+    free, aliased = b.where("_t is null").withColumn("_c", F.lit(None).cast("string")), b.where("_t is not null")
+    b = aliased.join(by("_t", "_c"), "_t", "left").unionByName(free).join(unique_names(raw.objects, "_d").withColumnRenamed("name", "hint"), "hint", "left")
     return b.select("child_id", F.coalesce("_a", "_b", "_c", "_d").alias("parent_id"), F.col("hint").alias("parent_hint"), "relation")
 
 

@@ -15,6 +15,8 @@ EDGES_CALLS = "caller_id string, callee_id string, callee_name string, callee_ow
 EDGES_INHERITS = "child_id string, parent_id string, parent_hint string, relation string"
 EDGES_IMPORTS = "file_id string, target_file_id string, raw string"
 SEARCH_DOCS = "doc_id string, doc_kind string, name string, fqn string, path string"
+POSTINGS = "term string, doc_id string, tf_name int, tf_fqn int, tf_path int"
+DOC_STATS = "doc_id string, doc_kind string, len int"
 
 #: One row per parsed file, as the extractors leave it.
 PARSED = (
@@ -27,7 +29,7 @@ PARSED = (
 
 TABLES = {
     "files": FILES, "nodes": NODES, "edges_calls": EDGES_CALLS, "edges_inherits": EDGES_INHERITS,
-    "edges_imports": EDGES_IMPORTS, "search_docs": SEARCH_DOCS,
+    "edges_imports": EDGES_IMPORTS, "search_docs": SEARCH_DOCS, "postings": POSTINGS, "doc_stats": DOC_STATS,
 }
 
 
@@ -39,6 +41,9 @@ class IndexTables:
     edges_inherits: DataFrame
     edges_imports: DataFrame
     search_docs: DataFrame
+    #: What search reads; made from search_docs where an index has not been stored.
+    postings: DataFrame | None = None
+    doc_stats: DataFrame | None = None
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> IndexTables:
@@ -60,6 +65,10 @@ class IndexTables:
 
         from pyspark.sql import functions as F
 
+        def of_docs(rows: DataFrame | None) -> DataFrame | None:
+            mark = gone.withColumnRenamed("node_id", "doc_id")
+            return rows and rows.where(F.col("doc_id") != file_id).join(mark, "doc_id", "left_anti").select(*rows.columns)
+
         docs = self.search_docs.where(F.col("doc_id") != file_id)
         return IndexTables(
             files=self.files.where(F.col("file_id") != file_id),
@@ -70,4 +79,6 @@ class IndexTables:
                 "target_file_id", F.when(F.col("target_file_id") != file_id, F.col("target_file_id"))
             ),
             search_docs=docs.join(gone.withColumnRenamed("node_id", "doc_id"), "doc_id", "left_anti").select(*docs.columns),
+            postings=of_docs(self.postings),
+            doc_stats=of_docs(self.doc_stats),
         )

@@ -5,15 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
-import shutil
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import files
 from .functions.analyzer import STOP_WORDS
+from .operators import search
 from .plans import resolve
 from .plans.raw import raw_tables
 from .schemas import TABLES, IndexTables
@@ -24,22 +23,15 @@ from .sources.scan import scan
 DEFAULT_CONFIG = {"pathPrefix": "", "includeExt": [".py", ".java"], "ignoreFile": "service.ignore", "search": {"stopWords": STOP_WORDS}}
 
 
-def home() -> Path:
-    return Path(os.environ.get("GRAPHLOOM_HOME") or Path.home() / ".graphloom")
+def home() -> str:
+    """Path or URI of the registry and the snapshots; on a cluster a place that all executors see."""
+    return files.full(os.environ.get("GRAPHLOOM_HOME") or os.path.expanduser("~/.graphloom"))
 
 
 def sanitize(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9_-]", "_", name)
 
 
-def write_json(path: Path, value) -> None:
-    """Written beside the file and renamed, so a reader never sees half of it."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", dir=path.parent, delete=False, encoding="utf-8") as f:
-        json.dump(value, f, indent=2, ensure_ascii=False)
-    os.replace(f.name, path)
-
-
 def check_config(config: dict) -> dict:
     prefix = config.get("pathPrefix", "")
     if not config.get("includeExt"):
@@ -50,18 +42,18 @@ def check_config(config: dict) -> dict:
 
 
 class Registry:
-    def __init__(self, root: Path | None = None):
-        self.root = root or home()
-        self.path = self.root / "services.json"
-        self.services: dict = json.loads(self.path.read_text("utf-8")) if self.path.exists() else {}
+    def __init__(self, root: str | None = None):
+        self.root = files.full(root) if root else home()
+        self.path = f"{self.root}/services.json"
+        self.services: dict = json.loads(files.read_bytes(self.path)) if files.exists(self.path) else {}
 
     def save(self) -> None:
-        write_json(self.path, self.services)
+        files.write_json(self.path, self.services)
 
     def add(self, service: str, root: str, description: str = "", main_entities: list[str] | None = None) -> None:
         if service in self.services:
             raise ValueError(f"service {service!r} exists")
-        self.services[service] = {"rootAbs": os.path.abspath(root), "description": description, "mainEntities": main_entities or []}
+        self.services[service] = {"rootAbs": files.full(root), "description": description, "mainEntities": main_entities or []}
         self.save()
 
     def remove(self, service: str) -> None:
@@ -86,33 +78,43 @@ class Registry:
     def names(self) -> list[str]:
         return sorted(self.services)
 
-    def dir(self, service: str) -> Path:
-        return self.root / "services" / service
+    def dir(self, service: str) -> str:
+        return f"{self.root}/services/{service}"
 
     def config(self, service: str) -> dict:
-        path = self.dir(service) / "config.json"
-        if not path.exists():
-            write_json(path, DEFAULT_CONFIG)
-        return check_config(json.loads(path.read_text("utf-8")))
+        path = f"{self.dir(service)}/config.json"
+        if not files.exists(path):
+            files.write_json(path, DEFAULT_CONFIG)
+        return check_config(json.loads(files.read_bytes(path)))
 
     def patterns(self, service: str) -> list[str]:
-        path = self.dir(service) / "service.ignore"
-        return load_patterns(path.read_text("utf-8")) if path.exists() else []
+        path = f"{self.dir(service)}/service.ignore"
+        return load_patterns(files.read_bytes(path).decode("utf-8")) if files.exists(path) else []
 
 
 def build(spark: SparkSession, root: str, config: dict, patterns: list[str]) -> IndexTables:
     """Scan, parse, canonicalize, resolve."""
-    files = scan(spark, root, config["pathPrefix"], config["includeExt"], patterns)
-    return resolve.index_tables(raw_tables(parsed_only(parse_files(files))), config["search"]["stopWords"] or None)
+    found = scan(spark, root, config["pathPrefix"], config["includeExt"], patterns)
+    return resolve.index_tables(raw_tables(parsed_only(parse_files(found))), config["search"]["stopWords"] or None)
+
+
+#: The keys that lookups filter on; the tables are sorted by them, so that a filter reads few row groups.
+KEYS = {
+    "files": "file_id", "nodes": "node_id", "edges_calls": "caller_id", "edges_inherits": "child_id", "edges_imports": "file_id",
+    "search_docs": "doc_id", "postings": "term", "doc_stats": "doc_id",
+}
 
 
 def write_index(index: IndexTables, path: str) -> None:
-    """The six tables under path, sorted by the keys that lookups filter on; duplicate ids are refused."""
-    keys = {"files": "file_id", "nodes": "node_id", "edges_calls": "caller_id", "edges_inherits": "child_id", "edges_imports": "file_id", "search_docs": "doc_id"}
+    """The tables under path, with the postings and document statistics of the search; duplicate ids are refused."""
+    path = files.for_spark(path)
+    spark = index.nodes.sparkSession
     for name in TABLES:
         df = getattr(index, name)
-        df.repartitionByRange(F.col(keys[name])).sortWithinPartitions(keys[name]).write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = index.nodes.sparkSession
+        if name in ("postings", "doc_stats"):
+            made = search.postings if name == "postings" else search.doc_stats
+            df = made(spark.read.parquet(f"{path}/search_docs"))
+        df.repartitionByRange(F.col(KEYS[name])).sortWithinPartitions(KEYS[name]).write.mode("overwrite").parquet(f"{path}/{name}")
     again = spark.read.parquet(f"{path}/nodes").groupBy("node_id").count().where("count > 1").limit(1).collect()
     if again:
         raise ValueError(f"two symbols have the id {again[0]['node_id']}; the index is left as it was")
@@ -121,22 +123,24 @@ def write_index(index: IndexTables, path: str) -> None:
 def sync(spark: SparkSession, registry: Registry, service: str) -> IndexTables:
     """A new snapshot beside the current one; it becomes current by one rename, and only if it is whole."""
     entry, folder = registry.get(service), registry.dir(service)
+    if "://" not in folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("executors of a cluster can't see a local home; set GRAPHLOOM_HOME to a shared URI")
     name = f"index-{uuid.uuid4().hex}"
     try:
-        write_index(build(spark, entry["rootAbs"], registry.config(service), registry.patterns(service)), str(folder / name))
+        write_index(build(spark, entry["rootAbs"], registry.config(service), registry.patterns(service)), f"{folder}/{name}")
     except Exception:
-        shutil.rmtree(folder / name, ignore_errors=True)
+        files.delete(f"{folder}/{name}")
         raise
     old = current(registry, service)
-    write_json(folder / "current.json", {"index": name})
+    files.write_json(f"{folder}/current.json", {"index": name})
     if old:
-        shutil.rmtree(folder / old, ignore_errors=True)
+        files.delete(f"{folder}/{old}")
     return open_index(spark, registry, service)
 
 
 def current(registry: Registry, service: str) -> str | None:
-    path = registry.dir(service) / "current.json"
-    return json.loads(path.read_text("utf-8"))["index"] if path.exists() else None
+    path = f"{registry.dir(service)}/current.json"
+    return json.loads(files.read_bytes(path))["index"] if files.exists(path) else None
 
 
 def open_index(spark: SparkSession, registry: Registry, service: str) -> IndexTables:
@@ -144,4 +148,4 @@ def open_index(spark: SparkSession, registry: Registry, service: str) -> IndexTa
     name = current(registry, service)
     if not name:
         raise ValueError(f"service {service!r} has no index; run sync")
-    return IndexTables.read(spark, str(registry.dir(service) / name))
+    return IndexTables.read(spark, files.for_spark(f"{registry.dir(service)}/{name}"))

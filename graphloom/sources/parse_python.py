@@ -6,8 +6,10 @@ Raw texts (owners, bases, signatures) come from the source by byte offsets, as w
 from __future__ import annotations
 
 import ast
+import re
 
 MODULE = "<module>"
+_LINE = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 DOC_BYTES = 120
 
 
@@ -20,7 +22,8 @@ class PythonFile:
     def __init__(self, source: bytes):
         self.text = source.decode("utf-8-sig")
         self.tree = ast.parse(self.text)
-        self.lines = [line.encode("utf-8") for line in self.text.splitlines(keepends=True)]
+        # lines as the syntax tree counts them: form feeds and other separators do not end one
+        self.lines = _LINE.findall(self.text.encode("utf-8"))
         self.out: dict = {"package": "", "imports": [], "objects": [], "methods": [], "calls": [], "var_types": []}
         self.known: set[str] = set()  # names of imports and of top-level definitions
 
@@ -141,8 +144,7 @@ class PythonFile:
         text = self.raw(first.value)
         for q in ('"""', "'''", '"', "'"):
             text = text.removeprefix(q).removesuffix(q)
-        lines = text.strip().splitlines()
-        return clip(lines[0].strip()) if lines else ""
+        return clip(re.split(r"\r\n|\r|\n", text.strip())[0].strip())
 
     # -- calls and types of variables
 

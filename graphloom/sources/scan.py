@@ -1,18 +1,18 @@
 """Source trees as DataFrames.
 
 Spark's own file sources leave out names that begin with an underscore or a dot, `__init__.py` among them, so the tree
-is listed and read through Arrow's file systems (local, HDFS, S3, GCS): the top level by the driver, what lies below
-by tasks. Names are filtered by expressions before any content is read.
+is listed and read through Arrow's file systems (local, HDFS, S3, GCS), level by level, by tasks. Names are filtered by
+expressions before any content is read.
 """
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import files
+from ..checkpoints import cut
 from ..functions import ids
 from .ignore import ignored
 
@@ -24,51 +24,46 @@ def has_extension(path: Column, extensions: list[str]) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin([e.lower() for e in extensions])
 
 
-def _open(root: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+def list_tree(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
+    """(rel_path) of every file under root that no pattern hides; an error of a directory that is looked into fails the scan.
 
-
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path) of every file under root; an error of any directory fails the scan."""
+    The tree is listed level by level: tasks list the directories of a level, and those that a pattern matches are dropped
+    before anything below them is touched. Levels are checkpointed.
+    """
     from pyarrow.fs import FileSelector, FileType
 
-    fs, base = _open(root)
-    base = base.rstrip("/")
-    top = [(i.path[len(base) + 1 :], i.type == FileType.Directory) for i in fs.get_file_info(FileSelector(base))]
+    hidden = ignored(F.col("rel_path"), patterns or [])
 
-    def walk(frames):
-        fs, base = _open(root)
-        base = base.rstrip("/")
+    def entries(frames):
+        fs, base = files.opened(root)
         for pdf in frames:
-            out = []
-            for name, is_dir in zip(pdf["name"], pdf["is_dir"]):
-                if is_dir:
-                    found = fs.get_file_info(FileSelector(f"{base}/{name}", recursive=True))
-                    out += [i.path[len(base) + 1 :] for i in found if i.type == FileType.File]
-                else:
-                    out.append(name)
-            yield pd.DataFrame({"rel_path": out})
-
-    rows = spark.createDataFrame(top, "name string, is_dir boolean")
-    return rows.repartition(max(1, min(len(top), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(walk, "rel_path string")
+            for name in pdf["rel_path"]:
+                found = fs.get_file_info(FileSelector(f"{base}/{name}" if name else base))
+                rows = [(i.path[len(base) + 1 :], i.type == FileType.Directory) for i in found if i.type != FileType.NotFound]
+                yield pd.DataFrame(rows, columns=["rel_path", "is_dir"]).astype({"is_dir": bool})
+
+    out, level = None, spark.createDataFrame([("",)], "rel_path string")
+    while True:
+        found = cut(level.mapInPandas(entries, "rel_path string, is_dir boolean").where(~hidden))
+        own = found.where("not is_dir").select("rel_path")
+        out = own if out is None else out.unionByName(own)
+        n = found.where("is_dir").count()
+        if not n:
+            return out
+        level = found.where("is_dir").select("rel_path").repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism)), "rel_path")
 
 
 def read_file(root: str, rel_path: str) -> bytes:
-    fs, base = _open(root)
-    with fs.open_input_stream(f"{base.rstrip('/')}/{rel_path}") as f:
-        return f.read()
+    return files.read_bytes(f"{files.full(root).rstrip('/')}/{rel_path}")
 
 
 def scan(spark: SparkSession, root: str, prefix: str = "", extensions: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
     """(key, rel_path, lang, content) of the files under root."""
     path = F.col("rel_path")
-    wanted = list_tree(spark, root).where(has_extension(path, extensions or []) & ~ignored(path, patterns or []))
+    wanted = list_tree(spark, root, patterns).where(has_extension(path, extensions or []))
 
     def read(frames):
-        fs, base = _open(root)
-        base = base.rstrip("/")
+        fs, base = files.opened(root)
         for pdf in frames:
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at : at + 64]

@@ -61,6 +61,19 @@ def test_python_symbols():
     assert ("", "limit", "Limit") in types and ("", "z", "other") in types
 
 
+def test_python_lines_end_as_the_syntax_tree_counts_them():
+    want = parse_python(PY)
+    assert parse_python(b"\xef\xbb\xbf" + PY) == want
+    for mark in (b"\x0c", "# \u2028 \x85 \x1c".encode(), b"# \x0b\x0c"):
+        got = parse_python(PY.replace(b"from m import *\n", b"from m import *\n" + mark, 1).replace(b"more.\n", b"more.\n", 1))
+        assert got == want, mark
+    for end in (b"\r\n", b"\r"):
+        got = parse_python(PY.replace(b"\n", end))
+        for part in ("imports", "objects", "calls", "var_types"):
+            assert got[part] == want[part]
+        assert by(got["methods"][1:], "fqn", "signature", "doc", "start_line", "end_line") == by(want["methods"][1:], "fqn", "signature", "doc", "start_line", "end_line")
+
+
 def test_python_files_that_fail_or_are_empty():
     assert parse_python(b"def broken(:\n") is None and parse_python(b"\xff\xfe") is None
     empty = parse_python(b"")

@@ -42,17 +42,17 @@ def test_kind_filter_comes_after_the_cut(docs):
 
 
 def test_query_terms(spark):
-    assert search.query_terms(spark, "getUserNames the supp*") == ["user", "name", "supp*"]
+    assert search.query_terms(spark, "getUserNames the wax*") == ["user", "name", "wax*"]
     assert search.query_terms(spark, "<module>") == ["module"]
 
 
 def test_search_enriches_and_takes_any_text(spark):
     index = _small(spark)
-    rows = [r.asDict() for r in search.search(index, "Order repository (save)").collect()]
+    rows = [r.asDict() for r in search.search(index, "Hive keepers (smoke)").collect()]
     assert [r["id"] for r in rows] == ["m2"]
-    assert rows[0]["file"] == "pkg/repo.py" and rows[0]["k"] == "method" and rows[0]["l"] == 3
-    assert search.search(index, "order", "file").count() == 0
-    assert [r["id"] for r in search.search(index, "ord*", "object").collect()] == ["o1"]
+    assert rows[0]["file"] == "bees/yard.py" and rows[0]["k"] == "method" and rows[0]["l"] == 3
+    assert search.search(index, "hive", "file").count() == 0
+    assert [r["id"] for r in search.search(index, "hiv*", "object").collect()] == ["o1"]
     assert search.search(index, "the of \"'*(").count() == 0
 
 
@@ -60,10 +60,10 @@ def _small(spark):
     from graphloom.plans.resolve import search_docs
     from graphloom.schemas import EDGES_CALLS, EDGES_IMPORTS, EDGES_INHERITS, FILES, NODES
 
-    files = spark.createDataFrame([("f:a", 1, "a", "pkg/repo.py", "python", "", "")], FILES)
+    files = spark.createDataFrame([("f:a", 1, "a", "bees/yard.py", "python", "", "")], FILES)
     nodes = spark.createDataFrame([
-        ("n:1", 1, "f:a", "object", "class", "OrderRepository", "pkg.repo.OrderRepository", None, "global", "", "", 1, 9),
-        ("n:2", 2, "f:a", "method", "method", "save", "pkg.repo.OrderRepository.save", "n:1", "member", "", "", 3, 4),
+        ("n:1", 1, "f:a", "object", "class", "HiveKeeper", "bees.yard.HiveKeeper", None, "global", "", "", 1, 9),
+        ("n:2", 2, "f:a", "method", "method", "smoke", "bees.yard.HiveKeeper.smoke", "n:1", "member", "", "", 3, 4),
     ], NODES)
     none = lambda schema: spark.createDataFrame([], schema)
     return IndexTables(files, nodes, none(EDGES_CALLS), none(EDGES_INHERITS), none(EDGES_IMPORTS), search_docs(files, nodes))
