@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 
 
+def is_uri(path: str) -> bool:
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path) is not None
+
+
 def full(path: str) -> str:
     """A URI as it is, a path as an absolute one."""
-    path = str(path)
-    return path if "://" in path else os.path.abspath(path)
+    path = re.sub(r"^file:/+", "file:///", str(path))
+    return path if is_uri(path) else os.path.abspath(path)
 
 
 def for_spark(path: str) -> str:
     """The same place for Spark, whose bare paths may belong to another file system."""
-    return path if "://" in path else f"file://{full(path)}"
+    return full(path) if is_uri(path) else f"file://{full(path)}"
 
 
 def opened(path: str):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import source_queries
 from .functions import analyzer, ids
 from .operators import lookups, search, walks, whole
 from .plans import demo_views, resolve
@@ -557,3 +558,9 @@ def nested_owner(spark, sf_dir):
 @query(f"{_MAPS} SELECT node_id, (SELECT id FROM ofqn WHERE ofqn.fqn = m.owner_fqn) AS owner_id FROM r_methods m")
 def method_owner(spark, sf_dir):
     return resolve.method_owners(raw(spark, sf_dir))
+
+
+# ---- sources, extractors, raw tables and sinks ------------------------------------------------------------------
+
+QUERIES |= source_queries.QUERIES | {"build_search_docs": source_queries.build_search_docs}
+SQL |= source_queries.SQL | {"build_search_docs": source_queries.search_docs_sql(_normal)}

@@ -123,7 +123,7 @@ def write_index(index: IndexTables, path: str) -> None:
 def sync(spark: SparkSession, registry: Registry, service: str) -> IndexTables:
     """A new snapshot beside the current one; it becomes current by one rename, and only if it is whole."""
     entry, folder = registry.get(service), registry.dir(service)
-    if "://" not in folder and not spark.sparkContext.master.startswith("local"):
+    if not files.is_uri(folder) and not spark.sparkContext.master.startswith("local"):
         raise ValueError("executors of a cluster can't see a local home; set GRAPHLOOM_HOME to a shared URI")
     name = f"index-{uuid.uuid4().hex}"
     try:
