@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Spread, WordCodes, arrow_parts, collected, cut, flat_words, fresh, map_arrow, map_texts, mix64, small, written
+from .shared import Spread, WordCodes, arrow_parts, collected, cut, flat_words, fresh, map_arrow, map_texts, mix64, row_hash, small
 
 ORDER = 5
 #: Every text is read as if it began behind spaces and ended with one.
@@ -300,13 +300,13 @@ class Meter:
         return out.assign(log_perplexity=perplexity)
 
 
-def features(docs: DataFrame, model, carry: list[str] | None = None, mark: str = "") -> DataFrame:
-    """The columns of docs in carry (doc_id), and with names that begin with `mark` the language key and the measures."""
+def features(docs: DataFrame, model, carry: list[str] | None = None) -> DataFrame:
+    """The columns of docs in carry (doc_id), the language key and the measures."""
     import pyarrow as pa
 
     carry = carry or ["doc_id"]
     if isinstance(model, DataFrame):
-        return _features_by_joins(docs, model, carry, mark)
+        return _features_by_joins(docs, model, carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(record_batches):
@@ -318,11 +318,11 @@ def features(docs: DataFrame, model, carry: list[str] | None = None, mark: str =
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     slim = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], _lang_key().alias("_lang"), F.col("text").alias("_text"))
-    out = T.StructType([docs.schema[c] for c in carry] + [T.StructField(f"{mark}lang", T.StringType())] + [T.StructField(mark + c, t) for c, t in zip(MEASURES, _TYPES)])
+    out = T.StructType([docs.schema[c] for c in carry] + [T.StructField("lang", T.StringType())] + [T.StructField(c, t) for c, t in zip(MEASURES, _TYPES)])
     return map_arrow(slim, run, out)
 
 
-def _features_by_joins(docs: DataFrame, rows: DataFrame, carry: list[str], mark: str) -> DataFrame:
+def _features_by_joins(docs: DataFrame, rows: DataFrame, carry: list[str]) -> DataFrame:
     """The same with a model that stays a table: each document's distinct windows meet it by joins, order by order."""
 
     def run(frames):
@@ -335,7 +335,7 @@ def _features_by_joins(docs: DataFrame, rows: DataFrame, carry: list[str], mark:
 
     (own,) = fresh(docs, "row")
     docs = cut(docs.withColumn(own, F.monotonically_increasing_id()))
-    base = features(docs, {}, [*carry, own], mark).withColumnRenamed(own, "_row")
+    base = features(docs, {}, [*carry, own]).withColumnRenamed(own, "_row")
     windows = cut(map_texts(docs.select(F.col(own).alias("row"), _lang_key().alias("lang"), "text"), run, "row long, lang string, hi long, lo long, n long"))
     found = windows.select("lang", "hi", "lo").distinct().withColumn("sum", F.lit(0.0)).withColumn("open", F.lit(True))
     for k in range(ORDER, 0, -1):
@@ -352,31 +352,31 @@ def _features_by_joins(docs: DataFrame, rows: DataFrame, carry: list[str], mark:
     logs = Spread(windows.select("row", "n", at), "at").join(cut(found.select(at, "sum")))
     whole = logs.groupBy("row").agg((-F.sum(F.col("n") * F.col("sum")) / F.sum("n")).alias("_found"), F.count_if(F.col("sum").isNull()).alias("_none"))
     out = base.join(whole, F.col("_row") == F.col("row"), "left")
-    named = F.when(F.col("_none") == 0, F.col("_found")).alias(f"{mark}log_perplexity")
-    return out.select(*[named if c == f"{mark}log_perplexity" else F.col(c) for c in base.columns if c != "_row"])
+    named = F.when(F.col("_none") == 0, F.col("_found")).alias("log_perplexity")
+    return out.select(*[named if c == "log_perplexity" else F.col(c) for c in base.columns if c != "_row"])
 
 
-def bands(found: DataFrame, band: float = 2.0, min_docs: int = 30, mark: str = "") -> dict:
+def bands(found: DataFrame, band: float = 2.0, min_docs: int = 30) -> dict:
     """{language key: (lowest, highest log perplexity)}, and the band over all documents under None.
 
     The default band is the narrowest of steps of 0.25 that keeps 95 % of the good in one half of the labelled rows of
     sf0.1. The driver gets a row for each language.
     """
-    p = f"{mark}log_perplexity"
-    good = found.where(~F.col(f"{mark}base_failed") & F.col(p).isNotNull())
+    p = "log_perplexity"
+    good = found.where(~F.col("base_failed") & F.col(p).isNotNull())
     quartiles = F.count(F.lit(1)).alias("n"), F.percentile_approx(p, [0.25, 0.5, 0.75], 10_000).alias("q")
     limits = lambda q: (q[1] - band * max(q[2] - q[0], 0.01), q[1] + band * max(q[2] - q[0], 0.01))
     every = good.agg(*quartiles).first()["q"]
     if every is None:
         return {None: (0.0, 0.0)}
-    return {None: limits(every)} | {r["lang"]: limits(r["q"]) for r in good.groupBy(F.col(f"{mark}lang").alias("lang")).agg(*quartiles).collect() if r["n"] >= min_docs}
+    return {None: limits(every)} | {r["lang"]: limits(r["q"]) for r in good.groupBy("lang").agg(*quartiles).collect() if r["n"] >= min_docs}
 
 
-def verdict(limits: dict, mark: str = "") -> Column:
+def verdict(limits: dict) -> Column:
     """kept: not failed by the base rules, and inside the band of its language if it has a perplexity."""
-    own = lambda i: F.create_map(*[F.lit(x) for k, v in limits.items() if k is not None for x in (k, v[i])])[F.col(f"{mark}lang")]
+    own = lambda i: F.create_map(*[F.lit(x) for k, v in limits.items() if k is not None for x in (k, v[i])])[F.col("lang")]
     low, high = (F.coalesce(own(i) if len(limits) > 1 else F.lit(None).cast("double"), F.lit(limits[None][i])) for i in (0, 1))
-    return ~F.col(f"{mark}base_failed") & F.coalesce(F.col(f"{mark}log_perplexity").between(low, high), F.lit(True))
+    return ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(low, high), F.lit(True))
 
 
 def judge(found: DataFrame, limits: dict) -> DataFrame:
@@ -385,9 +385,9 @@ def judge(found: DataFrame, limits: dict) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns: measured once, written beside the measures, then judged."""
-    mark = "m_"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark = "_" + mark
-    found = written(features(docs, fit(docs), docs.columns, mark))
-    return found.where(verdict(bands(found, mark=mark), mark)).select(*docs.columns)
+    """The rows of docs that the rules keep, with their columns. Each text is measured once; rejected rows go by their hash."""
+    (row,) = fresh(docs, "row")
+    named = docs.withColumn(row, row_hash(docs))
+    found = cut(features(named, fit(docs), [row]))
+    rejected = cut(found.where(~verdict(bands(found))).select(row).distinct())
+    return named.join(small(rejected), row, "left_anti").select(*docs.columns)

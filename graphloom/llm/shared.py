@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import gc
 
 import numpy as np
 import pandas as pd
@@ -16,15 +16,11 @@ from ..checkpoints import cut, ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_written: list[str] = []
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again; `release` deletes what was written."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.parquet(path)
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that are checkpointed or gone; it does so when the driver collects
+    its garbage, which a driver with little of it would put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -32,12 +28,6 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables of `written`; what was made from them must have been stored."""
-    while _written:
-        delete_folder(spark, _written.pop())
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
