@@ -233,4 +233,5 @@ class Spread:
             return self.many.join(side, self.key, how)
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(self.parts), F.lit(1)).cast("long") - 1)).alias(self.salt)
         copied = side.join(self.often, self.key, "left").select(*side.columns, salts)
-        return self.many.join(copied, [self.key, self.salt], how).drop(self.salt)
+        # a broadcast of the many rows would bring the copies of a side's row, and so its matches, back into one task
+        return self.many.join(copied.hint("merge"), [self.key, self.salt], how).drop(self.salt)

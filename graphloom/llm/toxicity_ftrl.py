@@ -5,11 +5,12 @@ pairs with one word between, hashed to `bits` bits, each counted once a document
 coordinate, and its L1 term leaves most weights at exactly 0, so the weights that are broadcast are at most 2^bits.
 
 The classifier is fitted on a bounded sample: about `max_rows` labelled rows, chosen by id hash. Their features are
-hashed where the rows are; one task then trains on the features, in hash order.
+hashed where the rows are; features of fewer than `min_rows` of those rows take no part; one task then trains on the
+features, in hash order, `epochs` times.
 
 Defined results: null and empty texts have no feature and score as the bias does; of several labels of one document
 the largest counts; null labels are not learned; a null id is not held out and not learned from; repeated rows are
-scored one by one; without any label every score is 0 (label 0); extra columns are ignored.
+scored one by one; texts of any length are read whole; without any label every score is 0 (label 0); extra columns are ignored.
 """
 
 from __future__ import annotations
