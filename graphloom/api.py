@@ -153,10 +153,19 @@ class App:
             "objects": [brief(r, "o") for r in objects], "methods": [brief(r, "m") for r in methods],
         }, ("id", "path"))
 
-    def tree(self, service: str) -> dict:
-        rows = _rows(whole.tree(self._index(service)).orderBy("path"))
+    def tree(self, service: str, limit: int = 0, offset: int = 0) -> dict:
+        """All files, or a page of them."""
+        rows = whole.tree(self._index(service)).orderBy("path")
+        rows = _rows(rows.offset(offset).limit(limit) if limit > 0 else rows)
         return {"files": [_slim(r, ("id", "path")) for r in rows]}
 
     def graph(self, service: str) -> dict:
         nodes, edges = whole.graph(self._index(service))
         return {"nodes": [_slim(r, ("id", "k", "name")) for r in _rows(nodes)], "edges": [_slim(r, ("from", "to", "t")) for r in _rows(edges)]}
+
+    def export_graph(self, service: str, path: str) -> dict:
+        """The graph as Parquet under path, for indexes that no single answer can hold."""
+        path = files.for_spark(path).rstrip("/")
+        for name, rows in zip(("nodes", "edges"), whole.graph(self._index(service))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        return {"nodes": f"{path}/nodes", "edges": f"{path}/edges"}

@@ -148,6 +148,13 @@ def test_file_tree_graph(app):
     ids = {n["id"] for n in graph["nodes"]}
     assert len(ids) == len(graph["nodes"]) and all(e["from"] in ids and e["to"] in ids for e in graph["edges"])
     assert {e["t"] for e in graph["edges"]} == {"defines", "calls", "inherits", "imports"}
+    paths = [t["path"] for t in app.tree("farm")["files"]]
+    assert [t["path"] for t in app.tree("farm", 3, 2)["files"]] == paths[2:5]
+
+
+def test_exported_graph_is_the_graph(app, spark, tmp_path):
+    graph, places = app.graph("farm"), app.export_graph("farm", str(tmp_path / "g"))
+    assert {k: spark.read.parquet(v).count() for k, v in places.items()} == {k: len(v) for k, v in graph.items()}
 
 
 def tool(app, name, **arguments):
