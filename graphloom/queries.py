@@ -564,3 +564,10 @@ def method_owner(spark, sf_dir):
 
 QUERIES |= source_queries.QUERIES | {"build_search_docs": source_queries.build_search_docs}
 SQL |= source_queries.SQL | {"build_search_docs": source_queries.search_docs_sql(_normal)}
+
+
+@query(SQL["bm25_and_terms"])
+def search_stored(spark, sf_dir):
+    """The same hits from the postings and statistics of a written snapshot."""
+    hits = lambda index: _rounded(search.bm25(index.search_docs, ["der", "schen"], index.postings, index.doc_stats))
+    return source_queries.stored(spark, [idx(spark, sf_dir)], hits)

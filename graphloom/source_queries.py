@@ -15,7 +15,7 @@ from .operators import search
 from .plans import demo_views, resolve
 from .plans.demo_sources import filled, path_sql, sources
 from .plans.raw import raw_tables
-from .schemas import TABLES, IndexTables
+from .schemas import IndexTables
 from .service import write_index
 from .sources.parse import parse_files, parsed_only
 from .sources.scan import scan
@@ -24,10 +24,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str, name: str = ""):
     def keep(f):
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
+        QUERIES[name or f.__name__] = f
+        SQL[name or f.__name__] = sql
         return f
 
     return keep
@@ -359,22 +359,52 @@ def build_search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNT = {"files": (1, 1), "nodes": (7, 8), "edges_calls": (11, 10), "edges_inherits": (3, 5), "edges_imports": (5, 3), "search_docs": (8, 9), "doc_stats": (8, 9)}
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, CAST({p} * (SELECT count(*) FROM ({_PY})) + {j} * (SELECT count(*) FROM ({_JAVA})) AS BIGINT) AS n" for t, (p, j) in _COUNT.items()))
-def write_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a snapshot that was written and opened again."""
+_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS name, CAST({p} * (SELECT count(*) FROM ({_PY})) + {j} * (SELECT count(*) FROM ({_JAVA})) AS BIGINT) AS n" for t, (p, j) in _COUNT.items())
+
+
+def stored(spark: SparkSession, indexes: list[IndexTables], result) -> DataFrame:
+    """What `result` makes of the snapshot that the indexes, one after the other, were written to."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    write_index(resolve.index_tables(_raw(spark, sf_dir)), path)
-    index, out = IndexTables.read(spark, path), None
-    for name in TABLES:
-        if name in _COUNT:
-            n = getattr(index, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-            out = n if out is None else out.unionByName(n)
-    out = cut(out)
+    for index in indexes:
+        write_index(index, path)
+    out = cut(result(IndexTables.read(spark, path)))
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return out
 
 
+def _counts(index: IndexTables) -> DataFrame:
+    out = None
+    for name in _COUNT:
+        n = getattr(index, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query(_COUNTS, "write_index")
+def written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a snapshot that was written and opened again."""
+    return stored(spark, [resolve.index_tables(_raw(spark, sf_dir))], _counts)
+
+
+@query(_COUNTS, "wipe")
+def written_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of other rows, written over: nothing of it is left."""
+    index = resolve.index_tables(_raw(spark, sf_dir))
+    other = demo_views.index_views(spark, sf_dir)
+    return stored(spark, [other, index], _counts)
+
+
+@query(f"""{demo_views.index_ctes()}
+SELECT CAST(short_id % 10 AS INT) AS k, CAST(count(*) AS BIGINT) AS n, CAST(count(owner_id) AS BIGINT) AS owned, min(node_id) AS first, CAST(sum(end_line - start_line) AS BIGINT) AS lines FROM nodes GROUP BY 1""", "insert_rows")
+def inserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes as they come back from the store, nulls included."""
+    made = lambda index: index.nodes.groupBy((F.col("short_id") % 10).cast("int").alias("k")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("owner_id").alias("owned"), F.min("node_id").alias("first"), F.sum(F.col("end_line") - F.col("start_line")).alias("lines")
+    )
+    return stored(spark, [demo_views.index_views(spark, sf_dir)], made)
+
+
 @query(f"""{demo_views.index_ctes()}
 SELECT node_id AS doc_id, CASE kind WHEN 'object' THEN 'o' ELSE 'm' END || short_id AS id, kind AS k, name, fqn, rel_path AS file, start_line AS l, lang, CAST(n.start_line AS DOUBLE) AS score
 FROM nodes n JOIN (SELECT file_id, rel_path, lang FROM files) f USING (file_id)
