@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Spread, WordCodes, arrow_parts, collected, cut, flat_words, fresh, map_arrow, map_texts, mix64, row_hash, small
+from .shared import Spread, WordCodes, arrow_parts, collected, cut, flat_words, fresh, map_arrow, map_texts, mix64, row_hash, small, tidy
 
 ORDER = 5
 #: Every text is read as if it began behind spaces and ended with one.
@@ -218,6 +218,7 @@ def fit(docs: DataFrame, most_rows: int = 20_000_000):
         part = pd.DataFrame({"lang": part["lang"], "key": hash_points(places[ORDER - n :]) if n else np.zeros(len(part), np.uint64), "value": part["value"].astype(np.float32)})
         for name, own in part.sort_values("key").groupby("lang", observed=True):
             model.setdefault(name, {})[kind, k] = own["key"].to_numpy(), own["value"].to_numpy()
+    tidy(docs.sparkSession)
     return model
 
 
@@ -389,5 +390,6 @@ def keep(docs: DataFrame) -> DataFrame:
     (row,) = fresh(docs, "row")
     named = docs.withColumn(row, row_hash(docs))
     found = cut(features(named, fit(docs), [row]))
+    tidy(docs.sparkSession)
     rejected = cut(found.where(~verdict(bands(found))).select(row).distinct())
     return named.join(small(rejected), row, "left_anti").select(*docs.columns)

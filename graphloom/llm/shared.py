@@ -60,7 +60,11 @@ def dense_index(values: DataFrame, col: str, to: str) -> DataFrame:
 
 def collected(rows: DataFrame) -> pd.DataFrame:
     """Rows of bounded number on the driver, as Arrow batches; texts become categories."""
-    return rows.toArrow().to_pandas(strings_to_categorical=True, self_destruct=True)
+    import pyarrow as pa
+
+    out = rows.toArrow().to_pandas(strings_to_categorical=True, self_destruct=True)
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def byte_words(text: str | None) -> list[bytes]:
@@ -202,7 +206,7 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 #: Sides of a join with more rows than this are not broadcast; rows of one key that a task of a spread join gets.
-SMALL, SPREAD = 1_000_000, 256
+SMALL, SPREAD = 200_000, 256
 
 
 def small(rows: DataFrame, most: int = SMALL) -> DataFrame:
