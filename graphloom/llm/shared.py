@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 
 import numpy as np
@@ -23,6 +24,19 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def steady(spark: SparkSession):
+    """Actions inside are planned once. Loops of many small joins would else keep a driver thread for each of their
+    exchanges; what adaptive plans do about skew, Spread does there."""
+    name = "spark.sql.adaptive.enabled"
+    old = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
