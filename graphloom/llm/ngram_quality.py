@@ -36,13 +36,14 @@ PAD = " " * (ORDER - 1)
 #: Bits of a code point, and the multiplier of the hash.
 _POINT, _MULTIPLIER = 21, 0x9E3779B97F4A7C15
 _MASK = (1 << _POINT) - 1
+_LAST = np.uint64(2**64 - 1)
 #: Fixed values of the contract: the symbols, and the limits of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 _BLANK = " \t\n\r\x0b\x0c"
 _CODE = 1 << 21
 #: Windows in memory at once, and n-grams that a task holds before it sends their sums.
-CHUNK, HELD = 1_000_000, 1_000_000
+CHUNK, HELD = 250_000, 1_000_000
 
 
 def read_text(words: list[bytes]) -> str:
@@ -83,11 +84,12 @@ def _keys(mixed: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 class Sorted:
-    """Values by sorted hashes; the leading bits of a hash give the place where its search begins."""
+    """Values by sorted hashes, whose last is the largest number and stands for none; the leading bits of a hash give the
+    place where its search begins."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = np.append(keys, np.uint64(2**64 - 1)), np.append(values, np.float32(np.nan))
-        bits = max(1, int(len(keys)).bit_length())
+        self.keys, self.values = keys, values
+        bits = max(1, len(keys).bit_length())
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
@@ -217,7 +219,7 @@ def fit(docs: DataFrame, most_rows: int = 20_000_000):
         places = [hi >> _POINT, hi & _MASK, lo >> 2 * _POINT, lo >> _POINT & _MASK, lo & _MASK]
         part = pd.DataFrame({"lang": part["lang"], "key": hash_points(places[ORDER - n :]) if n else np.zeros(len(part), np.uint64), "value": part["value"].astype(np.float32)})
         for name, own in part.sort_values("key").groupby("lang", observed=True):
-            model.setdefault(name, {})[kind, k] = own["key"].to_numpy(), own["value"].to_numpy()
+            model.setdefault(name, {})[kind, k] = np.append(own["key"].to_numpy(), _LAST), np.append(own["value"].to_numpy(), np.float32(np.nan))
     tidy(docs.sparkSession)
     return model
 
