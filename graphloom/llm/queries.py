@@ -1,7 +1,9 @@
-"""The queries of the ten operators over their tables, and the SQL of those that SQL can express."""
+"""The queries of the operators over their tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from . import (
     chat_format,
     cost_packing,
     covering_simhash,
+    dac_tokens,
     entropy_mix,
     kd_shard,
     language_backoff,
@@ -18,14 +21,20 @@ from . import (
     toxicity_ftrl,
     url_lists,
 )
-from .shared import cut, table
+from .shared import cut, ensure_checkpoint_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 #: Fixed value: the conversation that the contract of op2 adds.
 CONTROL_TURNS = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
 def id_crc(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
@@ -137,6 +146,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held, "lang_pred", "score")
 
 
+def op12_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    dac_tokens.write_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER, folder, end_id=2)
+    return dac_tokens.read_docs(spark, folder)
+
+
 OP3_SQL = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -153,7 +168,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def queries() -> dict:
     own = (
         op1_kd_shards, op2_chat_windows, op3_exact_topk, op4_url_lists, op5_entropy_mix, op6_perplexity_rules,
-        op7_toxicity, op8_cost_packing, op9_covering_simhash, op10_language,
+        op7_toxicity, op8_cost_packing, op9_covering_simhash, op10_language, op12_dac_tokens,
     )
     return {f.__name__: f for f in own}
 
