@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    blockmax_search,
     chat_format,
     cost_packing,
     covering_simhash,
@@ -20,6 +21,7 @@ from . import (
     topk_search,
     toxicity_ftrl,
     url_lists,
+    vector_codes,
 )
 from .shared import cut, ensure_checkpoint_dir, table
 
@@ -146,12 +148,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held, "lang_pred", "score")
 
 
+def op11_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings"), new_folder(spark, "codes"), parts=4, entries=256, rounds=4)
+    out = vector_codes.label_errors(made.rows)
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(made.sha256()).alias("codebooks_sha256"))
+
+
 def op12_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     dac_tokens.write_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER, folder, end_id=2)
     return dac_tokens.read_docs(spark, folder)
 
 
+def op13_blockmax_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = blockmax_search.save(blockmax_search.build(table(spark, sf_dir, "documents")), new_folder(spark, "index"))
+    return blockmax_search.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+
 OP3_SQL = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -165,13 +178,68 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def _op11_sql(rounds: int = 4) -> str:
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT rid, part, any_value(v) AS v, min({{'d': CAST(xx - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS HUGEINT), 'entry': entry}}) AS m
+  FROM pieces JOIN c{r} USING (part) GROUP BY rid, part)"""
+    means = """
+m{r} AS (
+  SELECT part, entry, pos, CAST(floor(sum(x) / count(*)) AS DOUBLE) AS x
+  FROM (SELECT part, m.entry AS entry, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a{p}) GROUP BY part, entry, pos),
+c{r} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(n.v, c.c) AS c FROM c{p} c
+  LEFT JOIN (SELECT part, entry, list(x ORDER BY pos) AS v FROM m{r} GROUP BY part, entry) n ON n.part = c.part AND n.entry = c.entry)"""
+    steps = [nearest.format(r=0)] + [x.format(r=r, p=r - 1) for r in range(1, rounds + 1) for x in (means, nearest)]
+    return f"""
+WITH good AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+pieces AS MATERIALIZED (
+  SELECT rid, part, v, list_inner_product(v, v) AS xx
+  FROM (SELECT rid, p.part, list_slice(v, len(v) * p.part // 4 + 1, len(v) * (p.part + 1) // 4) AS v FROM good, (SELECT unnest(range(4)) AS part) p)),
+c0 AS MATERIALIZED (SELECT part, rid AS entry, v AS c FROM pieces WHERE rid < 256),{",".join(steps)},
+codes AS (SELECT rid, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+book AS (SELECT part, entry, unnest(c) AS x, unnest(range(len(c))) AS pos FROM c{rounds})
+SELECT g.vec_id, k.code, k.error, CAST(sum(k.error) OVER (PARTITION BY g.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book) AS codebooks_sha256
+FROM good g JOIN codes k USING (rid)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+docs AS MATERIALIZED (SELECT rid, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS l FROM docs),
+items AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+post AS MATERIALIZED (
+  SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(t) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY rid, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(c.n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM post, c GROUP BY term),
+part AS (
+  SELECT post.rid, post.term, w.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * docs.n * c.n) // c.l)))) AS s
+  FROM post JOIN docs ON docs.rid = post.rid JOIN w ON w.term = post.term, c),
+scored AS (SELECT i.item_id, p.rid, CAST(sum(p.s) AS BIGINT) AS score FROM items i JOIN part p ON p.term = i.term GROUP BY i.item_id, p.rid),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored JOIN docs USING (rid) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def queries() -> dict:
     own = (
         op1_kd_shards, op2_chat_windows, op3_exact_topk, op4_url_lists, op5_entropy_mix, op6_perplexity_rules,
-        op7_toxicity, op8_cost_packing, op9_covering_simhash, op10_language, op12_dac_tokens,
+        op7_toxicity, op8_cost_packing, op9_covering_simhash, op10_language, op11_exponion_codes, op12_dac_tokens,
+        op13_blockmax_search,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op4_url_lists": OP4_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op4_url_lists": OP4_SQL, "op11_exponion_codes": OP11_SQL, "op13_blockmax_search": OP13_SQL}
