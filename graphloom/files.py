@@ -54,6 +54,51 @@ def write_json(path: str, value) -> None:
     fs.move(beside, base)
 
 
+def create_json(path: str, value) -> bool:
+    """Makes a file that isn't there yet, whole or not at all; false if it is there.
+
+    Locally a link to the finished file is made, which the system refuses where the name is taken; HDFS refuses such a move.
+    On stores without either, the content is read back: the writer whose own isn't there has lost.
+    """
+    fs, base = opened(path)
+    fs.create_dir(os.path.dirname(base), recursive=True)
+    if exists(path):
+        return False
+    text, beside = json.dumps(value, indent=2, ensure_ascii=False).encode("utf-8"), f"{base}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(beside) as f:
+        f.write(text)
+    if fs.type_name == "local":
+        try:
+            os.link(beside, base)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete_file(beside)
+    try:
+        fs.move(beside, base)
+    except OSError:
+        if not exists(path):
+            raise
+        fs.delete_file(beside)
+        return False
+    return read_bytes(path) == text
+
+
+def names(folder: str) -> list[str]:
+    """Names of the entries of a folder; none where it isn't there."""
+    from pyarrow.fs import FileSelector
+
+    fs, base = opened(folder)
+    return sorted(os.path.basename(i.path) for i in fs.get_file_info(FileSelector(base, allow_not_found=True)))
+
+
+def delete_file(path: str) -> None:
+    if exists(path):
+        fs, base = opened(path)
+        fs.delete_file(base)
+
+
 def delete(path: str) -> None:
     if exists(path):
         fs, base = opened(path)

@@ -1,10 +1,12 @@
-"""Services: registry and configuration files, and index snapshots that are swapped in whole."""
+"""Services: a versioned registry, configuration files, and index snapshots that are committed whole and kept for a time."""
 
 from __future__ import annotations
 
 import json
 import os
+import random
 import re
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,8 +21,11 @@ from .schemas import TABLES, IndexTables
 from .sources.ignore import load_patterns
 from .sources.parse import parse_files, parsed_only
 from .sources.scan import scan
+from .versions import Conflict, VersionLog
 
-DEFAULT_CONFIG = {"pathPrefix": "", "includeExt": [".py", ".java"], "ignoreFile": "service.ignore", "search": {"stopWords": STOP_WORDS}}
+DEFAULT_CONFIG = {"pathPrefix": "", "includeExt": [".py", ".java"], "ignoreFile": "service.ignore", "search": {"stopWords": STOP_WORDS}, "keepSeconds": 86_400}
+#: Folders of writers that never committed go after this time at the earliest.
+ORPHAN_SECONDS = 7 * 86_400
 
 
 def home() -> str:
@@ -42,33 +47,65 @@ def check_config(config: dict) -> dict:
 
 
 class Registry:
+    """The services by name. Each change makes a new version of the whole; one that was made from an older version is refused."""
+
+    #: Versions of the registry that are kept, for a look back.
+    KEPT = 20
+
     def __init__(self, root: str | None = None):
         self.root = files.full(root) if root else home()
-        self.path = f"{self.root}/services.json"
-        self.services: dict = json.loads(files.read_bytes(self.path)) if files.exists(self.path) else {}
+        self.log = VersionLog(f"{self.root}/registry")
+        self.reload()
+
+    def reload(self) -> None:
+        self.version, found = self.log.latest()
+        self.services: dict = found if found is not None else {}
 
     def save(self) -> None:
-        files.write_json(self.path, self.services)
+        """Commits the services as the next version; raises Conflict if another writer has changed them since they were read."""
+        self.log.commit(self.version + 1, self.services)
+        self.version += 1
+        for version in self.log.versions()[: -self.KEPT]:
+            self.log.forget(version)
+
+    def _change(self, change) -> None:
+        """Makes the change on what is there now, again if another writer is faster, so neither's is lost."""
+        for attempt in range(10):
+            self.reload()
+            change(self.services)
+            try:
+                return self.save()
+            except Conflict:
+                if attempt == 9:
+                    raise
+                time.sleep(0.05 * random.random())
 
     def add(self, service: str, root: str, description: str = "", main_entities: list[str] | None = None) -> None:
-        if service in self.services:
-            raise ValueError(f"service {service!r} exists")
-        self.services[service] = {"rootAbs": files.full(root), "description": description, "mainEntities": main_entities or []}
-        self.save()
+        def change(all_of_them: dict) -> None:
+            if service in all_of_them:
+                raise ValueError(f"service {service!r} exists")
+            all_of_them[service] = {"rootAbs": files.full(root), "description": description, "mainEntities": main_entities or []}
+
+        self._change(change)
 
     def remove(self, service: str) -> None:
-        self.get(service)
-        del self.services[service]
-        self.save()
+        def change(_: dict) -> None:
+            self.get(service)
+            del self.services[service]
+
+        self._change(change)
 
     def update(self, service: str, description: str = "", main_entities: list[str] | None = None) -> None:
         """Empty values keep what is there."""
-        entry = self.get(service)
-        if description:
-            entry["description"] = description
-        if main_entities:
-            entry["mainEntities"] = main_entities
-        self.save()
+
+        def change(_: dict) -> None:
+            entry = self.get(service)
+            if description:
+                entry["description"] = description
+            if main_entities:
+                entry["mainEntities"] = main_entities
+
+        self._change(change)
 
     def get(self, service: str) -> dict:
         if service not in self.services:
@@ -120,32 +157,80 @@ def write_index(index: IndexTables, path: str) -> None:
         raise ValueError(f"two symbols have the id {again[0]['node_id']}; the index is left as it was")
 
 
-def sync(spark: SparkSession, registry: Registry, service: str) -> IndexTables:
-    """A new snapshot beside the current one; it becomes current by one rename, and only if it is whole."""
-    entry, folder = registry.get(service), registry.dir(service)
-    if not files.is_uri(folder) and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("executors of a cluster can't see a local home; set GRAPHLOOM_HOME to a shared URI")
-    name = f"index-{uuid.uuid4().hex}"
+def snapshots(registry: Registry, service: str) -> VersionLog:
+    """The log of the service's snapshots: {"index": folder, "made": seconds}."""
+    return VersionLog(f"{registry.dir(service)}/snapshots")
+
+
+def commit(registry: Registry, service: str, write, base: int) -> int:
+    """Lets `write(path)` make the tables of a snapshot and commits it as the version behind `base`.
+
+    The tables go to a folder of their own, so nobody sees a snapshot before it is whole; if writing fails or another writer
+    has committed meanwhile, the folder goes and the current snapshot stays.
+    """
+    folder, name = registry.dir(service), f"index-{int(time.time())}-{uuid.uuid4().hex}"
     try:
-        write_index(build(spark, entry["rootAbs"], registry.config(service), registry.patterns(service)), f"{folder}/{name}")
+        write(f"{folder}/{name}")
+        snapshots(registry, service).commit(base + 1, {"index": name, "made": time.time()})
     except Exception:
         files.delete(f"{folder}/{name}")
         raise
-    old = current(registry, service)
-    files.write_json(f"{folder}/current.json", {"index": name})
-    if old:
-        files.delete(f"{folder}/{old}")
-    return open_index(spark, registry, service)
+    vacuum(registry, service)
+    return base + 1
 
 
-def current(registry: Registry, service: str) -> str | None:
-    path = f"{registry.dir(service)}/current.json"
-    return json.loads(files.read_bytes(path))["index"] if files.exists(path) else None
+def sync(spark: SparkSession, registry: Registry, service: str) -> IndexTables:
+    """A new snapshot of the whole tree. Readers of older ones go on reading them until their keep time is over."""
+    entry, folder = registry.get(service), registry.dir(service)
+    if not files.is_uri(folder) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("executors of a cluster can't see a local home; set GRAPHLOOM_HOME to a shared URI")
+    base, _ = snapshots(registry, service).latest()
+    config, patterns = registry.config(service), registry.patterns(service)
+    version = commit(registry, service, lambda path: write_index(build(spark, entry["rootAbs"], config, patterns), path), base)
+    return open_index(spark, registry, service, version)
 
 
-def open_index(spark: SparkSession, registry: Registry, service: str) -> IndexTables:
+def wipe(spark: SparkSession, registry: Registry, service: str) -> IndexTables:
+    """An empty snapshot; what was there stays readable by its version for its keep time."""
+    registry.get(service)
+    empty = IndexTables(**{name: spark.createDataFrame([], schema) for name, schema in TABLES.items()})
+    version = commit(registry, service, lambda path: write_index(empty, path), snapshots(registry, service).latest()[0])
+    return open_index(spark, registry, service, version)
+
+
+def vacuum(registry: Registry, service: str, keep_seconds: float | None = None) -> list[str]:
+    """Deletes the folders of snapshots that were replaced longer ago than the keep time, and those that failed writers have
+    left behind; returns their names. The current snapshot always stays."""
+    keep = registry.config(service).get("keepSeconds", DEFAULT_CONFIG["keepSeconds"]) if keep_seconds is None else keep_seconds
+    log, folder, now, gone = snapshots(registry, service), registry.dir(service), time.time(), []
+    every = [(v, log.read(v)) for v in log.versions()]
+    for (version, own), (_, later) in zip(every, every[1:]):
+        if now - later["made"] >= keep:
+            log.forget(version)
+            files.delete(f"{folder}/{own['index']}")
+            gone.append(own["index"])
+    known = {own["index"] for _, own in every}
+    for name in files.names(folder):
+        made = re.fullmatch(r"index-(\d+)-[0-9a-f]+", name)
+        if made and name not in known and now - int(made[1]) > max(keep, ORPHAN_SECONDS):
+            files.delete(f"{folder}/{name}")
+            gone.append(name)
+    return gone
+
+
+def history(registry: Registry, service: str) -> list[dict]:
+    """The snapshots that can be opened, oldest first: version and the second it was made."""
+    log = snapshots(registry, service)
+    return [{"version": v, "made": log.read(v)["made"]} for v in log.versions()]
+
+
+def open_index(spark: SparkSession, registry: Registry, service: str, version: int | None = None) -> IndexTables:
+    """The current snapshot, or that of a version which is still kept."""
     registry.get(service)
-    name = current(registry, service)
-    if not name:
+    log = snapshots(registry, service)
+    if version is not None and version not in log.versions():
+        raise KeyError(f"service {service!r} has no snapshot {version}; it was never made, or its keep time is over")
+    _, found = log.latest() if version is None else (version, log.read(version))
+    if not found:
         raise ValueError(f"service {service!r} has no index; run sync")
-    return IndexTables.read(spark, files.for_spark(f"{registry.dir(service)}/{name}"))
+    return IndexTables.read(spark, files.for_spark(f"{registry.dir(service)}/{found['index']}"))
