@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, dense_index, fresh, row_hash, shuffle_width
+from .shared import WORD, cut, dense_index, fresh, own_columns, row_hash, shuffle_width
 
 CAP = 2.0
 
@@ -156,7 +156,7 @@ def apply_mix(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5) -> DataFr
     met = sized.join(per, same)
     order = Window.partitionBy(doc, source, size).orderBy(row_hash(docs))
     alone = met.where(F.col(rows) == 1).withColumn(turn, F.lit(0))
-    met = alone.unionByName(met.where(F.col(rows) > 1).withColumn(turn, F.row_number().over(order) - 1))
+    met = alone.union(met.where(F.col(rows) > 1).withColumn(turn, F.row_number().over(order) - 1))
     times = F.floor(F.col(total) / F.col(rows)) + (F.col(turn) < F.col(total) % F.col(rows)).cast("long")
     met = met.withColumn(n, times.cast("int")).where(F.col(n) > 0)
-    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*own_columns(docs))

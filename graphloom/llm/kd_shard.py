@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, dense_index, fresh, row_hash, small
+from .shared import cut, dense_index, fresh, own_columns, row_hash, small
 
 BINS = 256
 _SPAN = 1 << 31
@@ -126,4 +126,4 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
     again = again.withColumn(nth, number).join(sums, [key, part]).withColumn(nth, F.col(nth) + F.col(base)).drop(part, base)
     places = placed.select(of_key(F.col("text_crc32").alias("crc")).alias(key), F.col("nth").alias(nth), F.col("shard").alias("_to"))
     met = alone.unionByName(again).join(places, [key, nth])
-    met.select(*docs.drop("shard").columns, F.col("_to").alias("shard")).write.partitionBy("shard").mode("overwrite").parquet(path)
+    met.select(*own_columns(docs.drop("shard")), F.col("_to").alias("shard")).write.partitionBy("shard").mode("overwrite").parquet(path)

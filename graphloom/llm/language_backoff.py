@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordCodes, arrow_parts, char_grams, collected, cut, flat_words, hash_rows, map_arrow, map_texts
+from .shared import WordCodes, arrow_parts, char_grams, collected, cut, flat_words, hash_rows, map_arrow, map_texts, own_columns
 
 LONGEST = 4
 MARKS = ("\x02", "\x03")
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred",
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(*names)
+    docs = docs.select(*[c for name, c in zip(docs.columns, own_columns(docs)) if name not in names])
 
     def run(record_batches):
         model = shared.value
@@ -162,7 +162,8 @@ def predict(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred",
                 label[has] = np.array(model["langs"], object)[best[has]]
                 score[has] = share[has]
             columns = [*batch.columns, pa.array(label.tolist(), pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays(columns, names=added.names)
 
     added = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return map_arrow(docs, run, added)
+    plain = [c.alias(name if name == "text" else f"_{i}") for i, (name, c) in enumerate(zip(docs.columns, own_columns(docs)))]
+    return map_arrow(docs.select(*plain), run, added)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Spread, WordCodes, arrow_parts, collected, cut, flat_words, fresh, map_arrow, map_texts, mix64, row_hash, small, tidy
+from .shared import Spread, WordCodes, arrow_parts, collected, cut, flat_words, fresh, map_arrow, map_texts, mix64, own_columns, row_hash, small, tidy
 
 ORDER = 5
 #: Every text is read as if it began behind spaces and ended with one.
@@ -394,4 +394,4 @@ def keep(docs: DataFrame) -> DataFrame:
     found = cut(features(named, fit(docs), [row]))
     tidy(docs.sparkSession)
     rejected = cut(found.where(~verdict(bands(found))).select(row).distinct())
-    return named.join(small(rejected), row, "left_anti").select(*docs.columns)
+    return named.join(small(rejected), row, "left_anti").select(*own_columns(docs))

@@ -86,6 +86,8 @@ def fit(
     alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0, epochs: int = 6, min_rows: int = 3,
 ) -> dict:
     """Non-zero weights as sorted feature and value arrays, and the bias."""
+    # ids of one type, as the hashes of an int and of a long differ
+    docs, labels = (df.withColumn("doc_id", F.col("doc_id").cast("long")) for df in (docs, labels))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / F.lit(float(1 << 31))
     known = labels.where(learned & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     share = max_rows / max(1, known.count())

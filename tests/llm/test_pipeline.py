@@ -126,3 +126,25 @@ def test_run_leaves_only_its_last_result(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     new = {x for x in set(os.listdir(top)) - before if x.startswith(("pipeline-", "table-"))}
     assert len(new) == 1 and os.listdir(f"{top}/{new.pop()}") == ["4"]
+
+
+def test_columns_with_dots_ticks_and_maps(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr(
+        "*", "concat('v', doc_id) as `a.b`", "doc_id as `c``d`", "named_struct('b', -doc_id) as a", "map('k', doc_id, 'j', 1L) as m", "array(map(doc_id, 'x')) as deep", "map('k', map('i', doc_id)) as mm"
+    )
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            i = r["doc_id"]
+            assert (r["a.b"], r["c`d"], r["a"]["b"], r["m"], r["deep"], r["mm"]) == (f"v{i}", i, -i, {"k": i, "j": 1}, [{i: "x"}], {"k": {"i": i}}), name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() > 0
+
+
+def test_rows_with_equal_maps_are_equal(spark):
+    from graphloom.llm.shared import row_hash
+
+    df = spark.sql("select map('a', 1, 'b', 2) as m, 1 as `x.y` union all select map('b', 2, 'a', 1), 1 union all select map('b', 2, 'a', 3), 1 union all select null, 1")
+    assert df.select(row_hash(df).alias("h")).distinct().count() == 3
