@@ -49,8 +49,8 @@ class App:
         self.registry.update(service, description, main_entities)
         return self.info(service)
 
-    def sync(self, service: str) -> dict:
-        services.sync(self.spark, self.registry, service)
+    def sync(self, service: str, full: bool = False) -> dict:
+        services.sync(self.spark, self.registry, service, full)
         return self.stats(service)
 
     def stats(self, service: str) -> dict:
@@ -69,26 +69,28 @@ class App:
             return node
         if not ids.parse_short(node):
             raise ValueError(f"bad id {node!r}")
-        found = lookups.resolve_ids(index, self.spark.createDataFrame([(node,)], "id string")).first()
+        found = lookups.find_id(index, node).first()
         if not found:
             raise KeyError(f"unknown id {node!r}")
         return found["canonical_id"]
 
     def _node(self, index, node: str) -> dict:
-        rows = _rows(lookups.get_node(index).where(F.col("node_id") == node), 1)
+        """The node with its file and its owner: three filters on sorted tables, no join."""
+        rows = _rows(index.nodes.where(F.col("node_id") == node), 1)
         if not rows:
             raise KeyError(f"unknown id {node!r}")
-        return rows[0]
+        file = _rows(index.files.where(F.col("file_id") == rows[0]["file_id"]).select(F.col("short_id").alias("file_no"), "key", "rel_path", "lang"), 1)
+        owner = _rows(index.nodes.where(F.col("node_id") == rows[0]["owner_id"]).select(F.col("short_id").alias("owner_no")), 1) if rows[0]["owner_id"] else []
+        return rows[0] | (file[0] if file else {}) | (owner[0] if owner else {"owner_no": None})
 
     def peek(self, service: str, node: str) -> dict:
         index = self._index(service)
         node = self._resolve(index, node)
         if node.startswith("f:"):
             f = self._file_row(index, node)
-            t = _rows(whole.tree(index).where(F.col("id") == f"f{f['short_id']}"))[0]
-            imports = index.edges_imports.where(F.col("file_id") == f["file_id"]).count()
+            t = _rows(index.file_counts.where(F.col("file_id") == f["file_id"]))[0]
             head = {"id": f"f{f['short_id']}", "k": "file", "path": f["rel_path"], "lang": f["lang"], "pkg": f["package"]}
-            counts = {"objects": t["objects"], "methods": t["methods"], "imports": imports}
+            counts = {"objects": t["objects"], "methods": t["methods"], "imports": t["imports"]}
             return _slim(head | counts, ("id", "k", "path", "objects", "methods", "imports"))
         n = self._node(index, node)
         mark = "o" if n["kind"] == "object" else "m"
@@ -98,10 +100,10 @@ class App:
         }
         always = ("id", "k", "subk", "name", "file", "l", "end")
         if n["kind"] == "method":
-            c = _rows(lookups.method_counts(index).where(F.col("node_id") == node))[0]
+            c = _rows(index.node_counts.where(F.col("node_id") == node))[0]
             more = {"sig": n["signature"], "calls": c["calls"], "called_by": c["called_by"], "unresolved_calls": c["unresolved"]}
             return _slim(head | more, always)
-        c = _rows(lookups.object_counts(index).where(F.col("node_id") == node))[0]
+        c = _rows(index.node_counts.where(F.col("node_id") == node))[0]
         children = [r["peer"] for r in _rows(walks.walk(index, node, "defines", "out", 200)[0])]
         parents = [r for r in _rows(walks.walk(index, node, "inherits", "out", 50)[0]) if r["peer"]]
         by = lambda rel: [r["peer"] for r in parents if r["rel"] == rel]
@@ -121,10 +123,7 @@ class App:
         node = self._resolve(index, node)
         if node.startswith("f:"):
             raise ValueError("code takes the id of an object or a method")
-        rows = _rows(lookups.code_range(index).where(F.col("node_id") == node), 1)
-        if not rows:
-            raise KeyError(f"unknown id {node!r}")
-        r = rows[0]
+        r = self._node(index, node)
         start, end = max(r["start_line"] - context, 1), r["end_line"] + context
         content = read_file(self.registry.get(service)["rootAbs"], r["rel_path"])
         row = self.spark.createDataFrame([(content.decode("utf-8", "replace"),)], "value string")

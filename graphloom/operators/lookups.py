@@ -13,9 +13,12 @@ def resolve_ids(index: IndexTables, wanted: DataFrame, col: str = "id") -> DataF
     """(id, canonical_id, doc_kind): canonical ids pass unverified, short ids are looked up, the kind must match."""
     kind, number = ids.parse_short_id(F.col(col))
     asked = wanted.select(F.col(col).alias("id"), kind.alias("_kind"), number.alias("_no"))
-    known = index.nodes.select(F.col("kind").alias("_kind"), F.col("short_id").alias("_no"), F.col("node_id").alias("_id")).unionByName(
-        index.files.select(F.lit("file").alias("_kind"), F.col("short_id").alias("_no"), F.col("file_id").alias("_id"))
-    )
+    if index.ids is not None:
+        known = index.ids.select(F.col("kind").alias("_kind"), F.col("short_id").alias("_no"), F.col("canonical_id").alias("_id"))
+    else:
+        known = index.nodes.select(F.col("kind").alias("_kind"), F.col("short_id").alias("_no"), F.col("node_id").alias("_id")).unionByName(
+            index.files.select(F.lit("file").alias("_kind"), F.col("short_id").alias("_no"), F.col("file_id").alias("_id"))
+        )
     own = F.when(F.col("id").rlike("^[nf]:"), F.col("id"))
     found = asked.join(known, ["_kind", "_no"], "left").select("id", F.coalesce(own, "_id").alias("canonical_id"))
     return found.where("canonical_id is not null").select(
@@ -23,6 +26,16 @@ def resolve_ids(index: IndexTables, wanted: DataFrame, col: str = "id") -> DataF
     )
 
 
+def find_id(index: IndexTables, short: str) -> DataFrame:
+    """(canonical_id) of one short id: a filter that reaches the scan of the stored ids, where there are some."""
+    kind, number = ids.parse_short(short)
+    if index.ids is not None:
+        return index.ids.where((F.col("kind") == kind) & (F.col("short_id") == number)).select("canonical_id")
+    of = index.files.withColumn("kind", F.lit("file")) if kind == "file" else index.nodes
+    found = of.where((F.col("kind") == kind) & (F.col("short_id") == number))
+    return found.select(F.col("file_id" if kind == "file" else "node_id").alias("canonical_id"))
+
+
 def get_node(index: IndexTables) -> DataFrame:
     files = index.files.select("file_id", F.col("short_id").alias("file_no"), "rel_path", "lang")
     owners = index.nodes.select(F.col("node_id").alias("owner_id"), F.col("short_id").alias("owner_no"))
@@ -34,6 +47,9 @@ def get_node(index: IndexTables) -> DataFrame:
 
 def object_counts(index: IndexTables) -> DataFrame:
     """(node_id, methods, extends, implements, extended_by) of every object; all its children count as methods."""
+    if index.node_counts is not None:
+        objects = index.nodes.where("kind = 'object'").select("node_id")
+        return index.node_counts.join(objects, "node_id", "left_semi").select("node_id", "methods", "extends", "implements", "extended_by")
     children = index.nodes.where("owner_id is not null").groupBy(F.col("owner_id").alias("node_id")).agg(F.count(F.lit(1)).alias("methods"))
     out = index.edges_inherits.groupBy(F.col("child_id").alias("node_id")).agg(
         F.count_if(F.col("relation") == "extends").alias("extends"), F.count_if(F.col("relation") == "implements").alias("implements")
@@ -45,6 +61,9 @@ def object_counts(index: IndexTables) -> DataFrame:
 
 def method_counts(index: IndexTables) -> DataFrame:
     """(node_id, calls, called_by, unresolved) of every method."""
+    if index.node_counts is not None:
+        methods = index.nodes.where("kind = 'method'").select("node_id")
+        return index.node_counts.join(methods, "node_id", "left_semi").select("node_id", "calls", "called_by", "unresolved")
     out = index.edges_calls.groupBy(F.col("caller_id").alias("node_id")).agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(F.col("callee_id").isNull()).alias("unresolved")
     )
@@ -66,6 +85,8 @@ def file_imports(index: IndexTables) -> DataFrame:
 
 def file_objects(index: IndexTables) -> DataFrame:
     """(file_id, node_id, short_id, subkind, name, start_line, end_line, methods), to be ordered by start_line."""
+    if index.nodes_of_file is not None:
+        return index.nodes_of_file.where("kind = 'object'").drop("kind", "owner_id")
     children = index.nodes.where("owner_id is not null").groupBy(F.col("owner_id").alias("node_id")).agg(F.count(F.lit(1)).alias("methods"))
     own = index.nodes.where("kind = 'object'").select("file_id", "node_id", "short_id", "subkind", "name", "start_line", "end_line")
     return own.join(children, "node_id", "left").na.fill(0, ["methods"]).select(*own.columns, "methods")
@@ -73,7 +94,8 @@ def file_objects(index: IndexTables) -> DataFrame:
 
 def file_top_methods(index: IndexTables) -> DataFrame:
     """Methods without an owner, to be ordered by start_line."""
-    own = index.nodes.where("kind = 'method' and owner_id is null")
+    nodes = index.nodes if index.nodes_of_file is None else index.nodes_of_file
+    own = nodes.where("kind = 'method' and owner_id is null")
     return own.select("file_id", "node_id", "short_id", "subkind", "name", "start_line", "end_line")
 
 
@@ -84,6 +106,8 @@ def code_range(index: IndexTables) -> DataFrame:
 
 def stats(index: IndexTables) -> DataFrame:
     """One row of nine counts."""
+    if index.totals is not None:
+        return index.totals
     parts = [
         index.files.agg(F.count(F.lit(1)).alias("files")),
         index.nodes.agg(F.count_if(F.col("kind") == "object").alias("objects"), F.count_if(F.col("kind") == "method").alias("methods")),

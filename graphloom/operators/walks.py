@@ -35,7 +35,13 @@ def _shape(rows: DataFrame, direction: str) -> DataFrame:
 
 
 def walk_rows(index: IndexTables, edge: str, direction: str) -> DataFrame:
-    """All rows of one direction (`out` or `in`) of an edge type."""
+    """All rows of one direction (`out` or `in`) of an edge type. A snapshot has them sorted by node, both ways."""
+    if edge not in EDGES:
+        raise ValueError(f"unknown edge {edge!r}; known are {', '.join(EDGES)}")
+    if direction not in ("out", "in"):
+        raise ValueError(f"unknown direction {direction!r}; known are in, out and both")
+    if index.adjacency is not None:
+        return index.adjacency.where((F.col("edge") == edge) & (F.col("dir") == direction)).select(*COLUMNS)
     nodes, files = _nodes(index), _files(index)
     if edge == "calls":
         e = index.edges_calls
@@ -66,7 +72,7 @@ def walk_rows(index: IndexTables, edge: str, direction: str) -> DataFrame:
             return _shape(own.join(nodes, "peer_id"), "out")
         own = n.select(F.col("node_id").alias("node"), F.col("owner_id").alias("peer_id"))
         return _shape(own.join(nodes, "peer_id"), "in")
-    raise ValueError(f"unknown edge {edge!r}; known are {', '.join(EDGES)}")
+    raise AssertionError(edge)
 
 
 #: The order of each walk; all columns break ties, since edges are a multiset.
@@ -86,8 +92,8 @@ def _directions(direction: str) -> list[str]:
 
 
 def walk(index: IndexTables, of: str, edge: str, direction: str = "both", limit: int = 20, offset: int = 0) -> tuple[DataFrame, int]:
-    """One page of each direction, and the number of rows on all pages."""
-    limit = limit if limit > 0 else 20
+    """One page of each direction, and the number of rows on all pages. A negative offset counts as none."""
+    limit, offset = limit if limit > 0 else 20, max(offset, 0)
     out, total = None, 0
     for d in _directions(direction):
         rows = walk_rows(index, edge, d).where(F.col("node") == of)
@@ -100,6 +106,7 @@ def walk(index: IndexTables, of: str, edge: str, direction: str = "both", limit:
 
 def walk_many(index: IndexTables, nodes: DataFrame, edge: str, direction: str = "both", limit: int = 20, offset: int = 0) -> DataFrame:
     """Pages for a set of ids (column `node`): each direction of each id has its own page; `n` counts from 1."""
+    limit, offset = limit if limit > 0 else 20, max(offset, 0)
     out = None
     for d in _directions(direction):
         rows = walk_rows(index, edge, d).join(nodes.select("node").distinct(), "node", "left_semi")

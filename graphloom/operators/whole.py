@@ -9,13 +9,15 @@ from ..functions import ids
 from ..schemas import IndexTables
 
 
-def tree(index: IndexTables) -> DataFrame:
-    """Every file with its numbers of objects and methods; nodes are counted before the join."""
+def tree(index: IndexTables, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every file with its numbers of objects and methods; nodes are counted before the join, or once for a snapshot."""
+    if index.file_counts is not None:
+        return index.file_counts.select(*keep, "id", "path", "lang", "pkg", "objects", "methods")
     per_file = index.nodes.groupBy("file_id").agg(
         F.count_if(F.col("kind") == "object").alias("objects"), F.count_if(F.col("kind") == "method").alias("methods")
     )
     out = index.files.join(per_file, "file_id", "left").na.fill(0, ["objects", "methods"])
-    return out.select(F.concat(F.lit("f"), F.col("short_id").cast("string")).alias("id"), F.col("rel_path").alias("path"), "lang", F.col("package").alias("pkg"), "objects", "methods")
+    return out.select(*keep, F.concat(F.lit("f"), F.col("short_id").cast("string")).alias("id"), F.col("rel_path").alias("path"), "lang", F.col("package").alias("pkg"), "objects", "methods")
 
 
 def graph_nodes(index: IndexTables) -> DataFrame:

@@ -566,8 +566,49 @@ QUERIES |= source_queries.QUERIES | {"build_search_docs": source_queries.build_s
 SQL |= source_queries.SQL | {"build_search_docs": source_queries.search_docs_sql(_normal)}
 
 
+def _written(spark, sf_dir, result, *also):
+    return source_queries.stored(spark, [idx(spark, sf_dir)], result, also)
+
+
 @query(SQL["bm25_and_terms"])
 def search_stored(spark, sf_dir):
     """The same hits from the postings and statistics of a written snapshot."""
     hits = lambda index: _rounded(search.bm25(index.search_docs, ["der", "schen"], index.postings, index.doc_stats))
-    return source_queries.stored(spark, [idx(spark, sf_dir)], hits)
+    return _written(spark, sf_dir, hits, "search")
+
+
+@query(SQL["search_topk"])
+def search_topk_stored(spark, sf_dir):
+    """The best hits from the blocks of postings whose bounds reach them."""
+    hits = lambda index: _rounded(search.top_hits(search.BlockSearch(index, ["tion", "src0"], 10).scored(), 10))
+    return _written(spark, sf_dir, hits, "search")
+
+
+@query(f"{I} " + " UNION ALL ".join(f"SELECT '{e}' AS edge, {', '.join(walks.COLUMNS)} FROM ({sql})" for (e, _), sql in _WALKS.items()))
+def walks_stored(spark, sf_dir):
+    """All walks in both directions, from the adjacency of a written snapshot."""
+    return _written(spark, sf_dir, lambda index: index.adjacency.select("edge", *walks.COLUMNS), "lookups")
+
+
+@query(
+    f"SELECT node_id AS id, methods + extends * 1000 + implements * 100000 + extended_by * 10000000 AS counts FROM ({SQL['object_counts']}) "
+    f"UNION ALL SELECT node_id, calls + called_by * 1000 + unresolved * 1000000 FROM ({SQL['method_counts']}) UNION ALL SELECT path, objects + methods * 1000000 FROM ({SQL['tree']})"
+)
+def counts_stored(spark, sf_dir):
+    """The counts that a written snapshot keeps of objects, methods and files, each set as one number."""
+    def rows(index):
+        o = lookups.object_counts(index).select(F.col("node_id").alias("id"), F.expr("methods + extends * 1000 + implements * 100000 + extended_by * 10000000").alias("counts"))
+        m = lookups.method_counts(index).select(F.col("node_id").alias("id"), F.expr("calls + called_by * 1000 + unresolved * 1000000").alias("counts"))
+        f = whole.tree(index).select(F.col("path").alias("id"), F.expr("objects + methods * 1000000").alias("counts"))
+        return o.unionByName(m).unionByName(f)
+
+    return _written(spark, sf_dir, rows, "lookups")
+
+
+@query(SQL["resolve_id"])
+def resolve_id_stored(spark, sf_dir):
+    """Short ids by the sorted ids of a written snapshot."""
+    asked = _read(spark, sf_dir, "customer").select(
+        F.expr("CASE c_custkey % 4 WHEN 0 THEN 'o' || c_custkey WHEN 1 THEN 'm' || (1000000 + c_custkey) WHEN 2 THEN 'f' || c_custkey ELSE 'n:tpch:o:' || c_custkey END AS id")
+    )
+    return _written(spark, sf_dir, lambda index: lookups.resolve_ids(index, asked), "lookups")

@@ -15,8 +15,24 @@ EDGES_CALLS = "caller_id string, callee_id string, callee_name string, callee_ow
 EDGES_INHERITS = "child_id string, parent_id string, parent_hint string, relation string"
 EDGES_IMPORTS = "file_id string, target_file_id string, raw string"
 SEARCH_DOCS = "doc_id string, doc_kind string, name string, fqn string, path string"
-POSTINGS = "term string, doc_id string, tf_name int, tf_fqn int, tf_path int"
-DOC_STATS = "doc_id string, doc_kind string, len int"
+POSTINGS = "term string, doc_id string, doc_kind string, block long, len int, tf_name int, tf_fqn int, tf_path int"
+DOC_STATS = "doc_id string, doc_kind string, len int, block long"
+POSTING_BLOCKS = "term string, block long, n long, max_f double, min_len int"
+SEARCH_STATS = "n_docs long, total_len long"
+ADJACENCY = (
+    "edge string, dir string, node string, peer_id string, peer string, name string, fqn string, file string, l int, hint string, line int, "
+    "conf int, rel string"
+)
+IDS = "kind string, short_id long, canonical_id string"
+NODE_COUNTS = "node_id string, methods long, extends long, implements long, extended_by long, calls long, called_by long, unresolved long"
+FILE_COUNTS = "file_id string, id string, path string, lang string, pkg string, objects long, methods long, imports long"
+NODES_OF_FILE = (
+    "file_id string, node_id string, short_id long, kind string, subkind string, name string, owner_id string, start_line int, end_line int, methods long"
+)
+TOTALS = (
+    "files long, objects long, methods long, calls_resolved long, calls_unresolved long, inherits long, imports_resolved long, "
+    "imports_external long, search_docs long"
+)
 
 #: One row per parsed file, as the extractors leave it.
 PARSED = (
@@ -29,7 +45,16 @@ PARSED = (
 
 TABLES = {
     "files": FILES, "nodes": NODES, "edges_calls": EDGES_CALLS, "edges_inherits": EDGES_INHERITS,
-    "edges_imports": EDGES_IMPORTS, "search_docs": SEARCH_DOCS, "postings": POSTINGS, "doc_stats": DOC_STATS,
+    "edges_imports": EDGES_IMPORTS, "search_docs": SEARCH_DOCS,
+}
+#: The files of a snapshot as they were parsed, and edges with the place of their call or base: what the next sync starts from.
+PARSED_FILES = f"key string, rel_path string, lang string, size long, modified long, hash string, error boolean, {PARSED}"
+KEYED = {"edges_calls": f"{EDGES_CALLS}, file_id string, ord int", "edges_inherits": f"{EDGES_INHERITS}, file_id string, ord int"}
+#: What a snapshot keeps for the search.
+SEARCH = {"postings": POSTINGS, "doc_stats": DOC_STATS, "posting_blocks": POSTING_BLOCKS, "search_stats": SEARCH_STATS}
+#: What it keeps for lookups, walks and counts.
+STORED = {
+    "adjacency": ADJACENCY, "ids": IDS, "node_counts": NODE_COUNTS, "file_counts": FILE_COUNTS, "nodes_of_file": NODES_OF_FILE, "totals": TOTALS,
 }
 
 
@@ -41,16 +66,27 @@ class IndexTables:
     edges_inherits: DataFrame
     edges_imports: DataFrame
     search_docs: DataFrame
-    #: What search reads; made from search_docs where an index has not been stored.
+    #: What search and lookups read in a snapshot; where an index has not been stored, they go without.
     postings: DataFrame | None = None
     doc_stats: DataFrame | None = None
+    posting_blocks: DataFrame | None = None
+    search_stats: DataFrame | None = None
+    adjacency: DataFrame | None = None
+    ids: DataFrame | None = None
+    node_counts: DataFrame | None = None
+    file_counts: DataFrame | None = None
+    nodes_of_file: DataFrame | None = None
+    totals: DataFrame | None = None
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> IndexTables:
-        return cls(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()})
+    def read(cls, spark: SparkSession, path: str, also: tuple[str, ...] = ("search", "lookups")) -> IndexTables:
+        """The tables of a snapshot, with what it keeps beside them for the search and for lookups."""
+        every = TABLES | (SEARCH if "search" in also else {}) | (STORED if "lookups" in also else {})
+        return cls(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in every.items()})
 
     def delete_file(self, file_id: str) -> IndexTables:
-        """Without one file: its nodes and edges go, references to them become null."""
+        """Without one file: its nodes and edges go, references to them become null. What was kept for lookups is left out, as it
+        tells of the whole; the counts of the search stay those of the whole."""
         gone = self.nodes.where(self.nodes.file_id == file_id).select("node_id")
 
         def without(edges: DataFrame, col: str) -> DataFrame:

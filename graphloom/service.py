@@ -9,18 +9,20 @@ import re
 import time
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
+from .checkpoints import cut
+from .functions import ids
 from .functions.analyzer import STOP_WORDS
 from .operators import search
-from .plans import resolve
+from .plans import delta, resolve, stored
 from .plans.raw import raw_tables
-from .schemas import TABLES, IndexTables
+from .schemas import KEYED, PARSED_FILES, TABLES, IndexTables
 from .sources.ignore import load_patterns
-from .sources.parse import parse_files, parsed_only
-from .sources.scan import scan
+from .sources.parse import PARSERS, parse_files, parsed_only
+from .sources.scan import listing, read_contents
 from .versions import Conflict, VersionLog
 
 DEFAULT_CONFIG = {"pathPrefix": "", "includeExt": [".py", ".java"], "ignoreFile": "service.ignore", "search": {"stopWords": STOP_WORDS}, "keepSeconds": 86_400}
@@ -129,32 +131,71 @@ class Registry:
         return load_patterns(files.read_bytes(path).decode("utf-8")) if files.exists(path) else []
 
 
-def build(spark: SparkSession, root: str, config: dict, patterns: list[str]) -> IndexTables:
-    """Scan, parse, canonicalize, resolve."""
-    found = scan(spark, root, config["pathPrefix"], config["includeExt"], patterns)
-    return resolve.index_tables(raw_tables(parsed_only(parse_files(found))), config["search"]["stopWords"] or None)
+def parsed_rows(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
+    """Rows of schemas.PARSED_FILES of listed files, which are read here."""
+    contents = read_contents(listed, root).withColumn("hash", F.sha2("content", 256))
+    return parse_files(contents, ("size", "modified", "hash"))
 
 
-#: The keys that lookups filter on; the tables are sorted by them, so that a filter reads few row groups.
-KEYS = {
-    "files": "file_id", "nodes": "node_id", "edges_calls": "caller_id", "edges_inherits": "child_id", "edges_imports": "file_id",
-    "search_docs": "doc_id", "postings": "term", "doc_stats": "doc_id",
-}
+def write_search(spark: SparkSession, path: str, posts: DataFrame | None = None, sizes: DataFrame | None = None) -> None:
+    """What the search reads, from the documents under path, or from their postings and sizes where these are known."""
+    index = IndexTables.read(spark, path, ())
+    docs = index.search_docs
+    stored.write_sorted(search.blocked_stats(search.doc_stats(docs) if sizes is None else sizes, stored.ids(index)), path, "doc_stats")
+    stats = spark.read.parquet(f"{path}/doc_stats")
+    stored.write_sorted(search.blocked_postings(search.postings(docs) if posts is None else posts, stats), path, "postings")
+    stored.write_sorted(search.posting_blocks(spark.read.parquet(f"{path}/postings")), path, "posting_blocks")
+    stored.write_sorted(search.search_stats(stats), path, "search_stats")
 
 
-def write_index(index: IndexTables, path: str) -> None:
-    """The tables under path, with the postings and document statistics of the search; duplicate ids are refused."""
+def write_index(index: IndexTables, path: str, also: tuple[str, ...] = ("search", "lookups"), posts: DataFrame | None = None, sizes: DataFrame | None = None) -> None:
+    """The tables under path, with what search and lookups read beside them; duplicate ids are refused."""
     path = files.for_spark(path)
     spark = index.nodes.sparkSession
-    for name in TABLES:
-        df = getattr(index, name)
-        if name in ("postings", "doc_stats"):
-            made = search.postings if name == "postings" else search.doc_stats
-            df = made(spark.read.parquet(f"{path}/search_docs"))
-        df.repartitionByRange(F.col(KEYS[name])).sortWithinPartitions(KEYS[name]).write.mode("overwrite").parquet(f"{path}/{name}")
+    stored.at_once(spark, [lambda name=name: stored.write_sorted(getattr(index, name), path, name) for name in TABLES])
     again = spark.read.parquet(f"{path}/nodes").groupBy("node_id").count().where("count > 1").limit(1).collect()
     if again:
         raise ValueError(f"two symbols have the id {again[0]['node_id']}; the index is left as it was")
+    also_written = {"search": lambda: write_search(spark, path, posts, sizes), "lookups": lambda: stored.write_derived(spark, path)}
+    stored.at_once(spark, [also_written[name] for name in also])
+
+
+def build(spark: SparkSession, root: str, config: dict, patterns: list[str], path: str) -> None:
+    """Scan, parse, canonicalize, resolve: the whole tree into the tables under path."""
+    listed = listing(spark, root, config["pathPrefix"], config["includeExt"], patterns)
+    parsed_rows(spark, listed, root).write.parquet(f"{files.for_spark(path)}/parsed")
+    parsed = spark.read.schema(PARSED_FILES).parquet(f"{files.for_spark(path)}/parsed")
+    write_index(resolve.index_tables(raw_tables(parsed_only(parsed)), config["search"]["stopWords"] or None, keyed=True), path)
+
+
+def rebuild(spark: SparkSession, root: str, config: dict, patterns: list[str], old_path: str, path: str) -> bool:
+    """The tables under path from those under old_path and the files that have changed since; false, and nothing, if none has.
+
+    Files whose size and time are the same aren't read. What they gave when they were parsed is in the old snapshot.
+    """
+    old_path, new_path = files.for_spark(old_path), files.for_spark(path)
+    parsed = spark.read.schema(PARSED_FILES).parquet(f"{old_path}/parsed")
+    now = cut(listing(spark, root, config["pathPrefix"], config["includeExt"], patterns).where(F.col("lang").isin(list(PARSERS))))
+    known = parsed.select("key", "size", "modified")
+    touched = cut(now.join(known, ["key", "size", "modified"], "left_anti"))
+    removed = cut(parsed.select("key").join(now, "key", "left_anti"))
+    if touched.isEmpty() and removed.isEmpty():
+        return False
+    fresh = cut(parsed_rows(spark, touched, root))
+    moved = delta.few(touched.select("key").unionByName(removed))
+    parsed.join(moved, "key", "left_anti").select(*parsed.columns).unionByName(fresh.select(*parsed.columns)).write.parquet(f"{new_path}/parsed")
+    after = spark.read.schema(PARSED_FILES).parquet(f"{new_path}/parsed")
+    # a file that was only touched gives what it gave before
+    same = fresh.select("key", "hash").join(parsed.select("key", "hash"), ["key", "hash"], "left_semi").select("key")
+    changed_keys = delta.few(moved.join(same, "key", "left_anti"))
+    raw = raw_tables(parsed_only(after))
+    before = raw_tables(parsed_only(parsed.join(changed_keys, "key", "left_semi").select(*parsed.columns)))
+    own = delta.few(changed_keys.select(ids.file_id(F.col("key")).alias("file_id")))
+    changed = delta.Changed(before, delta.of_files(raw, own))
+    keyed = {name: spark.read.schema(schema).parquet(f"{old_path}/{name}") for name, schema in KEYED.items()}
+    index, posts, sizes = delta.index_tables(IndexTables.read(spark, old_path), keyed, raw, changed, config["search"]["stopWords"] or None)
+    write_index(index, path, posts=posts, sizes=sizes)
+    return True
 
 
 def snapshots(registry: Registry, service: str) -> VersionLog:
@@ -162,16 +203,18 @@ def snapshots(registry: Registry, service: str) -> VersionLog:
     return VersionLog(f"{registry.dir(service)}/snapshots")
 
 
-def commit(registry: Registry, service: str, write, base: int) -> int:
-    """Lets `write(path)` make the tables of a snapshot and commits it as the version behind `base`.
+def commit(registry: Registry, service: str, write, base: int, **about) -> int:
+    """Lets `write(path)` make the tables of a snapshot and commits it as the version behind `base`; if it returns False there
+    is nothing new, and the version stays.
 
     The tables go to a folder of their own, so nobody sees a snapshot before it is whole; if writing fails or another writer
     has committed meanwhile, the folder goes and the current snapshot stays.
     """
     folder, name = registry.dir(service), f"index-{int(time.time())}-{uuid.uuid4().hex}"
     try:
-        write(f"{folder}/{name}")
-        snapshots(registry, service).commit(base + 1, {"index": name, "made": time.time()})
+        if write(f"{folder}/{name}") is False:
+            return base
+        snapshots(registry, service).commit(base + 1, {"index": name, "made": time.time(), **about})
     except Exception:
         files.delete(f"{folder}/{name}")
         raise
@@ -179,14 +222,21 @@ def commit(registry: Registry, service: str, write, base: int) -> int:
     return base + 1
 
 
-def sync(spark: SparkSession, registry: Registry, service: str) -> IndexTables:
-    """A new snapshot of the whole tree. Readers of older ones go on reading them until their keep time is over."""
+def sync(spark: SparkSession, registry: Registry, service: str, full: bool = False) -> IndexTables:
+    """A new snapshot: of what has changed since the current one, or with `full`, without one, and under another configuration
+    of the whole tree. Readers of older ones go on reading them until their keep time is over."""
     entry, folder = registry.get(service), registry.dir(service)
     if not files.is_uri(folder) and not spark.sparkContext.master.startswith("local"):
         raise ValueError("executors of a cluster can't see a local home; set GRAPHLOOM_HOME to a shared URI")
-    base, _ = snapshots(registry, service).latest()
+    base, current = snapshots(registry, service).latest()
     config, patterns = registry.config(service), registry.patterns(service)
-    version = commit(registry, service, lambda path: write_index(build(spark, entry["rootAbs"], config, patterns), path), base)
+    made_by = {"root": entry["rootAbs"], "config": {k: config[k] for k in ("pathPrefix", "includeExt", "search")}, "patterns": patterns}
+    how = (spark, entry["rootAbs"], config, patterns)
+    if current and not full and current.get("made_by") == made_by:
+        write = lambda path: rebuild(*how, f"{folder}/{current['index']}", path)
+    else:
+        write = lambda path: build(*how, path)
+    version = commit(registry, service, write, base, made_by=made_by)
     return open_index(spark, registry, service, version)
 
 

@@ -362,12 +362,12 @@ _COUNT = {"files": (1, 1), "nodes": (7, 8), "edges_calls": (11, 10), "edges_inhe
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS name, CAST({p} * (SELECT count(*) FROM ({_PY})) + {j} * (SELECT count(*) FROM ({_JAVA})) AS BIGINT) AS n" for t, (p, j) in _COUNT.items())
 
 
-def stored(spark: SparkSession, indexes: list[IndexTables], result) -> DataFrame:
+def stored(spark: SparkSession, indexes: list[IndexTables], result, also: tuple[str, ...] = ()) -> DataFrame:
     """What `result` makes of the snapshot that the indexes, one after the other, were written to."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     for index in indexes:
-        write_index(index, path)
-    out = cut(result(IndexTables.read(spark, path)))
+        write_index(index, path, also)
+    out = cut(result(IndexTables.read(spark, path, also)))
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return out
@@ -384,7 +384,7 @@ def _counts(index: IndexTables) -> DataFrame:
 @query(_COUNTS, "write_index")
 def written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a snapshot that was written and opened again."""
-    return stored(spark, [resolve.index_tables(_raw(spark, sf_dir))], _counts)
+    return stored(spark, [resolve.index_tables(_raw(spark, sf_dir))], _counts, ("search",))
 
 
 @query(_COUNTS, "wipe")
@@ -392,7 +392,7 @@ def written_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot of other rows, written over: nothing of it is left."""
     index = resolve.index_tables(_raw(spark, sf_dir))
     other = demo_views.index_views(spark, sf_dir)
-    return stored(spark, [other, index], _counts)
+    return stored(spark, [other, index], _counts, ("search",))
 
 
 @query(f"""{demo_views.index_ctes()}

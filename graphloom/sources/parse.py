@@ -13,24 +13,26 @@ from .parse_python import parse_python
 PARSERS = {"python": parse_python, "java": parse_java}
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """key, rel_path, lang, error and the columns of PARSED; files of other languages are left out.
+def parse_files(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, rel_path, lang, the columns of `carry`, error and the columns of PARSED; files of other languages are left out.
 
-    `error` is true for files that can't be parsed; indexing drops them.
+    `error` is true for files that can't be parsed; indexing drops them. No content fails the step.
     """
+    kept = ["key", "rel_path", "lang", *carry]
     cols = [c.split(" ")[0] for c in PARSED.split(", ") if " " in c]
 
     def run(frames):
         for pdf in frames:
             rows = []
-            for key, path, lang, content in zip(pdf["key"], pdf["rel_path"], pdf["lang"], pdf["content"]):
-                out = PARSERS[lang](bytes(content))
+            for row in pdf.to_dict("records"):
+                out = PARSERS[row["lang"]](bytes(row.pop("content")))
                 empty = dict.fromkeys(cols) | {"package": ""}
-                rows.append({"key": key, "rel_path": path, "lang": lang, "error": out is None, **(out or empty)})
-            yield pd.DataFrame(rows, columns=["key", "rel_path", "lang", "error", *cols])
+                rows.append({**row, "error": out is None, **(out or empty)})
+            yield pd.DataFrame(rows, columns=[*kept, "error", *cols])
 
-    known = files.where(F.col("lang").isin(list(PARSERS))).select("key", "rel_path", "lang", "content")
-    return known.mapInPandas(run, f"key string, rel_path string, lang string, error boolean, {PARSED}")
+    known = files.where(F.col("lang").isin(list(PARSERS))).select(*kept, "content")
+    types = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in kept)
+    return known.mapInPandas(run, f"{types}, error boolean, {PARSED}")
 
 
 def parsed_only(parsed: DataFrame) -> DataFrame:

@@ -445,6 +445,8 @@ class JavaFile:
         self._back = back
         end, k, parts = j, j - 1, 0
         while True:
+            if self.t(k) == "}":  # the body of an anonymous class, or the values of an array
+                k = back[k] - 1
             if self.t(k) in (")", "]"):
                 k = back[k]
                 while self.t(k) in ("[", "(") and self.t(k - 1) in (")", "]"):
@@ -461,7 +463,7 @@ class JavaFile:
                     if self.is_id(k - 1):
                         k -= 1
             parts += 1
-            if self.t(k - 1) == "." and (self.is_id(k - 2) or self.t(k - 2) in (")", "]") or self.tokens[k - 2].kind == "str"):
+            if self.t(k - 1) == "." and (self.is_id(k - 2) or self.t(k - 2) in (")", "]", "}") or self.tokens[k - 2].kind == "str"):
                 k -= 2
                 continue
             break
@@ -474,8 +476,10 @@ class JavaFile:
             return first, "" if x in ("this", "super") else x
         if self.t(first) == "new":
             kind, after = self.type_at(first + 1)
-            if after > 0 and self.t(after) == "(" and self.match[after] == end - 1:
-                return first, kind
+            if after > 0 and self.t(after) == "(":
+                close = self.match[after]
+                if end - 1 in (close, self.match.get(close + 1)):  # with or without a class body
+                    return first, kind
         elif self.is_id(end - 1) and self.t(end - 2) == ".":
             return first, self.t(end - 1)
         return first, self.raw(first, end)
@@ -485,5 +489,5 @@ def parse_java(source: bytes) -> dict | None:
     """Symbols of a file, or nothing if it can't be parsed."""
     try:
         return JavaFile(source).parse()
-    except (JavaError, IndexError, KeyError, RecursionError, UnicodeDecodeError):
+    except (JavaError, IndexError, KeyError, ValueError, RecursionError, MemoryError):
         return None

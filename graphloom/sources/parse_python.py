@@ -149,24 +149,27 @@ class PythonFile:
     # -- calls and types of variables
 
     def _walk(self, node: ast.AST, caller: str, seen: set) -> None:
+        """All nodes from the first to the last, with a stack of our own: chains of calls nest as deep as they are long."""
+        top, todo = {id(n) for n in self.tree.body}, [(node, caller)]
+        while todo:
+            node, caller = todo.pop()
+            todo += reversed(self._visit(node, caller, seen, id(node) in top))
+
+    def _visit(self, node: ast.AST, caller: str, seen: set, is_top: bool) -> list[tuple[ast.AST, str]]:
+        """Takes what the node itself tells; its children with their callers."""
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            for d in node.decorator_list:
-                self._walk(d, caller, seen)
             inner = node.name if caller == MODULE else f"{caller}.{node.name}"
-            for child in node.body:
-                self._walk(child, inner, seen)
-            return
+            return [(d, caller) for d in node.decorator_list] + [(child, inner) for child in node.body]
         scope = "" if caller == MODULE else caller
         if isinstance(node, ast.Call):
             self._call(node, caller, seen)
         elif isinstance(node, ast.AnnAssign):
-            if not (caller == MODULE and node in self.tree.body):  # those were taken with the declarations
+            if not (caller == MODULE and is_top):  # those were taken with the declarations
                 self._annotated(node, scope)
             self._assigned(node.target, node.value, scope)
         elif isinstance(node, ast.Assign):
             self._assigned(node.targets[-1], node.value, scope)
-        for child in self._children(node):
-            self._walk(child, caller, seen)
+        return [(child, caller) for child in self._children(node)]
 
     @staticmethod
     def _children(node: ast.AST) -> list[ast.AST]:
@@ -208,5 +211,5 @@ def parse_python(source: bytes) -> dict | None:
     """Symbols of a file, or nothing if it can't be parsed."""
     try:
         return PythonFile(source).parse()
-    except (SyntaxError, ValueError, RecursionError, UnicodeDecodeError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last is what very deep expressions raise
         return None

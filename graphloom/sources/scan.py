@@ -25,7 +25,7 @@ def has_extension(path: Column, extensions: list[str]) -> Column:
 
 
 def list_tree(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
-    """(rel_path) of every file under root that no pattern hides; an error of a directory that is looked into fails the scan.
+    """(rel_path, size, modified) of every file under root that no pattern hides, modified in nanoseconds; an error of a directory that is looked into fails the scan.
 
     The tree is listed level by level: tasks list the directories of a level, and those that a pattern matches are dropped
     before anything below them is touched. Levels are checkpointed.
@@ -39,13 +39,13 @@ def list_tree(spark: SparkSession, root: str, patterns: list[str] | None = None)
         for pdf in frames:
             for name in pdf["rel_path"]:
                 found = fs.get_file_info(FileSelector(f"{base}/{name}" if name else base))
-                rows = [(i.path[len(base) + 1 :], i.type == FileType.Directory) for i in found if i.type != FileType.NotFound]
-                yield pd.DataFrame(rows, columns=["rel_path", "is_dir"]).astype({"is_dir": bool})
+                rows = [(i.path[len(base) + 1 :], i.type == FileType.Directory, i.size or 0, i.mtime_ns or 0) for i in found if i.type != FileType.NotFound]
+                yield pd.DataFrame(rows, columns=["rel_path", "is_dir", "size", "modified"]).astype({"is_dir": bool, "size": "int64", "modified": "int64"})
 
     out, level = None, spark.createDataFrame([("",)], "rel_path string")
     while True:
-        found = cut(level.mapInPandas(entries, "rel_path string, is_dir boolean").where(~hidden))
-        own = found.where("not is_dir").select("rel_path")
+        found = cut(level.mapInPandas(entries, "rel_path string, is_dir boolean, size long, modified long").where(~hidden))
+        own = found.where("not is_dir").select("rel_path", "size", "modified")
         out = own if out is None else out.unionByName(own)
         n = found.where("is_dir").count()
         if not n:
@@ -57,10 +57,16 @@ def read_file(root: str, rel_path: str) -> bytes:
     return files.read_bytes(f"{files.full(root).rstrip('/')}/{rel_path}")
 
 
-def scan(spark: SparkSession, root: str, prefix: str = "", extensions: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
-    """(key, rel_path, lang, content) of the files under root."""
+def listing(spark: SparkSession, root: str, prefix: str = "", extensions: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
+    """(key, rel_path, lang, size, modified) of the files under root, without their content."""
     path = F.col("rel_path")
     wanted = list_tree(spark, root, patterns).where(has_extension(path, extensions or []))
+    return wanted.select(F.concat(F.lit(prefix), path).alias("key"), "rel_path", ids.lang_from_path(path).alias("lang"), "size", "modified")
+
+
+def read_contents(listed: DataFrame, root: str) -> DataFrame:
+    """The rows of a listing with their content; a file that is gone meanwhile fails the scan."""
+    schema = listed.schema.add("content", "binary")
 
     def read(frames):
         fs, base = files.opened(root)
@@ -73,7 +79,10 @@ def scan(spark: SparkSession, root: str, prefix: str = "", extensions: list[str]
                         content.append(f.read())
                 yield part.assign(content=content)
 
-    named = wanted.select(F.concat(F.lit(prefix), path).alias("key"), "rel_path", ids.lang_from_path(path).alias("lang"))
     # directories differ in size, so files are dealt anew by name
-    dealt = named.repartition("rel_path")
-    return dealt.mapInPandas(read, "key string, rel_path string, lang string, content binary")
+    return listed.repartition("rel_path").mapInPandas(read, schema)
+
+
+def scan(spark: SparkSession, root: str, prefix: str = "", extensions: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
+    """(key, rel_path, lang, content) of the files under root."""
+    return read_contents(listing(spark, root, prefix, extensions, patterns), root).select("key", "rel_path", "lang", "content")
