@@ -61,3 +61,15 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     parts = F.split(path, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     return F.exists(above, lambda p: _matches(p, patterns))
+
+
+def is_ignored(path: str, patterns: list[str]) -> bool:
+    """The same of one path, for what lists directories itself."""
+    parts = path.split("/")
+    for above in ("/".join(parts[: i + 1]) for i in range(len(parts))):
+        for p in patterns:
+            if re.search(glob_regex(p), above):
+                return True
+            if above.startswith(p) if p.endswith("/") else "/" not in p and ":" not in above and re.search(glob_regex(p), above.rsplit("/", 1)[-1]):
+                return True
+    return False

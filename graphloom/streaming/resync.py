@@ -1,4 +1,4 @@
-"""Changes of a source tree: by content hash between two scans, and as a stream of files."""
+"""Changes of a source tree: by content hash between two scans, and as a stream of its files."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..sources import tree_source
 from ..sources.parse import parse_files
-from ..sources.scan import has_extension
-
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
@@ -23,17 +21,11 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "key", "full").select("key", kind.alias("change")).where("change is not null")
 
 
-def stream_parsed(spark: SparkSession, root: str, extensions: list[str], on_batch, checkpoint: str, prefix: str = ""):
-    """Parses files as they appear under root and hands each batch's parsed rows to on_batch(df, batch number).
-
-    Spark's streams don't see names that begin with an underscore; a full sync does.
-    """
-    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split(":", 1)[-1].strip("/")
-    bare = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "")
-    rows = files.withColumn("_bare", bare).withColumn("rel_path", F.expr(f"substring(_bare, {len(base) + 2})"))
-    rows = rows.where(has_extension(F.col("rel_path"), extensions))
-    rows = rows.select(F.concat(F.lit(prefix), F.col("rel_path")).alias("key"), "rel_path", ids.lang_from_path(F.col("rel_path")).alias("lang"), "content")
+def stream_parsed(spark: SparkSession, root: str, extensions: list[str], on_batch, checkpoint: str, prefix: str = "", patterns: list[str] | None = None):
+    """Parses files under root as they appear or change and hands each batch's parsed rows to on_batch(df, batch number)."""
+    tree_source.register(spark)
+    rows = spark.readStream.format("tree").options(**tree_source.options(root, extensions, prefix, patterns)).load()
+    rows = rows.select("key", "rel_path", ids.lang_from_path(F.col("rel_path")).alias("lang"), "content")
 
     def handle(batch: DataFrame, number: int) -> None:
         on_batch(parse_files(batch), number)

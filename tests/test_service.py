@@ -1,6 +1,7 @@
 """Projects on disk, through scan, parse, resolution, snapshots and the API."""
 
 import json
+import os
 import urllib.parse
 from pathlib import Path
 
@@ -230,6 +231,7 @@ def test_changes_and_stream(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
     (src / "m.py").write_text("def f(): pass\n")
+    os.utime(src / "m.py", (1_700_000_000, 1_700_000_000))
     seen = []
     stream_parsed(spark, str(src), [".py"], lambda df, n: seen.extend((r["rel_path"], len(r["methods"])) for r in df.collect()), str(tmp_path / "ck")).awaitTermination(60)
     assert seen == [("m.py", 2)]
