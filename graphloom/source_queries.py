@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .checkpoints import cut, ensure_checkpoint_dir
 from .operators import search
-from .plans import demo_views, resolve
+from .plans import demo_receivers, demo_views, resolve
 from .plans.demo_sources import filled, path_sql, sources
 from .plans.raw import raw_tables
 from .schemas import IndexTables
@@ -57,6 +57,31 @@ def _of(spark: SparkSession, sf_dir: str, lang: str, what: str, *cols: str) -> D
     return _parsed(spark, sf_dir, lang).select("rel_path", F.explode(what).alias("x")).select("rel_path", *[F.col(f"x.{c}").alias(c) for c in cols])
 
 
+def _owners(spark: SparkSession, sf_dir: str, lang: str, templates: list) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/M.py" if lang == "python" else "/A.java"))
+    content = F.expr(demo_receivers.column(templates, 0)).cast("binary").alias("content")
+    parsed = parsed_only(parse_files(parts.select(name.alias("key"), name.alias("rel_path"), F.lit(lang).alias("lang"), content)))
+    calls = parsed.select("rel_path", F.explode("calls").alias("c")).where("c.callee_name = 'target'")
+    return calls.select(F.regexp_extract("rel_path", "([0-9]+)", 1).cast("long").alias("p_partkey"), F.col("c.callee_owner").alias("owner"))
+
+
+def _owners_sql(templates: list) -> str:
+    return f"SELECT CAST(p_partkey AS BIGINT) AS p_partkey, {demo_receivers.column(templates, 1)} AS owner FROM part"
+
+
+@query(_owners_sql(demo_receivers.PYTHON))
+def py_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of calls in thirteen unlike Python files."""
+    return _owners(spark, sf_dir, "python", demo_receivers.PYTHON)
+
+
+@query(_owners_sql(demo_receivers.JAVA))
+def java_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of calls in thirteen unlike Java files."""
+    return _owners(spark, sf_dir, "java", demo_receivers.JAVA)
+
+
 # ---- sources ----------------------------------------------------------------------------------------------------
 
 _TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()

@@ -429,16 +429,25 @@ class JavaFile:
                 continue
             return after + 1
 
+    def _angle(self, i: int) -> int:
+        """The angle that the closing one at i belongs to."""
+        depth = 0
+        while i > 0:
+            depth += {">": 1, "<": -1}.get(self.t(i), 0)
+            if not depth:
+                break
+            i -= 1
+        return i
+
+    def _before_type_arguments(self, i: int) -> int:
+        """Where explicit type arguments before the name at i begin, as in list.<T>of; i where there are none."""
+        if self.t(i - 1) == ">" and self.t(self._angle(i - 1) - 1) == ".":
+            return self._angle(i - 1)
+        return i
+
     def _receiver(self, i: int) -> tuple[int, str]:
         """(first token, owner text) of a call whose name is at i."""
-        j = i - 1
-        if self.t(j) == ">":  # explicit type arguments, obj.<T>f()
-            depth = 0
-            while j > 0:
-                depth += {">": 1, "<": -1}.get(self.t(j), 0)
-                j -= 1
-                if not depth:
-                    break
+        j = self._before_type_arguments(i) - 1
         if self.t(j) != ".":
             return i, ""
         back = {b: a for a, b in self.match.items()} if not hasattr(self, "_back") else self._back
@@ -449,17 +458,13 @@ class JavaFile:
                 k = back[k] - 1
             if self.t(k) in (")", "]"):
                 k = back[k]
-                while self.t(k) in ("[", "(") and self.t(k - 1) in (")", "]"):
+                # an index stands behind another bracket; a bracket that stands behind one begins anew, as behind a cast or an if
+                while self.t(k) == "[" and self.t(k - 1) in (")", "]"):
                     k = back[k - 1]
                 if self.is_id(k - 1) and self.t(k - 1) not in _STATEMENTS:
-                    k -= 1
+                    k = self._before_type_arguments(k - 1)
                 elif self.t(k - 1) == ">":
-                    depth, k = 0, k - 1
-                    while k > 0:
-                        depth += {">": 1, "<": -1}.get(self.t(k), 0)
-                        if not depth:
-                            break
-                        k -= 1
+                    k = self._angle(k - 1)
                     if self.is_id(k - 1):
                         k -= 1
             parts += 1
@@ -480,7 +485,7 @@ class JavaFile:
                 close = self.match[after]
                 if end - 1 in (close, self.match.get(close + 1)):  # with or without a class body
                     return first, kind
-        elif self.is_id(end - 1) and self.t(end - 2) == ".":
+        if self.is_id(end - 1) and self.t(end - 2) == ".":
             return first, self.t(end - 1)
         return first, self.raw(first, end)
 

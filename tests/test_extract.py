@@ -1,3 +1,5 @@
+import random
+
 from graphloom.sources.parse_java import parse_java
 from graphloom.sources.parse_python import parse_python
 
@@ -146,3 +148,49 @@ def test_java_files_that_fail():
     assert parse_java(b"")["objects"] == [] and parse_java(b"// only a comment")["methods"] == []
     overloads = parse_java(b"class A { void f() {} int f(int x) { return g(x); } }")
     assert by(overloads["methods"], "fqn") == [("A.f",), ("A.f",)]
+
+
+def _receiver(rng, depth):
+    """(text of an expression that a call can follow, owner of that call), by construction."""
+    kind = rng.randrange(9 if depth else 4)
+    inner = lambda: _receiver(rng, depth - 1)[0]
+    name, kind_name = rng.choice(["a", "order", "x9", "_b", "$c"]), rng.choice(["Foo", "p.q.Bar", "Baz"])
+    if kind == 0:
+        return name, name
+    if kind == 1:
+        return rng.choice(["this", "super"]), ""
+    if kind == 2:
+        return '"text; } // no"', '"text; } // no"'
+    if kind == 3:
+        return f"this.{name}", name
+    if kind == 4:
+        text = f"{inner()}.field"
+        return text, "field"
+    if kind == 5:
+        text = f"{inner()}.{rng.choice(['', '', '<T>', '<A, List<? extends B>>'])}m{rng.randrange(9)}({rng.choice(['', '1', 'g()', 'k -> k + 1'])})"
+        return text, text
+    if kind == 6:
+        text = f"({inner()})"
+        return text, text
+    angles, args = rng.choice(["", "<>", "<A, List<B>>"]), rng.choice(["", "1, 2", "g(h())", "new Q()"])
+    body = rng.choice(["", "", " { void in() { deep(); } int v = 1; }", "{}", ' { String s = "}"; }'])
+    return f"new {kind_name}{angles}({args}){body}", kind_name
+
+
+def test_java_receivers_of_calls_known_by_construction():
+    rng = random.Random(8)
+    for _ in range(3000):
+        text, owner = _receiver(rng, 4)
+        lead = rng.choice(["", "int v = ", "return ", "foo(1, ", "if (x) ", "y = b ? c : ", "s -> "])
+        source = f"class A {{ Object f() {{ {lead}{text}.target(){')' if lead.startswith('foo') else ''}; }} }}"
+        found = parse_java(source.encode())
+        assert found is not None, source
+        assert [c["callee_owner"] for c in found["calls"] if c["callee_name"] == "target"] == [owner], source
+
+
+def test_python_chains_and_deep_files():
+    chain = parse_python(b"def f():\n    return a" + b".b()" * 1500 + b"\n")
+    assert len(chain["calls"]) == 1500 and chain["calls"][-1]["callee_owner"] == "a"
+    assert parse_python(b"x = " + b"-" * 300_000 + b"f()\n") is None and parse_java(b"class D { int x = " + b"(" * 200_000 + b"; }") is None
+    many = parse_python(("x = " + " + ".join(f"f{i}()" for i in range(1500)) + "\n").encode())
+    assert [c["callee_name"] for c in many["calls"]] == [f"f{i}" for i in range(1500)]
