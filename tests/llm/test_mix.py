@@ -109,3 +109,35 @@ def test_targets_without_sources(spark):
     want = brute_targets({"a": 100, "b": 10, "c": 1})
     assert [got[i] for i in range(3)] == pytest.approx([want[s] for s in "abc"])
     assert rates(spark.createDataFrame([], "doc_id long, text string, source string"))[0].count() == 0
+
+
+def test_copies_equal_plain_error_diffusion(spark):
+    """Beside a plain version: tilts by bisection, then rounding that carries what it owes from document to document."""
+    rows = documents(9) + [(9_000_000, "long " * 300_000, "Z", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    got = sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in mix(docs).collect())
+    of: dict = {}
+    for i, text, source, _ in rows:
+        of.setdefault(source, []).append((i, len((text or "").split())))
+    goals = brute_targets({s: sum(n for _, n in own) for s, own in of.items()})
+    want = []
+    for source, own in of.items():
+        total, mean = sum(n for _, n in own), sum(n for _, n in own) / len(own)
+        rate = lambda n, t: 2.0 if t * n / mean >= math.log(2) else math.exp(t * n / mean)  # noqa: E731, B023
+        lo, hi = -1e4, 1e6
+        if goals[source] >= 2 * total * (1 - 1e-12):
+            lo = hi = math.inf
+        else:
+            for _ in range(400):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if sum(n * rate(n, mid) for _, n in own) < goals[source] else (lo, mid)
+        owed, copy_no = 0.0, {}
+        for i, n in sorted(own, key=lambda d: (-d[1], d[0] is not None, d[0] or 0)):
+            r = (2.0 if math.isinf(hi) else rate(n, hi)) if total else 1.0
+            low = int(r)
+            copies = low + (r - low > 0 and owed + (r - low) * n >= 0.5 * n)
+            owed += (r - copies) * n
+            want.append((str(i), n, copies * n))
+            copy_no[i] = copies
+    off = sum(a != b for a, b in zip(got, sorted(want)))
+    assert len(got) == len(want) and off <= 2  # a sum that falls on the edge may be rounded otherwise
