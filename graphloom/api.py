@@ -53,6 +53,11 @@ class App:
         services.sync(self.spark, self.registry, service, full)
         return self.stats(service)
 
+    def history(self, service: str) -> list[dict]:
+        """The snapshots that are kept, oldest first."""
+        self.registry.get(service)
+        return services.history(self.registry, service)
+
     def stats(self, service: str) -> dict:
         return _rows(lookups.stats(self._index(service)))[0]
 
@@ -142,13 +147,13 @@ class App:
         wanted = self._resolve(index, path_or_id) if ids.parse_short(path_or_id) else path_or_id
         f = self._file_row(index, wanted)
         own = F.col("file_id") == f["file_id"]
-        imports = _rows(lookups.file_imports(index).where(own).orderBy("raw"))
+        imports = _rows(walks.walk_rows(index, "imports", "out").where(F.col("node") == f["file_id"]).orderBy("hint").select(F.col("hint").alias("raw"), "peer"))
         objects = _rows(lookups.file_objects(index).where(own).orderBy("start_line", "short_id"))
         methods = _rows(lookups.file_top_methods(index).where(own).orderBy("start_line", "short_id"))
         brief = lambda r, mark: _slim({"id": f"{mark}{r['short_id']}", "subk": r["subkind"], "name": r["name"], "l": r["start_line"], "end": r["end_line"], "methods": r.get("methods", 0)}, ("id", "name", "l"))
         return _slim({
             "id": f"f{f['short_id']}", "path": f["rel_path"], "lang": f["lang"], "pkg": f["package"],
-            "imports": [_slim({"raw": r["raw"], "tgt": f"f{r['target_no']}" if r["target_no"] is not None else ""}, ("raw",)) for r in imports],
+            "imports": [_slim({"raw": r["raw"], "tgt": r["peer"] or ""}, ("raw",)) for r in imports],
             "objects": [brief(r, "o") for r in objects], "methods": [brief(r, "m") for r in methods],
         }, ("id", "path"))
 

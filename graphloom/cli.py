@@ -20,8 +20,11 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("root")
     a.add_argument("--service", default="")
     a.add_argument("--description", default="")
-    for name in ("sync", "stats", "tree", "graph"):
-        sub.add_parser(name).add_argument("service")
+    for name in ("sync", "stats", "tree", "graph", "history"):
+        one = sub.add_parser(name)
+        one.add_argument("service")
+        if name == "sync":
+            one.add_argument("--full", action="store_true", help="read every file, not only those whose size or time has changed")
     s = sub.add_parser("search")
     s.add_argument("service")
     s.add_argument("query")
