@@ -306,7 +306,10 @@ def white_space_is_dropped(library) -> bool:
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, file_tokens: int = 8_000_000) -> DataFrame:
-    """Writes the ids of all documents under `folder` and returns its manifest: (name, docs, tokens, first_token)."""
+    """Writes the ids of all documents under `folder` and returns its manifest: (name, docs, tokens, first_token).
+
+    The folder is one that all executors see, of a store that Spark and Arrow open (a shared path, HDFS, S3, GCS).
+    """
     order, tie = fresh(docs, "order", "tie")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn(order, F.xxhash64("text")).withColumn(tie, F.monotonically_increasing_id())
