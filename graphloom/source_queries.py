@@ -17,6 +17,7 @@ from .plans.demo_sources import filled, path_sql, sources
 from .plans.raw import raw_tables
 from .schemas import IndexTables
 from .service import write_index
+from .sources import tree_source
 from .sources.parse import parse_files, parsed_only
 from .sources.scan import scan
 
@@ -99,6 +100,15 @@ def read_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.where("lang = 'parquet'").select("rel_path", text(1).alias("head"), text(-4).alias("tail"))
 
 
+@query(" UNION ALL ".join(f"SELECT 't:{t}.parquet' AS key, '{t}.parquet' AS rel_path, 'PAR1' AS head, 'PAR1' AS tail" for t in ("nation", "region")))
+def tree_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that begin with n or r, through the data source."""
+    tree_source.register(spark)
+    files = spark.read.format("tree").options(**tree_source.options(sf_dir, [".PARQUET"], "t:", ["[!nr]*.parquet"])).load()
+    text = lambda at: F.substring("content", at, 4).cast("string")
+    return files.select("key", "rel_path", text(1).alias("head"), text(-4).alias("tail"))
+
+
 @query(f"SELECT {path_sql('python')} AS rel_path, 'python' AS lang, s_suppkey % 13 = 0 AS error FROM supplier UNION ALL SELECT rel_path, 'java', false FROM ({_JAVA})")
 def parse_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_files(sources(spark, sf_dir)).select("rel_path", "lang", "error")
