@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 
 import numpy as np
@@ -19,8 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of results that are checkpointed or gone; it does so when the driver collects
-    its garbage, which a driver with little of it would put off for long."""
+    its garbage, which a driver with little of it would put off for long. What the driver's Python has freed goes back to the
+    system, where its C library has a call for that."""
     gc.collect()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
     spark._jvm.System.gc()
 
 
