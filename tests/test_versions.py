@@ -90,12 +90,12 @@ def test_the_slower_of_two_syncs_is_refused(spark, app, monkeypatch):
 
     def overtaken(*args, **more):
         monkeypatch.setattr(service, "write_index", write)
-        app.sync("s")  # another writer, while this one works
+        app.sync("s", full=True)  # another writer, while this one works
         return write(*args, **more)
 
     monkeypatch.setattr(service, "write_index", overtaken)
     with pytest.raises(Conflict):
-        app.sync("s")
+        app.sync("s", full=True)
     folder = Path(app.registry.dir("s"))
     assert [h["version"] for h in service.history(app.registry, "s")] == [1, 2] and len(list(folder.glob("index-*"))) == 2
     assert app.stats("s")["files"] == 1
