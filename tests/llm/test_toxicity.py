@@ -107,5 +107,5 @@ def test_labels_with_ids_of_another_type_learn_the_same(spark):
     docs = spark.createDataFrame([(i, f"plain words number {i % 7} " + ("vile slur" if i % 3 == 0 else "kind note")) for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
     for most in (16_000, 150):
-        made = [fit(docs, x, F.lit(True), max_rows=most, l1=0.5) for x in (labels, labels.withColumn("doc_id", F.col("doc_id").cast("int")))]
+        made = [T.fit(docs, x, F.lit(True), max_rows=most, l1=0.5) for x in (labels, labels.withColumn("doc_id", F.col("doc_id").cast("int")))]
         assert made[0]["feats"].tolist() == made[1]["feats"].tolist() and len(made[0]["feats"]) > 0
