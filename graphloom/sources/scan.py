@@ -16,6 +16,8 @@ from ..checkpoints import cut
 from ..functions import ids
 from .ignore import ignored
 
+#: Files, and bytes, that a task hands on at once.
+BATCH_FILES, BATCH_BYTES = 64, 16 << 20
 
 def has_extension(path: Column, extensions: list[str]) -> Column:
     """The extension test, blind to case; no extensions mean no filter."""
@@ -71,13 +73,14 @@ def read_contents(listed: DataFrame, root: str) -> DataFrame:
     def read(frames):
         fs, base = files.opened(root)
         for pdf in frames:
-            for at in range(0, len(pdf), 64):
-                part = pdf.iloc[at : at + 64]
-                content = []
-                for name in part["rel_path"]:
-                    with fs.open_input_stream(f"{base}/{name}") as f:
-                        content.append(f.read())
-                yield part.assign(content=content)
+            first, content, size = 0, [], 0
+            for at, name in enumerate(pdf["rel_path"]):
+                with fs.open_input_stream(f"{base}/{name}") as f:
+                    content.append(f.read())
+                size += len(content[-1])
+                if len(content) >= BATCH_FILES or size >= BATCH_BYTES or at + 1 == len(pdf):
+                    yield pdf.iloc[first : at + 1].assign(content=content)
+                    first, content, size = at + 1, [], 0
 
     # directories differ in size, so files are dealt anew by name
     return listed.repartition("rel_path").mapInPandas(read, schema)

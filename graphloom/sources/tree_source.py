@@ -24,11 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from .. import files
 from .ignore import is_ignored
+from .scan import BATCH_BYTES, BATCH_FILES
 
 SCHEMA = "key string, rel_path string, size long, modified long, content binary"
 _FIELDS = [("key", pa.string()), ("rel_path", pa.string()), ("size", pa.int64()), ("modified", pa.int64()), ("content", pa.binary())]
-#: Files, and bytes, of a batch that a task hands on at once.
-BATCH_FILES, BATCH_BYTES = 64, 16 << 20
 
 
 @dataclass
