@@ -33,3 +33,8 @@ def test_contents_are_handed_on_in_batches_of_bounded_size(spark, tmp_path, monk
     monkeypatch.setattr(scan, "BATCH_BYTES", 20)
     got = rows(scan.scan(spark, path, "", [".parquet"]).select("rel_path", "content"))
     assert [(p, bytes(c)) for p, c in got] == [(f"documents.parquet/part-{i}.parquet", b"PAR1 some PAR1") for i in range(3)] + [("orders.parquet", b"PAR1 other PAR1")]
+
+
+def test_scan_files_has_a_row_for_each_table(spark, tmp_path):
+    path = folder(tmp_path / "t")
+    assert rows(QUERIES["scan_files"](spark, path)) == [("data:documents.parquet", "documents.parquet", "parquet"), ("data:orders.parquet", "orders.parquet", "parquet")]
