@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scan import dealt
+
 #: Values of the marks in the templates, for supplier s_suppkey; Spark and DuckDB both read them.
 MARKS = {
     "k": "CAST(s_suppkey AS STRING)", "k1": "CAST(s_suppkey + 1 AS STRING)", "n": "s_name", "a": "CAST(s_suppkey % 3 AS STRING)",
@@ -105,7 +107,7 @@ def path_sql(kind: str) -> str:
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, rel_path, lang, content) as a scan gives them."""
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    suppliers = dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey")
 
     def text(template: str):
         out = F.lit(template)

@@ -10,6 +10,9 @@ from ..schemas import PARSED
 from .parse_java import parse_java
 from .parse_python import parse_python
 
+#: Files whose symbols a task hands on at once.
+BATCH_FILES = 256
+
 PARSERS = {"python": parse_python, "java": parse_java}
 
 
@@ -22,7 +25,7 @@ def parse_files(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     cols = [c.split(" ")[0] for c in PARSED.split(", ") if " " in c]
 
     def run(frames):
-        for pdf in frames:
+        for pdf in (frame.iloc[at : at + BATCH_FILES] for frame in frames for at in range(0, len(frame), BATCH_FILES)):
             rows = []
             for row in pdf.to_dict("records"):
                 out = PARSERS[row["lang"]](bytes(row.pop("content")))

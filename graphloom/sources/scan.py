@@ -66,6 +66,14 @@ def listing(spark: SparkSession, root: str, prefix: str = "", extensions: list[s
     return wanted.select(F.concat(F.lit(prefix), path).alias("key"), "rel_path", ids.lang_from_path(path).alias("lang"), "size", "modified")
 
 
+def dealt(rows: DataFrame, key: str, least: int = 64) -> DataFrame:
+    """rows over as many tasks as their number is worth, whatever their bytes are: names are small and what is made of them is
+    large, so adaptive plans, which go by bytes, would leave a tree to one task. Counts the rows first."""
+    n = rows.count()
+    tasks = min(-(-n // least), max(4 * rows.sparkSession.sparkContext.defaultParallelism, n // 10_000))
+    return rows.repartition(max(1, tasks), key)
+
+
 def read_contents(listed: DataFrame, root: str) -> DataFrame:
     """The rows of a listing with their content; a file that is gone meanwhile fails the scan."""
     schema = listed.schema.add("content", "binary")
@@ -83,7 +91,7 @@ def read_contents(listed: DataFrame, root: str) -> DataFrame:
                     first, content, size = at + 1, [], 0
 
     # directories differ in size, so files are dealt anew by name
-    return listed.repartition("rel_path").mapInPandas(read, schema)
+    return dealt(listed, "rel_path").mapInPandas(read, schema)
 
 
 def scan(spark: SparkSession, root: str, prefix: str = "", extensions: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
