@@ -28,11 +28,12 @@ class RawTables:
 def number_files(files: DataFrame) -> DataFrame:
     """Adds file_no, dense from 1 in walk order: entries of a directory by name, so paths compare by their parts.
 
-    Files are numbered within range partitions of the order, shifted by the counts of the partitions before.
+    Files are numbered within range partitions of the order, shifted by the counts of the partitions before. The rows are
+    read three times, for their number, the ranges and the numbers, so they should be cut and have few columns.
     """
     spark = files.sparkSession
     parts = F.split("rel_path", "/")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // 4096)))
     ranged = files.withColumn("_parts", parts).repartitionByRange(n, "_parts", "key").withColumn("_part", F.spark_partition_id())
     ranged = cut(ranged)
     counts = dict(map(tuple, ranged.groupBy("_part").count().collect()))  # a row for each partition
@@ -47,19 +48,20 @@ def number_files(files: DataFrame) -> DataFrame:
 
 def raw_tables(parsed: DataFrame) -> RawTables:
     """parsed: key, rel_path, lang and the columns of schemas.PARSED, one row per file that could be parsed."""
-    p = number_files(parsed)
-    p = p.withColumn("file_id", ids.file_id(F.col("key"))).withColumn("module", ids.module_name(F.col("rel_path")))
-    p = p.withColumn("prefix", F.when(F.col("lang") == "python", F.col("module")).otherwise(""))
-    sized = p.withColumn("_n", F.size("objects") + F.size("methods"))
+    p = cut(parsed.withColumn("_row", F.monotonically_increasing_id()))
+    # numbers are made from names and counts alone; what was parsed is moved once, to meet them
+    sized = number_files(p.select("_row", "key", "rel_path", (F.size("objects") + F.size("methods")).alias("_n")))
     # nodes before each file: sums over blocks of files, then within the block
     block = sized.withColumn("_block", F.floor((F.col("file_no") - 1) / 4096))
     sums = block.groupBy("_block").agg(F.sum("_n").alias("_s"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of 4096 files
     base = sums.select("_block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_block").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    p = block.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(base, "_block").withColumn("node_base", F.col("_base") + F.col("_in"))
-    p = p.drop("_block", "_base", "_in", "_n")
-    p = cut(p)
+    numbers = block.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(base, "_block")
+    numbers = numbers.select("_row", "file_no", (F.col("_base") + F.col("_in")).alias("node_base"))
+    # sizes are estimated from what the files were listed in, so without the hint all that was parsed could be broadcast
+    p = p.hint("merge").join(numbers, "_row").drop("_row").withColumn("file_id", ids.file_id(F.col("key"))).withColumn("module", ids.module_name(F.col("rel_path")))
+    p = cut(p.withColumn("prefix", F.when(F.col("lang") == "python", F.col("module")).otherwise("")))
     head = ["file_id", "file_no", "key", "lang", "prefix"]
     canon = lambda c: ids.prefixed(F.col("prefix"), F.col(c))
 

@@ -1,6 +1,8 @@
 """Steps that must not go to few tasks, run twice or be broadcast whole, whatever sizes Spark estimates."""
 
 from graphloom.plans.demo_sources import sources
+from graphloom.plans.raw import raw_tables
+from graphloom.sources.parse import parse_files, parsed_only
 from graphloom.sources.scan import dealt
 
 SF = "/root/testdata/sf0.1"
@@ -10,3 +12,19 @@ def test_many_small_names_go_to_many_tasks(spark):
     assert dealt(spark.range(1000), "id").rdd.getNumPartitions() == 16 and dealt(spark.range(3), "id").rdd.getNumPartitions() == 1
     assert dealt(spark.range(0), "id").count() == 0
     assert sources(spark, SF).rdd.getNumPartitions() >= 32  # a thousand suppliers, whose table is read by one task
+
+
+def test_files_are_parsed_once_and_not_broadcast(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    parsed = parsed_only(parse_files(sources(spark, SF)))
+    n = parsed.count()
+    raw = raw_tables(parsed.mapInPandas(count, parsed.schema))
+    assert seen.value == n == raw.files.count()
+    rows = raw.files.select("file_no").orderBy("file_no").collect()
+    assert [r["file_no"] for r in rows] == list(range(1, n + 1))
