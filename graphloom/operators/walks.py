@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,50 +31,70 @@ def _files(index: IndexTables) -> DataFrame:
     )
 
 
-def _shape(rows: DataFrame, direction: str) -> DataFrame:
-    defaults = {"hint": F.lit(""), "line": F.lit(0), "conf": F.lit(0), "rel": F.lit("")}
-    return rows.select(*[F.lit(direction).alias("dir") if c == "dir" else (F.col(c) if c in rows.columns else defaults[c].alias(c)) for c in COLUMNS])
+#: Walks whose rows stay where the other end is unknown; of the others such rows go.
+OPEN = {("calls", "out"), ("inherits", "out"), ("imports", "out")}
 
 
-def walk_rows(index: IndexTables, edge: str, direction: str) -> DataFrame:
-    """All rows of one direction (`out` or `in`) of an edge type. A snapshot has them sorted by node, both ways."""
-    if edge not in EDGES:
-        raise ValueError(f"unknown edge {edge!r}; known are {', '.join(EDGES)}")
-    if direction not in ("out", "in"):
-        raise ValueError(f"unknown direction {direction!r}; known are in, out and both")
-    if index.adjacency is not None:
-        return index.adjacency.where((F.col("edge") == edge) & (F.col("dir") == direction)).select(*COLUMNS)
-    nodes, files = _nodes(index), _files(index)
+def ends(index: IndexTables, edge: str, direction: str) -> DataFrame:
+    """(node, peer_id, and what the edge itself shows) of one direction of an edge type."""
+    none = {"hint": F.lit(""), "line": F.lit(0), "conf": F.lit(0), "rel": F.lit("")}
+
+    def shown(rows: DataFrame, node: str, peer: str, **cols) -> DataFrame:
+        if (edge, direction) not in OPEN:
+            rows = rows.where(F.col(peer).isNotNull() & F.col(node).isNotNull())
+        return rows.select(F.col(node).alias("node"), F.col(peer).alias("peer_id"), *[c.alias(n) for n, c in (none | cols).items()])
+
     if edge == "calls":
-        e = index.edges_calls
+        cols = {"line": F.col("line"), "conf": F.col("confidence")}
         if direction == "out":
             hint = F.when(F.col("callee_id").isNull(), ids.prefixed(F.col("callee_owner"), F.col("callee_name"))).otherwise("")
-            own = e.select(F.col("caller_id").alias("node"), F.col("callee_id").alias("peer_id"), hint.alias("hint"), "line", F.col("confidence").alias("conf"))
-            return _shape(own.join(nodes, "peer_id", "left"), "out")
-        own = e.where("callee_id is not null").select(F.col("callee_id").alias("node"), F.col("caller_id").alias("peer_id"), "line", F.col("confidence").alias("conf"))
-        return _shape(own.join(nodes, "peer_id"), "in")
+            return shown(index.edges_calls, "caller_id", "callee_id", hint=hint, **cols)
+        return shown(index.edges_calls, "callee_id", "caller_id", **cols)
     if edge == "inherits":
-        e = index.edges_inherits
         if direction == "out":
-            own = e.select(F.col("child_id").alias("node"), F.col("parent_id").alias("peer_id"), F.col("parent_hint").alias("hint"), F.col("relation").alias("rel"))
-            return _shape(own.join(nodes, "peer_id", "left"), "out")
-        own = e.where("parent_id is not null").select(F.col("parent_id").alias("node"), F.col("child_id").alias("peer_id"), F.col("relation").alias("rel"))
-        return _shape(own.join(nodes, "peer_id"), "in")
+            return shown(index.edges_inherits, "child_id", "parent_id", hint=F.col("parent_hint"), rel=F.col("relation"))
+        return shown(index.edges_inherits, "parent_id", "child_id", rel=F.col("relation"))
     if edge == "imports":
-        e = index.edges_imports
         if direction == "out":
-            own = e.select(F.col("file_id").alias("node"), F.col("target_file_id").alias("peer_id"), F.col("raw").alias("hint"))
-            return _shape(own.join(files, "peer_id", "left"), "out")
-        own = e.where("target_file_id is not null").select(F.col("target_file_id").alias("node"), F.col("file_id").alias("peer_id"), F.col("raw").alias("hint"))
-        return _shape(own.join(files, "peer_id"), "in")
-    if edge == "defines":
-        n = index.nodes.where("owner_id is not null")
-        if direction == "out":
-            own = n.select(F.col("owner_id").alias("node"), F.col("node_id").alias("peer_id"))
-            return _shape(own.join(nodes, "peer_id"), "out")
-        own = n.select(F.col("node_id").alias("node"), F.col("owner_id").alias("peer_id"))
-        return _shape(own.join(nodes, "peer_id"), "in")
-    raise AssertionError(edge)
+            return shown(index.edges_imports, "file_id", "target_file_id", hint=F.col("raw"))
+        return shown(index.edges_imports, "target_file_id", "file_id", hint=F.col("raw"))
+    if direction == "out":
+        return shown(index.nodes, "owner_id", "node_id")
+    return shown(index.nodes, "node_id", "owner_id")
+
+
+def _check(edge: str, direction: str) -> None:
+    if edge not in EDGES:
+        raise ValueError(f"unknown edge {edge!r}; known are {', '.join(EDGES)}")
+    if direction not in ("out", "in"):
+        raise ValueError(f"unknown direction {direction!r}; known are in, out and both")
+
+
+def _peers(index: IndexTables, edge: str) -> DataFrame:
+    return _files(index) if edge == "imports" else _nodes(index)
+
+
+def walk_rows(index: IndexTables, edge: str, direction: str) -> DataFrame:
+    """All rows of one direction (`out` or `in`) of an edge type. A snapshot has them sorted by node, both ways."""
+    _check(edge, direction)
+    if index.adjacency is not None:
+        return index.adjacency.where((F.col("edge") == edge) & (F.col("dir") == direction)).select(*COLUMNS)
+    how = "left" if (edge, direction) in OPEN else "inner"
+    return ends(index, edge, direction).join(_peers(index, edge), "peer_id", how).select(*[F.lit(direction).alias("dir") if c == "dir" else F.col(c) for c in COLUMNS])
+
+
+def every_walk(index: IndexTables) -> DataFrame:
+    """(edge, and the columns of a walk): all rows of all walks. The ends of all edges meet the nodes in one join, so
+    these are moved once; ends without a peer meet nothing."""
+    out = None
+    for edges in (("calls", "inherits", "defines"), ("imports",)):
+        rows = [ends(index, e, d).select(F.lit(e).alias("edge"), F.lit(d).alias("dir"), F.lit((e, d) in OPEN).alias("_open"), "*") for e in edges for d in ("out", "in")]
+        rows, peers = functools.reduce(DataFrame.unionByName, rows), _peers(index, edges[0])
+        met = rows.where("peer_id is not null").join(peers, "peer_id", "left").where("_open or peer is not null")
+        alone = rows.where("peer_id is null").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in peers.schema.fields if f.name != "peer_id"])
+        both = met.unionByName(alone).select("edge", *COLUMNS)
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 #: The order of each walk; all columns break ties, since edges are a multiset.
@@ -116,9 +138,20 @@ def walk_many(index: IndexTables, nodes: DataFrame, edge: str, direction: str =
     return out
 
 
+def _counted(index: IndexTables, edge: str, direction: str) -> DataFrame:
+    """(node, dir) of each row of a walk, without what it shows: peers are only asked whether they are there."""
+    if index.adjacency is not None:
+        return walk_rows(index, edge, direction).select("node", "dir")
+    _check(edge, direction)
+    rows = ends(index, edge, direction).select("node", "peer_id")
+    if (edge, direction) not in OPEN:
+        rows = rows.join(_peers(index, edge).select("peer_id"), "peer_id", "left_semi")
+    return rows.select("node", F.lit(direction).alias("dir"))
+
+
 def walk_totals(index: IndexTables, edge: str) -> DataFrame:
     """(node, n_out, n_in, total) of every id that has an edge."""
-    rows = walk_rows(index, edge, "out").select("node", "dir").unionByName(walk_rows(index, edge, "in").select("node", "dir"))
+    rows = _counted(index, edge, "out").unionByName(_counted(index, edge, "in"))
     return rows.groupBy("node").agg(
         F.count_if(F.col("dir") == "out").alias("n_out"), F.count_if(F.col("dir") == "in").alias("n_in"), F.count(F.lit(1)).alias("total")
     )

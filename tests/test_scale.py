@@ -1,5 +1,7 @@
 """Steps that must not go to few tasks, run twice or be broadcast whole, whatever sizes Spark estimates."""
 
+from graphloom.operators import walks
+from graphloom.plans import demo_views
 from graphloom.plans.demo_sources import sources
 from graphloom.plans.raw import raw_tables
 from graphloom.sources.parse import parse_files, parsed_only
@@ -28,3 +30,12 @@ def test_files_are_parsed_once_and_not_broadcast(spark):
     assert seen.value == n == raw.files.count()
     rows = raw.files.select("file_no").orderBy("file_no").collect()
     assert [r["file_no"] for r in rows] == list(range(1, n + 1))
+
+
+def test_totals_do_not_move_what_a_walk_shows(spark):
+    """Counts ask only whether peers are there: names and paths stay where they are."""
+    totals = walks.walk_totals(demo_views.index_views(spark, "/root/testdata/sf0.001"), "calls")
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_name" not in plan and "r_name" not in plan, plan
+    kept = walks.every_walk(demo_views.index_views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count("c_mktsegment") <= 5  # the customers meet the ends of edges once, not once for each of six walks
