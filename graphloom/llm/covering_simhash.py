@@ -53,7 +53,11 @@ def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle_words: int = 3) -> int:
-    h = shingle_hashes(text, shingle_words)
+    return majority(shingle_hashes(text, shingle_words))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingles by their hashes."""
     if not len(h):
         return 0
     lanes = h.view(np.uint8).reshape(-1, 8)

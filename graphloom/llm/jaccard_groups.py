@@ -2,6 +2,10 @@
 
 Shingles are those of covering_simhash (`shingle_words` words, ASCII capitals lowered), known by their XXH64 values.
 
+Candidates by fingerprints: the sets' covering SimHash fingerprints (repeats included) are linked as covering_simhash links
+them, within 2 bits, and the links compared on whole sets. Fingerprints of sets that are similar at 80 per cent differ in up to
+14 bits, though, so what these links leave open is completed by prefixes.
+
 Candidates by prefixes: put the shingles of a set of m in one order for all sets; two sets of similarity t share one of
 the first m - ceil(t m) + 1 of each, so no pair is missed, whatever the order is. Bounds on the places of the first shared
 shingle and on sketches then reject pairs that cannot be similar; the rest are compared on their whole sets. Shingles that
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .covering_simhash import components, shingle_hashes
+from .covering_simhash import components, fingerprint_links, majority, shingle_hashes
 from .shared import Spread, collected, cut, map_texts, row_hash, small, steady, tidy
 
 #: The sample that finds common shingles: one document in SAMPLE, the shingles of at least COMMON sets, HOT at most.
@@ -77,19 +81,20 @@ def _sketch(shingles: np.ndarray) -> bytes:
 
 
 def measured(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """(row, doc_id, node, size, sketch, prefix) of every row."""
+    """(row, doc_id, node, size, sketch, fp, prefix) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, row_hash(docs), shingle_words))
 
     def run(frames):
         for pdf in frames:
-            sets = [shingle_set(t, shingle_words) for t in pdf["text"]]
+            each = [shingle_hashes(t, shingle_words) for t in pdf["text"]]
+            fps, sets = np.array([majority(h) for h in each], np.uint64).view(np.int64), [np.unique(h) for h in each]
             yield pd.DataFrame({
-                "row": pdf["row"], "doc_id": pdf["doc_id"], "node": [_node(s) for s in sets], "size": [len(s) for s in sets],
+                "fp": fps, "row": pdf["row"], "doc_id": pdf["doc_id"], "node": [_node(s) for s in sets], "size": [len(s) for s in sets],
                 "sketch": [_sketch(s) for s in sets], "prefix": [_prefix(s, shared.value, percent).view(np.int64) for s in sets],
             })
 
     slim = docs.select(row_hash(docs).alias("row"), F.col("doc_id").cast("long"), "text")
-    return map_texts(slim, run, "row long, doc_id long, node long, size long, sketch binary, prefix array<long>")
+    return map_texts(slim, run, "row long, doc_id long, node long, size long, sketch binary, fp long, prefix array<long>")
 
 
 def _similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -134,6 +139,18 @@ def _compared(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle_words:
     return cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
 
 
+def _covered(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or linked: each set with the smallest of its fingerprint, and those
+    with each other along the links."""
+    sets = cut(rows.where("size > 0").groupBy("node").agg(F.min("fp").alias("fp")))  # equal sets may differ in repeats
+    first = cut(sets.groupBy("fp").agg(F.min("node").alias("first")))
+    links = cut(fingerprint_links(first.select("fp")))
+    end = lambda fp, c: first.select(F.col("fp").alias(fp), F.col("first").alias(c))
+    near = links.join(end("fp", "x"), "fp").join(end("hub", "y"), "hub").select("x", "y")
+    same = Spread(sets, "fp").join(first).where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    return cut(near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, label) after more links (a, b): the components of the labels that they join."""
     if labels is None:
@@ -162,7 +179,12 @@ def groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFr
     # the first shingle that two similar sets share leaves room for enough others behind it in both
     near = (100 + percent) * F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos")) >= percent * (F.col("size") + F.col("o_size"))
     kept = ("node", "size", "pos", "label")
-    labels, compared, last = None, None, False
+    labels, compared, last = None, _covered(rows), False
+    if not compared.isEmpty():
+        links = _similar(docs, rows, compared, shingle_words, percent)
+        if not links.isEmpty():
+            labels = _relabelled(None, links)
+    tidy(spark)
     for turn in itertools.count():
         now = members.withColumn("label", F.col("node")) if labels is None else members.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
         bounds = F.min("label").alias("lo"), F.max("label").alias("hi")
@@ -180,18 +202,20 @@ def groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFr
                 break
             met = now.join(small(hubs), ["h", "class"])
         pairs = met.where((F.col("label") != F.col("o_label")) & near).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
-        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti") if compared is not None else pairs)
+        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti"))
         tidy(spark)
-        links = _similar(docs, rows, pairs, shingle_words, percent)
+        # a round that has nothing to compare costs no further jobs
+        asked = pairs.count()
+        links = _similar(docs, rows, pairs, shingle_words, percent) if asked else pairs
+        found = links.count() if asked else 0
         tidy(spark)
-        found = links.count()
         if found:
             labels = _relabelled(labels, links)
             tidy(spark)
         if last:
             break
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        last = 4 * found <= pairs.count() or turn >= ROUNDS
+        compared = compared.unionByName(pairs) if asked else compared
+        last = 4 * found <= asked or turn >= ROUNDS
     out = rows.select("row", "doc_id", "node")
     if labels is None:
         return out.select("row", "doc_id", F.col("node").alias("group"))

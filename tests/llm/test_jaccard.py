@@ -93,3 +93,18 @@ def test_a_set_with_many_pairs_is_compared_in_several_tasks(spark):
     assert sum(r["count"] for r in met) == 1499 and max(r["count"] for r in met) < 1000
     found = jaccard_groups._similar(docs, rows, pairs, 5, 80)
     assert found.count() == 1499
+
+
+def test_fingerprint_links_come_first_and_are_compared(spark, monkeypatch):
+    """The covering fingerprints give the first pairs; only those that are similar as sets become links."""
+    from graphloom.llm import jaccard_groups
+
+    long = [" ".join(f"w{(i * i) % 997}" for i in range(2000)), " ".join(f"v{i}" for i in range(400))]
+    texts = [long[0], long[0] + " end", long[0].upper(), long[1], long[1] + " " + long[1], None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, similar = [], jaccard_groups._similar
+    monkeypatch.setattr(jaccard_groups, "_similar", lambda d, r, pairs, *a: asked.append({tuple(x) for x in pairs.collect()}) or similar(d, r, pairs, *a))
+    group = {r["doc_id"]: r["group"] for r in groups(docs).collect()}
+    node = {r["doc_id"]: r["node"] for r in jaccard_groups.measured(docs).collect()}
+    assert tuple(sorted((node[0], node[1]))) in asked[0]
+    assert group[0] == group[1] == group[2] and group[3] == group[4] and len(set(group.values())) == 3
