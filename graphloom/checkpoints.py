@@ -28,3 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, so that lost executors never lead to a different second computation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -12,13 +12,12 @@ minima and maxima of both leave little to read; paths and names, which files and
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import delete
 from ..operators import lookups, walks, whole
 from ..schemas import STORED, IndexTables
 
@@ -34,19 +33,22 @@ ROW_GROUP, PAGE_ROWS = 8 << 20, 2_000
 
 
 def write_sorted(df: DataFrame, path: str, name: str) -> None:
-    """df under path/name, sorted by the table's keys; what it is made from is computed once."""
-    keys = KEYS.get(name)
+    """df under path/name, sorted by the table's keys. What it is made from is computed once: the ranges are found in a
+    packed copy, which goes then; a checkpoint would hold the rows unpacked until the driver ends."""
+    keys, made, spark = KEYS.get(name), f"{path}/_made/{name}", df.sparkSession
     if keys:
-        df = cut(df).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    out = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE_ROWS)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(made)
+        df = spark.read.schema(df.schema).parquet(made).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    out = df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE_ROWS)
     for column in BLOOM.get(name, []):
         out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
     out.parquet(f"{path}/{name}")
+    if keys:
+        delete(spark, made)
 
 
 def adjacency(index: IndexTables) -> DataFrame:
-    every = [walks.walk_rows(index, e, d).withColumn("edge", F.lit(e)) for e in walks.EDGES for d in ("out", "in")]
-    return reduce(DataFrame.unionByName, every)
+    return walks.every_walk(index)
 
 
 def ids(index: IndexTables) -> DataFrame:
