@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Spread, cut, map_texts, steady
+from .shared import Spread, cut, map_texts, sized_anew, steady
 
 #: Buckets with more fingerprints than this are not compared in one step.
 SMALL_BUCKET = 256
@@ -147,7 +147,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, small_bucket: int =
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node reachable from each node that has an edge."""
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))))
+    both = sized_anew(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))))
     with steady(edges.sparkSession):
         labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"))
         links = Spread(both, "v")
@@ -156,7 +156,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             lower = labels.join(seen.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
             lower = cut(lower)
             up = lower.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-            jumped = cut(Spread(lower, "label").join(up).select("node", "was", F.least("label", "jump").alias("label")))
+            jumped = sized_anew(Spread(lower, "label").join(up).select("node", "was", F.least("label", "jump").alias("label")))
             labels = jumped.select("node", "label")
             if jumped.where("was <> label").isEmpty():
                 return labels

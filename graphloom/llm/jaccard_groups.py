@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .covering_simhash import components, fingerprint_links, majority, shingle_hashes
-from .shared import Spread, collected, cut, map_texts, row_hash, small, steady, tidy
+from .shared import Spread, collected, cut, map_texts, row_hash, sized_anew, small, steady, tidy
 
 #: The sample that finds common shingles: one document in SAMPLE, the shingles of at least COMMON sets, HOT at most.
 SAMPLE, COMMON, HOT = 32, 3, 200_000
@@ -163,7 +163,7 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         new = joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
         known = cut(labels.unionByName(new.withColumn("label", F.col("node"))))
         to = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
-        return cut(Spread(known, "label").join(to, "left").select("node", F.coalesce("new", "label").alias("label")))
+        return sized_anew(Spread(known, "label").join(to, "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
 def groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

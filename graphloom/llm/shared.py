@@ -41,6 +41,14 @@ def steady(spark: SparkSession):
         spark.conf.set(name, old)
 
 
+def sized_anew(df: DataFrame) -> DataFrame:
+    """df checkpointed, without the size that Spark has estimated for it. A checkpoint keeps that estimate, which is the product of
+    the sizes for a join: in a loop of joins its digits multiply with each round, up to numbers of megabytes that the driver
+    computes with for seconds. This is createDataFrame(df.rdd, df.schema) without the way through Python."""
+    spark, done = df.sparkSession, cut(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -147,3 +147,17 @@ def test_empty_table(spark):
 
 def test_planted_bits(spark):
     assert np.uint64(fingerprint("a b c")) == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_size_estimates_do_not_multiply_with_the_rounds(spark):
+    """A checkpoint keeps the size estimated for its plan; a chain takes many rounds of joins, each on the one before."""
+    from graphloom.llm.covering_simhash import components
+    from graphloom.llm.jaccard_groups import _relabelled
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    labels = components(chain, "a", "b")
+    again = _relabelled(labels, spark.createDataFrame([(20, 100), (100, 101)], "a long, b long"))
+    for found in (labels, again):
+        assert {r["label"] for r in found.collect()} == {0}
+        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+    assert again.count() == 23
