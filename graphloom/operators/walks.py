@@ -74,13 +74,23 @@ def _peers(index: IndexTables, edge: str) -> DataFrame:
     return _files(index) if edge == "imports" else _nodes(index)
 
 
+def _alone(rows: DataFrame, peers: DataFrame) -> DataFrame:
+    """Ends without a peer, with nulls for what it would show. They meet no join, whose null key would bring all of them into
+    one task."""
+    return rows.where("peer_id is null").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in peers.schema.fields if f.name != "peer_id"])
+
+
 def walk_rows(index: IndexTables, edge: str, direction: str) -> DataFrame:
     """All rows of one direction (`out` or `in`) of an edge type. A snapshot has them sorted by node, both ways."""
     _check(edge, direction)
     if index.adjacency is not None:
         return index.adjacency.where((F.col("edge") == edge) & (F.col("dir") == direction)).select(*COLUMNS)
-    how = "left" if (edge, direction) in OPEN else "inner"
-    return ends(index, edge, direction).join(_peers(index, edge), "peer_id", how).select(*[F.lit(direction).alias("dir") if c == "dir" else F.col(c) for c in COLUMNS])
+    rows, peers = ends(index, edge, direction), _peers(index, edge)
+    if (edge, direction) in OPEN:
+        out = rows.where("peer_id is not null").join(peers, "peer_id", "left").unionByName(_alone(rows, peers))
+    else:
+        out = rows.join(peers, "peer_id")
+    return out.select(*[F.lit(direction).alias("dir") if c == "dir" else F.col(c) for c in COLUMNS])
 
 
 def every_walk(index: IndexTables) -> DataFrame:
@@ -91,8 +101,7 @@ def every_walk(index: IndexTables) -> DataFrame:
         rows = [ends(index, e, d).select(F.lit(e).alias("edge"), F.lit(d).alias("dir"), F.lit((e, d) in OPEN).alias("_open"), "*") for e in edges for d in ("out", "in")]
         rows, peers = functools.reduce(DataFrame.unionByName, rows), _peers(index, edges[0])
         met = rows.where("peer_id is not null").join(peers, "peer_id", "left").where("_open or peer is not null")
-        alone = rows.where("peer_id is null").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in peers.schema.fields if f.name != "peer_id"])
-        both = met.unionByName(alone).select("edge", *COLUMNS)
+        both = met.unionByName(_alone(rows, peers)).select("edge", *COLUMNS)
         out = both if out is None else out.unionByName(both)
     return out
 

@@ -1,7 +1,10 @@
 """Steps that must not go to few tasks, run twice or be broadcast whole, whatever sizes Spark estimates."""
 
+import dataclasses
 import re
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import walks
 from graphloom.plans import demo_views
 from graphloom.plans.demo_sources import sources
@@ -39,3 +42,24 @@ def test_totals_do_not_move_what_a_walk_shows(spark):
     totals = walks.walk_totals(demo_views.index_views(spark, "/root/testdata/sf0.001"), "calls")
     read = re.findall(r"ReadSchema: (\S+)", totals._jdf.queryExecution().executedPlan().toString())
     assert read and not any(name in x for x in read for name in ("c_name", "r_name", "o_orderpriority")), read
+
+
+def largest_part(spark, make):
+    """The share of the rows that the largest of 8 partitions gets, where plans are not adapted to it."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = [r["count"] for r in make().groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return max(rows) / sum(rows)
+
+
+def test_calls_without_a_known_end_do_not_meet_in_one_task(spark):
+    index = demo_views.index_views(spark, "/root/testdata/sf0.01")
+    index = dataclasses.replace(index, edges_calls=index.edges_calls.repartition(8).localCheckpoint())
+    assert index.edges_calls.where("callee_id is null").count() > 0.2 * index.edges_calls.count()
+    assert largest_part(spark, lambda: walks.walk_rows(index, "calls", "out")) < 0.2
