@@ -39,7 +39,11 @@ def find_id(index: IndexTables, short: str) -> DataFrame:
 def get_node(index: IndexTables) -> DataFrame:
     files = index.files.select("file_id", F.col("short_id").alias("file_no"), "rel_path", "lang")
     owners = index.nodes.select(F.col("node_id").alias("owner_id"), F.col("short_id").alias("owner_no"))
-    return index.nodes.join(files, "file_id").join(owners, "owner_id", "left").select(
+    nodes = index.nodes.join(files, "file_id")
+    # nodes without an owner don't meet the join, whose null key would bring all of them into one task
+    owned = nodes.where("owner_id is not null").join(owners, "owner_id", "left")
+    free = nodes.where("owner_id is null").withColumn("owner_no", F.lit(None).cast("long"))
+    return owned.unionByName(free).select(
         "node_id", "short_id", "kind", "subkind", "name", "fqn", "owner_id", "owner_no", "scope", "signature", "doc",
         "start_line", "end_line", "file_id", "file_no", "rel_path", "lang",
     )

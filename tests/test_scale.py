@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import walks
+from graphloom.operators import lookups, walks
 from graphloom.plans import demo_views
 from graphloom.plans.demo_sources import sources
 from graphloom.plans.raw import raw_tables
@@ -63,3 +63,13 @@ def test_calls_without_a_known_end_do_not_meet_in_one_task(spark):
     index = dataclasses.replace(index, edges_calls=index.edges_calls.repartition(8).localCheckpoint())
     assert index.edges_calls.where("callee_id is null").count() > 0.2 * index.edges_calls.count()
     assert largest_part(spark, lambda: walks.walk_rows(index, "calls", "out")) < 0.2
+
+
+def test_nodes_without_an_owner_do_not_meet_in_one_task(spark):
+    index = demo_views.index_views(spark, "/root/testdata/sf0.01")
+    index = dataclasses.replace(index, nodes=index.nodes.repartition(8).localCheckpoint(), files=index.files.localCheckpoint())
+    assert index.nodes.where("owner_id is null").count() > 0.2 * index.nodes.count()
+    files = index.files.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(799)))).withColumn("file_id", F.concat("file_id", F.col("of").cast("string"))).drop("of")
+    spread = index.nodes.withColumn("file_id", F.concat("file_id", F.pmod(F.xxhash64("node_id"), F.lit(800)).cast("string")))
+    many = dataclasses.replace(index, nodes=spread, files=files)
+    assert largest_part(spark, lambda: lookups.get_node(many)) < 0.2
