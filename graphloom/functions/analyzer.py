@@ -23,7 +23,7 @@ _CAMEL = r"(?<=\p{Ll})(?=\p{Lu})|(?<=[^%s])(?=\p{Lu}\p{Ll})" % DELIMITERS
 
 
 def split_delimiters(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{DELIMITERS}]"), lambda x: x != "")
+    return F.array_remove(F.split(text, f"[{DELIMITERS}]"), "")
 
 
 def split_camel(text: Column) -> Column:

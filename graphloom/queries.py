@@ -60,8 +60,19 @@ def _normal(text: str) -> str:
 
 @query(rf"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_parts, CAST(count(DISTINCT part) AS BIGINT) AS n_distinct FROM (SELECT doc_id, unnest(string_split_regex(text, '{_D}')) AS part FROM documents) WHERE part <> '' GROUP BY doc_id")
 def split_delimiters(spark, sf_dir):
-    parts = _docs(spark, sf_dir).select("doc_id", F.explode(analyzer.split_delimiters(F.col("text"))).alias("part"))
-    return parts.groupBy("doc_id").agg(F.count("part").alias("n_parts"), F.count_distinct("part").alias("n_distinct"))
+    docs = _docs(spark, sf_dir).select("doc_id", analyzer.split_delimiters(F.col("text")).alias("parts"))
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    n = repeated.count()
+    # a row is counted where it is; only the parts of ids with several rows are brought together
+    once, own = docs, F.col("doc_id").eqNullSafe(F.col("again"))
+    if n:
+        repeated = F.broadcast(repeated) if n <= 100_000 else repeated
+        once = docs.join(repeated, own, "left_anti")
+    counts = once.select("doc_id", F.size("parts").cast("long").alias("n_parts"), F.size(F.array_distinct("parts")).cast("long").alias("n_distinct")).where("n_parts > 0")
+    if not n:
+        return counts
+    parts = docs.join(repeated, own, "left_semi").select("doc_id", F.explode("parts").alias("part"))
+    return counts.unionByName(parts.groupBy("doc_id").agg(F.count("part").alias("n_parts"), F.count_distinct("part").alias("n_distinct")))
 
 
 @query(rf"SELECT s_suppkey, unnest(string_split(x, ' ')) AS part FROM (SELECT s_suppkey, {_CUT.format("replace(s_name, '#', 'Id') || 'aBCdEF'")} AS x FROM supplier)")

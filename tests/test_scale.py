@@ -9,6 +9,7 @@ from graphloom.operators import lookups, walks
 from graphloom.plans import demo_views
 from graphloom.plans.demo_sources import sources
 from graphloom.plans.raw import raw_tables
+from graphloom.queries import split_delimiters
 from graphloom.sources.parse import parse_files, parsed_only
 from graphloom.sources.scan import dealt
 
@@ -73,3 +74,14 @@ def test_nodes_without_an_owner_do_not_meet_in_one_task(spark):
     spread = index.nodes.withColumn("file_id", F.concat("file_id", F.pmod(F.xxhash64("node_id"), F.lit(800)).cast("string")))
     many = dataclasses.replace(index, nodes=spread, files=files)
     assert largest_part(spark, lambda: lookups.get_node(many)) < 0.2
+
+
+def test_parts_of_a_text_are_counted_where_it_is(spark, tmp_path):
+    rows = [(1, "a.b a"), (2, "..."), (3, None), (4, "x"), (4, "x y/z"), (None, "p q"), (None, "q:r"), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = {tuple(r) for r in split_delimiters(spark, f"{tmp_path}/a").collect()}
+    assert got == {(1, 3, 2), (4, 4, 3), (None, 4, 3)}
+    spark.createDataFrame(rows[:4], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    counted = split_delimiters(spark, f"{tmp_path}/b")
+    assert {tuple(r) for r in counted.collect()} == {(1, 3, 2), (4, 1, 1)}
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
