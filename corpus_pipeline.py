@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import cost_packing, entropy_mix, jaccard_groups, language_backoff, ngram_quality
 from graphloom.llm.queries import TOKENIZER, id_crc
-from graphloom.llm.shared import cut, delete_folder, ensure_checkpoint_dir, fresh, own_columns, row_hash, small
+from graphloom.llm.shared import delete_folder, ensure_checkpoint_dir, fresh, gathered, own_columns, row_hash, small
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +38,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are one group; columns of any name stay as they are; an empty table gives no rows.
     """
     row, n = fresh(docs, "row", "n")
-    each = cut(jaccard_groups.groups(docs).groupBy("row", "doc_id", "group").agg(F.count(F.lit(1)).alias("n")))
+    each = gathered(jaccard_groups.groups(docs).groupBy("row", "doc_id", "group").agg(F.count(F.lit(1)).alias("n")))
     best = each.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "n")).alias("best"))
-    best = cut(best.select(F.col("best.row").alias(row), F.col("best.n").alias(n)))
-    repeated = cut(best.where(F.col(n) > 1).select(row))
-    others = cut(each.select(F.col("row").alias(row)).join(best, row, "left_anti").unionByName(repeated).distinct())
+    best = gathered(best.select(F.col("best.row").alias(row), F.col("best.n").alias(n)))
+    repeated = gathered(best.where(F.col(n) > 1).select(row))
+    others = gathered(each.select(F.col("row").alias(row)).join(best, row, "left_anti").unionByName(repeated).distinct())
     named = docs.withColumn(row, row_hash(docs))
     once = named.join(small(others), row, "left_anti")
     one_of_many = named.join(small(repeated), row, "left_semi").dropDuplicates([row])

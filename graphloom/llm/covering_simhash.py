@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Spread, cut, map_texts, sized_anew, steady
+from .shared import Spread, cut, gathered, map_texts, sized_anew, steady
 
 #: Buckets with more fingerprints than this are not compared in one step.
 SMALL_BUCKET = 256
@@ -122,7 +122,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, small_bucket: int =
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("slot", "mask"))
     keyed = keyed.select("slot", F.col("fp").bitwiseAND(F.col("mask")).alias("kept"), "fp")
     sizes = keyed.groupBy("slot", "kept").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(keyed.join(sizes, ["slot", "kept"]))
+    shared = gathered(keyed.join(sizes, ["slot", "kept"]))
 
     def compare(frames):
         for pdf in frames:
@@ -149,12 +149,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node reachable from each node that has an edge."""
     both = sized_anew(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))))
     with steady(edges.sparkSession):
-        labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"))
+        labels = gathered(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"))
         links = Spread(both, "v")
         while True:
             seen = links.join(labels.select(F.col("node").alias("v"), "label")).groupBy("u").agg(F.min("label").alias("near"))
             lower = labels.join(seen.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-            lower = cut(lower)
+            lower = gathered(lower)
             up = lower.select(F.col("node").alias("label"), F.col("label").alias("jump"))
             jumped = sized_anew(Spread(lower, "label").join(up).select("node", "was", F.least("label", "jump").alias("label")))
             labels = jumped.select("node", "label")

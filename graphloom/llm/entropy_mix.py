@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, dense_index, fresh, own_columns, row_hash, shuffle_width
+from .shared import WORD, dense_index, fresh, gathered, own_columns, row_hash, shuffle_width, small
 
 CAP = 2.0
 
@@ -33,7 +33,7 @@ CAP = 2.0
 def targets(sources: DataFrame, weights=(5, 2, 1), budget: float = 1.5) -> DataFrame:
     """Adds target to (source_no, source_size, ...) rows, one for each source."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
-    own = cut(sources.withColumn("_w", weight).withColumn("_cap", CAP * F.col("source_size")))
+    own = gathered(sources.withColumn("_w", weight).withColumn("_cap", CAP * F.col("source_size")))
     total = own.agg(F.sum("source_size").alias("n")).first()["n"] or 0
     level, capped = -1.0, F.lit(False)
     while True:  # the level only rises, and each round caps another source
@@ -62,7 +62,7 @@ def tilts(sizes: DataFrame, goals: DataFrame, tolerance: float = 1e-9) -> DataFr
         .withColumn("lo", F.lit(-1e4))
         .withColumn("hi", F.lit(1e6))
     )
-    state, fixed = cut(start), goals.columns
+    state, fixed = gathered(start), goals.columns
     for turn in itertools.count(1):
         if state.where(~F.col("done")).limit(1).count() == 0:
             break
@@ -85,7 +85,7 @@ def tilts(sizes: DataFrame, goals: DataFrame, tolerance: float = 1e-9) -> DataFr
         bracketed = (F.col("_lo") > -1e4) & (F.col("_hi") < 1e6)
         inside = (F.col("slope") > 0) & (step > F.col("_lo")) & (step < F.col("_hi")) & (F.lit(turn % 3 != 0) | ~bracketed)
         tilt = F.when(done, F.col("tilt")).when(inside, step).otherwise(middle)
-        state = cut(joined.select(*fixed, "mean", done.alias("done"), tilt.alias("tilt"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
+        state = gathered(joined.select(*fixed, "mean", done.alias("done"), tilt.alias("tilt"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
     return state.select(*fixed, "mean", "tilt")
 
 
@@ -110,13 +110,13 @@ def _round(frames):
 def rates(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, bucket_docs: int = 1000):
     """Copies of every row and the sources: (doc_id, size, source_no, nth, copies), (source, source_no, source_size, target)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    slim = cut(docs.select(F.col("doc_id").cast("long"), "source", size.alias("size")))
-    per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    slim = gathered(docs.select(F.col("doc_id").cast("long"), "source", size.alias("size")))
+    per_source = gathered(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")))
     index = dense_index(per_source, "source", "source_no")
-    sources = cut(targets(_with_source(per_source, index), weights, budget))
-    numbered = _with_source(slim, sources.select("source", "source_no"))
-    sizes = cut(numbered.groupBy("source_no", "size").agg(F.count(F.lit(1)).alias("n")))
-    solved = cut(tilts(sizes, sources.select("source_no", "source_size", "target", "docs")))
+    sources = gathered(targets(_with_source(per_source, index), weights, budget))
+    numbered = _with_source(slim, small(sources.select("source", "source_no")))
+    sizes = gathered(numbered.groupBy("source_no", "size").agg(F.count(F.lit(1)).alias("n")))
+    solved = gathered(tilts(sizes, sources.select("source_no", "source_size", "target", "docs")))
     # equal rows are counted first, so that repeats of one document spread over the buckets of their source
     rate = F.when(F.col("tilt") == float("inf"), CAP).otherwise(F.least(F.lit(CAP), F.exp(F.col("tilt") * F.col("size") / F.col("mean"))))
     nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")

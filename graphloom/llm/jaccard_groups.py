@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .covering_simhash import components, fingerprint_links, majority, shingle_hashes
-from .shared import Spread, collected, cut, map_texts, row_hash, sized_anew, small, steady, tidy
+from .shared import Spread, collected, cut, gathered, map_texts, row_hash, sized_anew, small, steady, tidy
 
 #: The sample that finds common shingles: one document in SAMPLE, the shingles of at least COMMON sets, HOT at most.
 SAMPLE, COMMON, HOT = 32, 3, 200_000
@@ -104,9 +104,10 @@ def _similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle_words:
 
 
 def _compared(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    each = rows.groupBy("node").agg(F.min("row").alias("row"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
-    known = cut(each.join(small(cut(nodes)), "node", "left_semi"))
+    nodes = gathered(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    # only rows of the pairs' sets are brought together
+    own = rows.select("node", "row", "size", "sketch").join(small(nodes), "node", "left_semi")
+    known = gathered(own.groupBy("node").agg(F.min("row").alias("row"), F.max("size").alias("size"), F.max("sketch").alias("sketch")))
     known = small(known, 100_000)
     tidy(docs.sparkSession)
     side = lambda c: known.select(F.col("node").alias(c), F.col("size").alias(f"m{c}"), F.col("sketch").alias(f"s{c}"))
@@ -117,10 +118,12 @@ def _compared(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle_words:
             apart, total = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), pdf["ma"] + pdf["mb"]
             yield pdf.loc[(100 + percent) * apart <= (100 - percent) * total, ["a", "b"]]
 
-    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(likely, "a long, b long"))
+    pairs = gathered(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(likely, "a long, b long"))
     tidy(docs.sparkSession)
+    if pairs.isEmpty():  # no text needs to be read
+        return pairs
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owner = cut(known.join(nodes, "node", "left_semi").select("row", "node"))
+    owner = gathered(known.join(nodes, "node", "left_semi").select("row", "node"))
     texts = docs.select(row_hash(docs).alias("row"), "text").join(small(owner), "row").select("node", "text")
 
     def run(frames):
@@ -136,19 +139,19 @@ def _compared(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle_words:
     one.many = other.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")))
     both = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")))
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
+    return gathered(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
 
 
 def _covered(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets whose fingerprints are equal or linked: each set with the smallest of its fingerprint, and those
     with each other along the links."""
-    sets = cut(rows.where("size > 0").groupBy("node").agg(F.min("fp").alias("fp")))  # equal sets may differ in repeats
-    first = cut(sets.groupBy("fp").agg(F.min("node").alias("first")))
-    links = cut(fingerprint_links(first.select("fp")))
+    sets = gathered(rows.where("size > 0").groupBy("node").agg(F.min("fp").alias("fp")))  # equal sets may differ in repeats
+    first = gathered(sets.groupBy("fp").agg(F.min("node").alias("first")))
+    links = gathered(fingerprint_links(first.select("fp")))
     end = lambda fp, c: first.select(F.col("fp").alias(fp), F.col("first").alias(c))
     near = links.join(end("fp", "x"), "fp").join(end("hub", "y"), "hub").select("x", "y")
     same = Spread(sets, "fp").join(first).where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
-    return cut(near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return gathered(near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -158,10 +161,10 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     with steady(links.sparkSession):
         joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
-        joined = cut(joined)
+        joined = gathered(joined)
         merged = components(joined.where("x <> y").select("x", "y").distinct(), "x", "y")
         new = joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-        known = cut(labels.unionByName(new.withColumn("label", F.col("node"))))
+        known = gathered(labels.unionByName(new.withColumn("label", F.col("node"))))
         to = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
         return sized_anew(Spread(known, "label").join(to, "left").select("node", F.coalesce("new", "label").alias("label")))
 
@@ -172,9 +175,9 @@ def groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFr
     tidy(spark)
     rows = cut(measured(docs, shingle_words, percent))
     keyed = rows.select("node", "size", F.posexplode("prefix").alias("pos", "h"))
-    shared = cut(keyed.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"))
+    shared = gathered(keyed.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"))
     tidy(spark)
-    members = cut(keyed.join(small(shared), "h").distinct())
+    members = gathered(keyed.join(small(shared), "h").distinct())
     tidy(spark)
     # the first shingle that two similar sets share leaves room for enough others behind it in both
     near = (100 + percent) * F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos")) >= percent * (F.col("size") + F.col("o_size"))
@@ -189,7 +192,7 @@ def groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFr
         now = members.withColumn("label", F.col("node")) if labels is None else members.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
         bounds = F.min("label").alias("lo"), F.max("label").alias("hi")
         if last:
-            now = cut(now.join(small(cut(now.groupBy("h").agg(*bounds).where("lo <> hi").select("h"))), "h"))
+            now = gathered(now.join(small(gathered(now.groupBy("h").agg(*bounds).where("lo <> hi").select("h"))), "h"))
             tidy(spark)
             met = now.join(now.select("h", *[F.col(c).alias(f"o_{c}") for c in kept]), "h").where("node < o_node")
         else:
@@ -197,12 +200,12 @@ def groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFr
             place = F.struct(F.lit(0) if turn else F.col("pos"), F.xxhash64("h", "node", F.lit(turn)))
             now = now.withColumn("class", F.col("size") if turn % 2 else F.lit(0).cast("long"))
             hubs = now.groupBy("h", "class").agg(*bounds, F.min_by(F.struct(*kept), place).alias("o")).where("lo <> hi")
-            hubs = cut(hubs.select("h", "class", *[F.col(f"o.{c}").alias(f"o_{c}") for c in kept]))
+            hubs = gathered(hubs.select("h", "class", *[F.col(f"o.{c}").alias(f"o_{c}") for c in kept]))
             if not turn % 2 and hubs.isEmpty():  # every bucket has one label
                 break
             met = now.join(small(hubs), ["h", "class"])
         pairs = met.where((F.col("label") != F.col("o_label")) & near).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
-        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti"))
+        pairs = gathered(pairs.join(small(compared), ["a", "b"], "left_anti"))
         tidy(spark)
         # a round that has nothing to compare costs no further jobs
         asked = pairs.count()
@@ -219,4 +222,4 @@ def groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFr
     out = rows.select("row", "doc_id", "node")
     if labels is None:
         return out.select("row", "doc_id", F.col("node").alias("group"))
-    return out.join(labels, "node", "left").select("row", "doc_id", F.coalesce("label", "node").alias("group"))
+    return out.join(small(labels), "node", "left").select("row", "doc_id", F.coalesce("label", "node").alias("group"))

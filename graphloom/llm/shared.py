@@ -41,11 +41,29 @@ def steady(spark: SparkSession):
         spark.conf.set(name, old)
 
 
+#: Rows that are worth a partition of their own, and rows above which a result stays as it is dealt.
+GATHER, FEW = 50_000, 200_000
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df checkpointed; where it has few rows (narrow ones, for loops over links, labels and sums), in as few partitions as they are worth.
+
+    What is done with one partition needs no exchange. A loop over few rows would else run a task for each shuffle partition at each of
+    its steps, and what Spark notes of a task (5 KB in an event log, and the driver's memory) would exceed the rows by far."""
+    done = cut(df)
+    parts = done._jdf.toJavaRDD().getNumPartitions()
+    if parts == 1:
+        return done
+    n = done.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()
+    worth = max(1, -(-n // GATHER))
+    return done if n > FEW or worth >= parts else cut(done.coalesce(worth))
+
+
 def sized_anew(df: DataFrame) -> DataFrame:
-    """df checkpointed, without the size that Spark has estimated for it. A checkpoint keeps that estimate, which is the product of
+    """df gathered, without the size that Spark has estimated for it. A checkpoint keeps that estimate, which is the product of
     the sizes for a join: in a loop of joins its digits multiply with each round, up to numbers of megabytes that the driver
     computes with for seconds. This is createDataFrame(df.rdd, df.schema) without the way through Python."""
-    spark, done = df.sparkSession, cut(df)
+    spark, done = df.sparkSession, gathered(df)
     return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
 
 
@@ -69,7 +87,7 @@ def dense_index(values: DataFrame, col: str, to: str) -> DataFrame:
     """
     spark = values.sparkSession
     distinct = values.select(F.col(col)).distinct()
-    ranged = cut(
+    ranged = gathered(
         distinct.repartitionByRange(shuffle_width(spark), F.col(col).asc_nulls_last()).withColumn("_part", F.spark_partition_id())
     )
     shift = {}
@@ -270,7 +288,7 @@ class Spread:
     def __init__(self, many: DataFrame, key: str, most: int = SPREAD):
         self.key = key
         self.parts, self.salt = fresh(many, "parts", "salt")
-        often = cut(many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(self.parts)).where(F.col(self.parts) > 1))
+        often = gathered(many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(self.parts)).where(F.col(self.parts) > 1))
         n = often.count()
         self.often = (F.broadcast(often) if n <= SMALL else often) if n else None
         if n:
