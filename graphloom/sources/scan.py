@@ -18,6 +18,8 @@ from .ignore import ignored
 
 #: Files, and bytes, that a task hands on at once.
 BATCH_FILES, BATCH_BYTES = 64, 16 << 20
+#: Bytes of a piece of a file, where files are read in pieces.
+PIECE_BYTES = 4 << 20
 
 def has_extension(path: Column, extensions: list[str]) -> Column:
     """The extension test, blind to case; no extensions mean no filter."""
@@ -66,7 +68,7 @@ def listing(spark: SparkSession, root: str, prefix: str = "", extensions: list[s
     return wanted.select(F.concat(F.lit(prefix), path).alias("key"), "rel_path", ids.lang_from_path(path).alias("lang"), "size", "modified")
 
 
-def dealt(rows: DataFrame, key: str, least: int = 64) -> DataFrame:
+def dealt(rows: DataFrame, key: str | Column, least: int = 64) -> DataFrame:
     """rows over as many tasks as their number is worth, whatever their bytes are: names are small and what is made of them is
     large, so adaptive plans, which go by bytes, would leave a tree to one task. Counts the rows first."""
     n = rows.count()
@@ -97,3 +99,32 @@ def read_contents(listed: DataFrame, root: str) -> DataFrame:
 def scan(spark: SparkSession, root: str, prefix: str = "", extensions: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
     """(key, rel_path, lang, content) of the files under root."""
     return read_contents(listing(spark, root, prefix, extensions, patterns), root).select("key", "rel_path", "lang", "content")
+
+
+def read_pieces(listed: DataFrame, root: str) -> DataFrame:
+    """The rows of a listing with the file's content in pieces: a row for each piece, with the place `at` of its first byte. Whole
+    files may be larger than a task's memory, or than a value can be; a piece never is, and many tasks read one file. A file that
+    is gone or shorter meanwhile fails the scan."""
+    schema = listed.schema.add("at", "long").add("content", "binary")
+    last = F.greatest(F.col("size") - 1, F.lit(0))
+    pieces = listed.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(PIECE_BYTES).cast("long"))))
+    piece = PIECE_BYTES
+
+    def read(frames):
+        fs, base = files.opened(root)
+        for pdf in frames:
+            for i, (name, size, at) in enumerate(zip(pdf["rel_path"], pdf["size"], pdf["at"])):
+                wanted = min(piece, size - at)
+                with fs.open_input_file(f"{base}/{name}") as f:
+                    content = f.read_at(wanted, at) if wanted else b""
+                if len(content) != wanted:
+                    raise OSError(f"{name} is shorter than it was when it was listed")
+                yield pdf.iloc[i : i + 1].assign(content=[content])
+
+    # 8 pieces are 32 MB, whatever files they belong to
+    return dealt(pieces, F.struct("rel_path", "at"), 8).mapInPandas(read, schema)
+
+
+def scan_pieces(spark: SparkSession, root: str, prefix: str = "", extensions: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
+    """(key, rel_path, lang, size, at, content) of the files under root, whole, in pieces of bounded size."""
+    return read_pieces(listing(spark, root, prefix, extensions, patterns), root).select("key", "rel_path", "lang", "size", "at", "content")

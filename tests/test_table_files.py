@@ -35,6 +35,29 @@ def test_contents_are_handed_on_in_batches_of_bounded_size(spark, tmp_path, monk
     assert [(p, bytes(c)) for p, c in got] == [(f"documents.parquet/part-{i}.parquet", b"PAR1 some PAR1") for i in range(3)] + [("orders.parquet", b"PAR1 other PAR1")]
 
 
+def test_a_file_larger_than_a_value_is_read_in_pieces(spark, tmp_path):
+    path = folder(tmp_path / "t")
+    with open(tmp_path / "t" / "lineitem.parquet", "wb") as f:  # holes take no disk
+        f.write(b"PAR1")
+        f.seek((2 << 30) + 7)
+        f.write(b"PAR1")
+    want = [(f"{t}.parquet", "PAR1", "PAR1") for t in ("documents", "lineitem", "orders")]
+    assert rows(QUERIES["read_source"](spark, path)) == want
+
+
+def test_pieces_join_to_the_file(spark, tmp_path, monkeypatch):
+    path = folder(tmp_path / "t")
+    want = {r["rel_path"]: bytes(r["content"]) for r in scan.scan(spark, path).collect()}
+    for size in (1, 3, 4, 14, 1000):
+        monkeypatch.setattr(scan, "PIECE_BYTES", size)
+        got = {}
+        for r in scan.scan_pieces(spark, path).orderBy("rel_path", "at").collect():
+            assert len(r["content"]) <= size and r["at"] == len(got.get(r["rel_path"], b""))
+            got[r["rel_path"]] = got.get(r["rel_path"], b"") + bytes(r["content"])
+        assert got == want and b"" in want.values()
+        assert rows(QUERIES["read_source"](spark, path)) == [("documents.parquet", "PAR1", "PAR1"), ("orders.parquet", "PAR1", "PAR1")]
+
+
 def test_scan_files_has_a_row_for_each_table(spark, tmp_path):
     path = folder(tmp_path / "t")
     assert rows(QUERIES["scan_files"](spark, path)) == [("data:documents.parquet", "documents.parquet", "parquet"), ("data:orders.parquet", "orders.parquet", "parquet")]
