@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 
@@ -33,3 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that are checkpointed or gone; it does so when the driver collects
+    its garbage, which a driver with little of it would put off for long. What the driver's Python has freed goes back to the
+    system, where its C library has a call for that."""
+    gc.collect()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+    spark._jvm.System.gc()

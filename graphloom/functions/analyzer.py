@@ -60,8 +60,16 @@ def _folds() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def _split_terms(lowered: Column) -> Column:
+    return F.filter(F.split(lowered, r"[^\p{L}\p{N}\p{Co}]+"), lambda x: x != "")
+
+
 def index_terms(text: Column) -> Column:
     """The index's own word splitter: runs of letters, digits and private characters, folded in case and marks."""
     marked, plain = _folds()
-    folded = F.translate(F.lower(text), marked, plain)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}\p{Co}]+"), lambda x: x != "")
+    return _split_terms(F.translate(F.lower(text), marked, plain))
+
+
+def n_index_terms(text: Column) -> Column:
+    """The number of index_terms. Letters fold to letters, so marks make no difference to it."""
+    return F.size(_split_terms(F.lower(text)))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import ctypes
-import gc
 
 import numpy as np
 import pandas as pd
@@ -12,22 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..checkpoints import cut, ensure_checkpoint_dir
+from ..checkpoints import cut, ensure_checkpoint_dir, tidy  # noqa: F401
 
 #: The words of every contract here: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of results that are checkpointed or gone; it does so when the driver collects
-    its garbage, which a driver with little of it would put off for long. What the driver's Python has freed goes back to the
-    system, where its C library has a call for that."""
-    gc.collect()
-    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        give_back(0)
-    spark._jvm.System.gc()
-
-
 @contextlib.contextmanager
 def steady(spark: SparkSession):
     """Actions inside are planned once. Loops of many small joins would else keep a driver thread for each of their

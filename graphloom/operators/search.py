@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analyzer import index_terms, normalize
+from ..functions.analyzer import index_terms, n_index_terms, normalize
 
 #: The weights that take effect on name, fqn and path, and BM25's constants.
 WEIGHTS = {"name": 4.0, "fqn": 1.0, "path": 1.0}
@@ -26,7 +26,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def doc_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_kind, len): tokens in all columns."""
-    size = sum((F.size(index_terms(F.coalesce(c, F.lit("")))) for c in WEIGHTS), F.lit(0))
+    size = sum((n_index_terms(F.coalesce(c, F.lit(""))) for c in WEIGHTS), F.lit(0))
     return docs.select("doc_id", "doc_kind", size.cast("int").alias("len"))
 
 
@@ -46,7 +46,8 @@ def blocked_stats(stats: DataFrame, ids: DataFrame) -> DataFrame:
 
 def blocked_postings(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """The postings with what scoring needs of their document, so that a search reads nothing else."""
-    return posts.join(stats, "doc_id").select("term", "doc_id", "doc_kind", "block", "len", "tf_name", "tf_fqn", "tf_path")
+    # a hash join, as postings that are dealt by document would be sorted for nothing
+    return posts.join(stats.hint("shuffle_hash"), "doc_id").select("term", "doc_id", "doc_kind", "block", "len", "tf_name", "tf_fqn", "tf_path")
 
 
 def frequency() -> Column:

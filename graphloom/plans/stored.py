@@ -17,14 +17,14 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import delete
+from ..checkpoints import delete, tidy
 from ..operators import lookups, walks, whole
 from ..schemas import STORED, IndexTables
 
-#: What each table is sorted by, and the columns with bloom filters.
+#: What each table is sorted by, and the columns with bloom filters. Search documents are only read whole.
 KEYS = {
     "files": ["file_id"], "nodes": ["node_id"], "edges_calls": ["caller_id"], "edges_inherits": ["child_id"], "edges_imports": ["file_id"],
-    "search_docs": ["doc_id"], "postings": ["term", "block"], "posting_blocks": ["term", "block"], "doc_stats": ["doc_id"], "adjacency": ["edge", "dir", "node"], "ids": ["kind", "short_id"],
+    "postings": ["term", "block"], "posting_blocks": ["term", "block"], "doc_stats": ["doc_id"], "adjacency": ["edge", "dir", "node"], "ids": ["kind", "short_id"],
     "node_counts": ["node_id"], "file_counts": ["file_id"], "nodes_of_file": ["file_id", "start_line"],
 }
 BLOOM = {"files": ["rel_path"]}
@@ -32,13 +32,26 @@ BLOOM = {"files": ["rel_path"]}
 ROW_GROUP, PAGE_ROWS = 8 << 20, 2_000
 
 
+#: Tables of more rows get ranges of so many, which a task sorts in memory; adaptive plans go by packed bytes, and would make
+#: larger ones. A table of postings is made from documents of so many terms a task.
+RANGE_ROWS = TASK_TERMS = 1_000_000
+
+
 def write_sorted(df: DataFrame, path: str, name: str) -> None:
     """df under path/name, sorted by the table's keys. What it is made from is computed once: the ranges are found in a
-    packed copy, which goes then; a checkpoint would hold the rows unpacked until the driver ends."""
+    packed copy, which goes then; a checkpoint would hold the rows unpacked until the driver ends. Of a large table, the shuffle
+    files of what it is made from go before its rows are moved."""
     keys, made, spark = KEYS.get(name), f"{path}/_made/{name}", df.sparkSession
     if keys:
+        schema = df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(made)
-        df = spark.read.schema(df.schema).parquet(made).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        copy = spark.read.schema(schema).parquet(made)
+        del df
+        rows, ranges = copy.count(), []
+        if rows > RANGE_ROWS:
+            tidy(spark)
+            ranges = [max(spark.sparkContext.defaultParallelism, rows // RANGE_ROWS)]
+        df = copy.repartitionByRange(*ranges, *keys).sortWithinPartitions(*keys)
     out = df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE_ROWS)
     for column in BLOOM.get(name, []):
         out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
@@ -81,14 +94,19 @@ MADE = {"adjacency": adjacency, "ids": ids, "node_counts": node_counts, "file_co
 
 
 def write_derived(spark: SparkSession, path: str) -> None:
-    """The derived tables of the six that lie under path."""
+    """The derived tables of the six that lie under path. The walks, which are the largest by far, are written alone, and what
+    their shuffles have left on the disks goes before the others begin."""
     index = IndexTables.read(spark, path, ())
     assert set(MADE) == set(STORED)
-    at_once(spark, [lambda name=name, make=make: write_sorted(make(index), path, name) for name, make in MADE.items()])
+    steps = {name: lambda name=name, make=make: write_sorted(make(index), path, name) for name, make in MADE.items()}
+    at_once(spark, [steps.pop("adjacency")])
+    at_once(spark, list(steps.values()))
 
 
 def at_once(spark: SparkSession, steps: list) -> None:
-    """Runs jobs that don't depend on each other beside each other: those of small tables would leave most of a cluster idle."""
+    """Runs jobs that don't depend on each other beside each other: those of small tables would leave most of a cluster idle.
+    Their shuffle files go when all have ended."""
     with ThreadPoolExecutor(4) as pool:
         for done in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]:
             done.result()
+    tidy(spark)

@@ -79,8 +79,9 @@ class IndexTables:
     totals: DataFrame | None = None
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, also: tuple[str, ...] = ("search", "lookups")) -> IndexTables:
-        """The tables of a snapshot, with what it keeps beside them for the search and for lookups."""
+    def read(cls, spark: SparkSession, path: str, also: tuple[str, ...] = ("search", "lookups"), stored: bool = True) -> IndexTables:
+        """The tables of a snapshot, with what it keeps beside them for the search and for lookups; without `stored` the tables alone."""
+        also = also if stored else ()
         every = TABLES | (SEARCH if "search" in also else {}) | (STORED if "lookups" in also else {})
         return cls(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in every.items()})
 

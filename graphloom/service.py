@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .checkpoints import cut
+from .checkpoints import cut, tidy
 from .functions import ids
 from .functions.analyzer import STOP_WORDS
 from .operators import search
@@ -143,9 +143,15 @@ def write_search(spark: SparkSession, path: str, posts: DataFrame | None = None,
     docs = index.search_docs
     stored.write_sorted(search.blocked_stats(search.doc_stats(docs) if sizes is None else sizes, stored.ids(index)), path, "doc_stats")
     stats = spark.read.parquet(f"{path}/doc_stats")
-    stored.write_sorted(search.blocked_postings(search.postings(docs) if posts is None else posts, stats), path, "postings")
-    stored.write_sorted(search.posting_blocks(spark.read.parquet(f"{path}/postings")), path, "posting_blocks")
     stored.write_sorted(search.search_stats(stats), path, "search_stats")
+    if posts is None:
+        terms = spark.read.parquet(f"{path}/search_stats").first()["total_len"]
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), terms // stored.TASK_TERMS)
+        # documents are dealt by their ids, so their postings, many times as many, are counted and meet the sizes where they are made
+        posts = search.postings(docs.repartition(tasks, "doc_id"))
+    stored.write_sorted(search.blocked_postings(posts, stats), path, "postings")
+    tidy(spark)
+    stored.write_sorted(search.posting_blocks(spark.read.parquet(f"{path}/postings")), path, "posting_blocks")
 
 
 def write_index(index: IndexTables, path: str, also: tuple[str, ...] = ("search", "lookups"), posts: DataFrame | None = None, sizes: DataFrame | None = None) -> None:
