@@ -577,8 +577,8 @@ QUERIES |= source_queries.QUERIES | {"build_search_docs": source_queries.build_s
 SQL |= source_queries.SQL | {"build_search_docs": source_queries.search_docs_sql(_normal)}
 
 
-def _written(spark, sf_dir, result, *also):
-    return source_queries.stored(spark, [idx(spark, sf_dir)], result, also)
+def _written(spark, sf_dir, result, *also, shown=""):
+    return source_queries.stored(spark, [idx(spark, sf_dir)], result, also, shown)
 
 
 @query(SQL["bm25_and_terms"])
@@ -598,7 +598,7 @@ def search_topk_stored(spark, sf_dir):
 @query(f"{I} " + " UNION ALL ".join(f"SELECT '{e}' AS edge, {', '.join(walks.COLUMNS)} FROM ({sql})" for (e, _), sql in _WALKS.items()))
 def walks_stored(spark, sf_dir):
     """All walks in both directions, from the adjacency of a written snapshot."""
-    return _written(spark, sf_dir, lambda index: index.adjacency.select("edge", *walks.COLUMNS), "lookups")
+    return _written(spark, sf_dir, lambda index: index.adjacency.select("edge", *walks.COLUMNS), "lookups", shown="adjacency")
 
 
 @query(

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import source_queries
 from graphloom.functions import analyzer
 from graphloom.plans import demo_views, stored
 from graphloom.queries import QUERIES
@@ -26,7 +27,7 @@ def shuffles_left(spark):
     return found
 
 
-@pytest.mark.parametrize("name", ["search_topk_stored"])
+@pytest.mark.parametrize("name", ["search_topk_stored", "walks_stored"])
 def test_shuffle_files_of_the_tables_go_before_the_result_is_read(spark, monkeypatch, name):
     left, read = {}, IndexTables.read.__func__
 
@@ -76,6 +77,14 @@ def test_ranges_have_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     assert all(x[1] < y[0] for x, y in zip(rows, rows[1:]))
 
 
+def test_a_table_that_is_shown_whole_is_not_copied(spark):
+    rows = QUERIES["walks_stored"](spark, SF)
+    read = {os.path.dirname(f) for f in rows.inputFiles()}
+    assert len(read) == 1 and next(iter(read)).endswith("/adjacency")
+    assert [n for n in os.listdir(os.path.dirname(next(iter(read))).removeprefix("file://").removeprefix("file:"))] == ["adjacency"]
+    assert rows.count() == source_queries.stored(spark, [demo_views.index_views(spark, SF)], lambda i: i.adjacency, ("lookups",)).count()
+
+
 def test_terms_are_counted_without_folding_them(spark):
     letters = "".join(chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000)
     texts = [f"a{x}b {x}" for x in letters] + ["İstanbul ÀÉ", "", "x--y  z", "straße ǅ ŉ"]
