@@ -27,7 +27,7 @@ def shuffles_left(spark):
     return found
 
 
-@pytest.mark.parametrize("name", ["search_topk_stored", "walks_stored"])
+@pytest.mark.parametrize("name", ["search_topk_stored", "walks_stored", "resolve_id_stored"])
 def test_shuffle_files_of_the_tables_go_before_the_result_is_read(spark, monkeypatch, name):
     left, read = {}, IndexTables.read.__func__
 
