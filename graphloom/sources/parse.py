@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import PARSED
 from .parse_java import parse_java
@@ -22,20 +23,22 @@ def parse_files(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     `error` is true for files that can't be parsed; indexing drops them. No content fails the step.
     """
     kept = ["key", "rel_path", "lang", *carry]
-    cols = [c.split(" ")[0] for c in PARSED.split(", ") if " " in c]
+    types = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in kept)
+    schema = f"{types}, error boolean, {PARSED}"
+    one = F.lit(None).cast(StructType.fromDDL(schema)).alias("row")
+    fields = files.sparkSession.range(0).select(one).select("row.*").toArrow().schema
+    none = dict.fromkeys(fields.names) | {"package": ""}
 
-    def run(frames):
-        for pdf in (frame.iloc[at : at + BATCH_FILES] for frame in frames for at in range(0, len(frame), BATCH_FILES)):
+    def run(batches):
+        for batch in (batch.slice(at, BATCH_FILES) for batch in batches for at in range(0, batch.num_rows, BATCH_FILES)):
             rows = []
-            for row in pdf.to_dict("records"):
-                out = PARSERS[row["lang"]](bytes(row.pop("content")))
-                empty = dict.fromkeys(cols) | {"package": ""}
-                rows.append({**row, "error": out is None, **(out or empty)})
-            yield pd.DataFrame(rows, columns=[*kept, "error", *cols])
+            for row in batch.to_pylist():
+                out = PARSERS[row["lang"]](row.pop("content"))
+                rows.append({**none, **row, "error": out is None, **(out or {})})
+            yield pa.RecordBatch.from_pylist(rows, fields)
 
     known = files.where(F.col("lang").isin(list(PARSERS))).select(*kept, "content")
-    types = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in kept)
-    return known.mapInPandas(run, f"{types}, error boolean, {PARSED}")
+    return known.mapInArrow(run, schema)
 
 
 def parsed_only(parsed: DataFrame) -> DataFrame:

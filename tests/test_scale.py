@@ -85,3 +85,14 @@ def test_parts_of_a_text_are_counted_where_it_is(spark, tmp_path):
     counted = split_delimiters(spark, f"{tmp_path}/b")
     assert {tuple(r) for r in counted.collect()} == {(1, 3, 2), (4, 1, 1)}
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parsed_files_are_handed_on_as_arrow(spark):
+    """Nested rows would else become objects of pandas, one by one."""
+    files = spark.createDataFrame([("k", "a.py", "python", b"def f(x: int):\n    g(x)\n"), ("j", "B.java", "java", b"class B extends A { }"), ("e", "e.py", "python", b"def (")], "key string, rel_path string, lang string, content binary")
+    parsed = parse_files(files)
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    rows = {r["key"]: r for r in parsed.collect()}
+    assert not rows["k"]["error"] and [c["callee_name"] for c in rows["k"]["calls"]] == ["g"] and rows["j"]["objects"][0]["bases"][0]["name"] == "A"
+    assert rows["e"]["error"] and rows["e"]["package"] == "" and rows["e"]["calls"] is None
